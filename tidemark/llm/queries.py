@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, sharding, token_files, warc
+from tidemark.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_files, warc
 from tidemark.plans.scratch import new_path
 from tidemark.session import ship
 
@@ -29,6 +29,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).drop("row_id")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir), shingle_words=4, percent=80).drop("row_id")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=50).drop("kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     token_files.write_token_files(_documents(spark, sf_dir), folder)
@@ -49,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_token_files": op8_token_files,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
