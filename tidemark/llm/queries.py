@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_files, warc
+from tidemark.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, warc
 from tidemark.plans.scratch import new_path
 from tidemark.session import ship
 
@@ -41,6 +41,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=50).drop("kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs.select("doc_id", "text"), net).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     token_files.write_token_files(_documents(spark, sf_dir), folder)
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_fingerprints": op5_fingerprints,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,

@@ -72,17 +72,21 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def each_text(texts: list[bytes], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(starts, ends, hashes) of the words of each text; starts and ends count from the text's own start."""
+def block_words(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of texts: its first text, begins of texts and their first words, and starts, ends and hashes of words."""
     for lo, hi in blocks(texts):
         data = np.frombuffer(b" ".join(texts[lo:hi]), np.uint8)
         if lower:
             data = _LOWER[data]
         starts, ends = word_bounds(data)
-        hashes = word_hashes(data, starts, ends)
         begins = np.cumsum([0, *(len(x) + 1 for x in texts[lo:hi])])
-        at = np.searchsorted(starts, begins)
-        for k in range(hi - lo):
+        yield lo, begins, np.searchsorted(starts, begins), starts, ends, word_hashes(data, starts, ends)
+
+
+def each_text(texts: list[bytes], lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, hashes) of the words of each text; starts and ends count from the text's own start."""
+    for _, begins, at, starts, ends, hashes in block_words(texts, lower):
+        for k in range(len(begins) - 1):
             a, b = at[k], at[k + 1]
             yield starts[a:b] - begins[k], ends[a:b] - begins[k], hashes[a:b]
 
