@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Words whose ids a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Stands between words that are encoded together; it can't be part of another token.
 MARK = b"\x01"
+#: Latin letters between ASCII marks other than the apostrophe: the letters are one token word, each run of marks another.
+PLAIN = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = [*map(chr, range(97, 123)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
 
 
 def default_tokenizer() -> str:
@@ -33,25 +37,58 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         marks = self._ids(MARK.decode())
         self.mark = int(marks[0]) if len(marks) == 1 else None
+        self.letters = self._byte_level()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _byte_level(self) -> dict[int, str] | None:
+        """How the model wants Latin letters, if it takes a lower-cased word as one piece; None if it doesn't."""
+        from tokenizers import pre_tokenizers
+
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {ord(c): split.pre_tokenize_str(c)[0][0] for c in LETTERS}
+        for word in ("".join(LETTERS), "The", "W\u00d6RTER", "tional", "\u00c9t\u00e9", "a"):
+            model = [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(table))]
+            whole = self.tokenizer.encode(f"{word}.,({word}", add_special_tokens=False).ids
+            marks = self.tokenizer.encode(".,(", add_special_tokens=False).ids
+            if whole != model + marks + model:
+                return None
+        return table
+
+    def _one(self, word: bytes) -> bytes:
+        """A run of marks, or a word that is no plain one."""
+        if word not in self.known:
+            self.known[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+        return self.known[word]
+
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
+        known, table, model, others = self.known, self.letters, self.tokenizer.model, []
+        for word in words:
+            m = PLAIN.fullmatch(word) if table else None
+            if m is None or b"<|" in word:
+                others.append(word)
+                continue
+            head, core, tail = m.groups()
+            core = core.decode().lower()
+            raw = known.get(core.encode())
+            if raw is None:
+                ids = [t.id for t in model.tokenize(core.translate(table))]
+                raw = known[core.encode()] = b"".join([i.to_bytes(4, "little") for i in ids])
+            known[word] = (self._one(head) if head else b"") + raw + (self._one(tail) if tail else b"")
+        plain = [w for w in others if MARK not in w] if self.mark is not None else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = self._ids((b" " + MARK + b" ").join(some).decode("utf-8", "replace"))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
             raw, start = ids.tobytes(), 0
             for word, end in zip(some, ends, strict=True):
-                self.known[word] = raw[4 * start : 4 * end]
+                known[word] = raw[4 * start : 4 * end]
                 start = end + 1
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self._ids(word.decode("utf-8", "replace")).tobytes()
+        for word in others:
+            self._one(word)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         known = self.known
