@@ -194,6 +194,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
     rows = with_row_id(docs)
     groups = near_groups(rows, key, text, row_id="row_id", **how)
-    groups = cut(groups.withColumn("group", F.when(F.col("n_shingles") == 0, F.struct(F.lit(True), F.col("row_id"))).otherwise(F.struct(F.lit(False), F.col("component_id")))), "grouped")
+    alone = F.col("n_shingles") == 0
+    group = F.struct(alone.alias("alone"), F.when(alone, F.col("row_id")).otherwise(F.col("component_id")).alias("of"))
+    groups = groups.withColumn("group", group)
     stay = groups.where("kept").groupBy("group").agg(F.min("row_id").alias("row_id")).select("row_id")
     return rows.join(stay, "row_id", "left_semi").select(*docs.columns)
