@@ -103,8 +103,8 @@ las
 
 # prefixes
 [Patterns]
-/\\bth\\w+ed\\b/
-/\\bge\\w+/
+/(^|[^\\p{L}])th\\p{L}+ed($|[^\\p{L}])/
+/(^|[^\\p{L}])ge\\p{L}/
 
 [Single]
 que
