@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def parsed(text: Column) -> Column:
-    """ISO times with offset, Z or none, which is UTC; null where text is no time."""
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("EEE, d MMM yyyy HH:mm:ss Z")))
+    """ISO times with offset, Z or none, which is UTC, and times as in mails; null where text is no time."""
+    mail = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC?)$", "+0000")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def is_fresh(at: Column, now: Column, days: Column | float) -> Column:
