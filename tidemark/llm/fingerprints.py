@@ -95,17 +95,18 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     low = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), low).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     order = cut(next_keys(rows), "next-keys")
-    lengths = cut(rows.select("key", "n_chars").groupBy("key").agg(F.max("n_chars").alias("longest"), F.count("*").alias("rows")), "lengths")
+    lengths = cut(rows.select("key", F.char_length("text").cast("long").alias("n")).groupBy("key").agg(F.max("n").alias("longest"), F.count("*").alias("rows")), "lengths")
     wanted = cut(order.join(lengths, "key").select(F.col("key").alias("before"), F.col("next").alias("key"), "longest"), "wanted")
-    stand_in = rows.select("key", "text")
+    # both joins below deal out the same (key, text), so Spark moves the texts once
+    stand_in = rows
     if not lengths.where("rows > 1").isEmpty():
-        stand_in = stand_in.groupBy("key").agg(F.min("text").alias("text"))
-    printed = stand_in.withColumn("print", fingerprint(F.col("text")))
-    heads = wanted.join(printed, "key").select(F.col("before").alias("key"), F.substr("text", F.lit(1), F.expr("int(longest div 2)")).alias("head"), F.col("print").alias("next_print"))
+        stand_in = rows.groupBy("key").agg(F.min("text").alias("text"))
+    heads = wanted.join(stand_in, "key").select(
+        F.col("before").alias("key"), F.substr("text", F.lit(1), F.expr("int(longest div 2)")).alias("head"), fingerprint(F.col("text")).alias("next_print")
+    )
+    joined = rows.join(heads, "key").withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.expr("int(n_chars div 2)")
-    joined = rows.join(heads, "key")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("head", F.lit(1), half))
     both = joined.select("key", "n_chars", "text", edited.alias("edited"), "next_print")
     out = both.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
