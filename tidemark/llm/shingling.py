@@ -54,7 +54,7 @@ def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
     n = len(words) - length + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(length) * np.uint64(0xD1B54A32D192ED03))
+    total = np.full(n, length * 0xD1B54A32D192ED03 % (1 << 64), np.uint64)
     for j in range(length):
         total += words[j : j + n] * _PLACE[j]
     return mixed(total)

@@ -10,34 +10,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shingling import each_text, sequence_hashes
+from tidemark.llm.shingling import each_text, mixed, sequence_hashes
 from tidemark.llm.tokens import utf8
 from tidemark.plans.scratch import cut
 
 #: Words of the shortest prefix, with which a suffix's group begins.
 PREFIX = 10
-#: Suffix runs that share a prefix and are held in one tree; groups beyond it are split by the whole window.
-TREE_RUNS = 200
+#: Suffix runs of one prefix that a tree holds; the prefixes of groups beyond it are extended.
+TREE_RUNS = 20_000
 #: Words that a task's trees hold at once; whole groups are put together up to it.
 TREE_WORDS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
-def window_prefixes(words: np.ndarray, window: int) -> np.ndarray:
-    """For each window of words, the least hash of the PREFIX-word sequences in it: its sampled suffix's prefix.
+def window_samples(words: np.ndarray, window: int, pick=np.minimum) -> np.ndarray:
+    """For each window of words, the least (or greatest) hash of the PREFIX-word sequences in it.
 
     Equal windows have equal values, and neighbours mostly share one; so of the suffixes of a window only that which
-    begins with the sampled prefix is kept, and a run of windows around it travels once.
+    begins with the sampled sequence is kept, and a run of windows around it travels once. The greatest hash
+    extends the prefix of groups that are too large.
     """
     if len(words) < window:
         return np.zeros(0, np.int64)
-    low, span, reach = sequence_hashes(words, PREFIX), window - PREFIX + 1, 1
+    best, span, reach = sequence_hashes(words, PREFIX), window - PREFIX + 1, 1
     while 2 * reach <= span:
-        low = np.minimum(low[:-reach], low[reach:])
+        best = pick(best[:-reach], best[reach:])
         reach *= 2
     if span > reach:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    return low.view(np.int64)
+        best = pick(best[: len(best) - (span - reach)], best[span - reach :])
+    return best.view(np.int64)
 
 
 def _joined(data: bytes, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray | None = None) -> bytes:
@@ -56,7 +57,7 @@ def _profiles(window: int):
             for data, (starts, ends, words) in zip(texts, each_text(texts), strict=True):
                 n.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(data.split())).hexdigest())
-                prefixes.append(np.unique(window_prefixes(words, window)))
+                prefixes.append(np.unique(window_samples(words, window)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_words", "sha", "prefixes"]
             )
@@ -64,37 +65,65 @@ def _profiles(window: int):
     return run
 
 
+#: Of runs that are equal in their words, low and high are the least and greatest key; at and of name the run.
+RUNS = "prefix long, low long, high long, at long, of long, start long, windows long, words binary"
+RUN_TYPES = [pa.int64()] * 7 + [pa.binary()]
+RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+#: Windows of a run, and the least key whose text starts one with the same words.
+MARKS = "at long, of long, start long, windows long, first long"
+
+
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _split(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal values."""
+    edges = (np.flatnonzero(np.diff(values)) + 1).tolist()
+    yield from zip([0, *edges], [*edges, len(values)], strict=True)
+
+
 def _runs(window: int):
     """(doc_id, row_id, text, hits) to a row for each run of windows that share a prefix found elsewhere too."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["prefix", "doc_id", "row_id", "start", "windows", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out, held = utf8(batch.column(2)), [], 0
             ids, rows, hits = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for k, (data, (starts, ends, words)) in enumerate(zip(texts, each_text(texts), strict=True)):
-                low = window_prefixes(words, window)
+                low = window_samples(words, window)
                 if not len(low):
                     continue
                 hit = np.isin(low, hits[k].values.to_numpy(zero_copy_only=False))
-                edges = np.flatnonzero(np.diff(low)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(low)], strict=True):
+                for a, b in _split(low):
                     if hit[a]:
                         part = data[int(starts[a]) : int(ends[b - 1 + window - 1])]
-                        out.append((int(low[a]), ids[k], rows[k], a, b - a, part))
+                        out.append((int(low[a]), ids[k], ids[k], rows[k], a, 0, b - a, part))
                         held += len(part)
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    yield _batch(out, RUN_TYPES, RUN_NAMES)
                     out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield _batch(out, RUN_TYPES, RUN_NAMES)
 
     return run
 
 
-RUNS = "prefix long, doc_id long, row_id long, start long, windows long, words binary"
-MARKS = "row_id long, start long, windows long"
+def _extended(window: int):
+    """Runs to the runs in them that also share the greatest sample of their windows, under a prefix of both samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for (prefix, low, high, at, of, start, _, data), (starts, ends, words) in zip(rows, each_text([r[7] for r in rows]), strict=True):
+                top = window_samples(words, window, np.maximum)
+                both = mixed(top.view(np.uint64) + np.uint64(prefix * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
+                for a, b in _split(both):
+                    out.append((int(both[a]), low, high, at, of, start + a, b - a, data[int(starts[a]) : int(ends[b - 1 + window - 1])]))
+            yield _batch(out, RUN_TYPES, RUN_NAMES)
+
+    return run
 
 
 def deep_nodes(words: np.ndarray, depth: int) -> np.ndarray:
@@ -114,46 +143,39 @@ def deep_nodes(words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _tree_marks(window: int):
-    """Runs, ordered by prefix, to the windows that also start in a document with a smaller id."""
+    """Runs, ordered by prefix, to those of their windows that also start under a smaller key."""
 
-    def marks(runs: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        firsts, hashes, docs, n = [], [], [], 0
-        for (_, doc, _, _, _, _), (_, _, h) in zip(runs, each_text([r[5] for r in runs]), strict=True):
+    def marks(runs: list[tuple]) -> list[tuple]:
+        firsts, hashes, n = [], [], 0
+        for _, _, words in each_text([r[7] for r in runs]):
             firsts.append(n)
-            hashes.append(h)
-            docs.append(doc)
-            n += len(h)
+            hashes.append(words)
+            n += len(words)
         node = deep_nodes(np.concatenate(hashes), window)
-        counts = np.array([r[4] for r in runs])
+        counts = np.array([r[6] for r in runs])
         ends = np.cumsum(counts)
         place = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts) + np.repeat(firsts, counts)
-        doc = np.repeat(np.array(docs, np.int64), counts)
         of = node[place]
         least = np.full(int(node.max()) + 1, NO_ID, np.int64)
-        np.minimum.at(least, of, doc)
-        gone = doc > least[of]
-        for (_, _, row, start, windows, _), end in zip(runs, ends.tolist(), strict=True):
-            at = end - windows
-            flags = np.concatenate(([False], gone[at:end], [False])).astype(np.int8)
-            steps = np.diff(flags)
-            for a, b in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True):
-                yield row, start + a, b - a
-
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*found, strict=True) if found else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_id", "start", "windows"])
+        np.minimum.at(least, of, np.repeat(np.array([r[1] for r in runs], np.int64), counts))
+        first = least[of]
+        found = []
+        for (_, _, high, at, run_of, start, windows, _), end in zip(runs, ends.tolist(), strict=True):
+            own = first[end - windows : end]
+            found += [(at, run_of, start + a, b - a, int(own[a])) for a, b in _split(own) if own[a] < high]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, kinds, names = [], 0, [pa.int64()] * 5, [x.split()[0] for x in MARKS.split(", ")]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= TREE_WORDS and row[0] != held[-1][0]:
-                    yield batch_of(list(marks(held)))
+                    yield _batch(marks(held), kinds, names)
                     held, size = [], 0
                 held.append(row)
-                size += row[4] + window - 1
+                size += row[6] + window - 1
         if held:
-            yield batch_of(list(marks(held)))
+            yield _batch(marks(held), kinds, names)
 
     return run
 
@@ -167,20 +189,50 @@ def _windows(window: int):
             for lo in range(0, len(rows), 2000):
                 some = rows[lo : lo + 2000]
                 names, again = [], []
-                for _, _, words in each_text([r[5] for r in some]):
+                for _, _, words in each_text([r[7] for r in some]):
                     names.append(sequence_hashes(words, window).view(np.int64))
                     again.append(sequence_hashes(words ^ np.uint64(0x5851F42D4C957F2D), window).view(np.int64))
                 counts = [len(x) for x in names]
-                start = np.concatenate([r[3] + np.arange(c) for r, c in zip(some, counts, strict=True)])
-                repeated = lambda k: np.repeat(np.array([r[k] for r in some], np.int64), counts)  # noqa: B023, E731
+                start = np.concatenate([r[5] + np.arange(c) for r, c in zip(some, counts, strict=True)])
+                columns = [np.repeat(np.array([r[k] for r in some], np.int64), counts) for k in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.concatenate(names), np.concatenate(again), repeated(1), repeated(2), start.astype(np.int64))],
-                    ["name", "again", "doc_id", "row_id", "start"],
+                    [pa.array(x) for x in (np.concatenate(names), np.concatenate(again), *columns, start.astype(np.int64))], ["name", "again", "low", "high", "at", "of", "start"]
                 )
 
     return run
 
 
+def _repeated_windows(runs: DataFrame, window: int, tree_runs: int) -> DataFrame:
+    """MARKS of runs: in trees where a prefix has few, under an extended prefix else, and by whole windows at last."""
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = runs.columns
+
+    def parted(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        groups = some.groupBy("prefix").agg(F.count("*").alias("n"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+        groups = cut(groups.where("_low < _high").select("prefix", "n"), "groups")
+        few, many = (groups.where(x).select("prefix") for x in (F.col("n") <= tree_runs, F.col("n") > tree_runs))
+        dealt = some.join(few, "prefix").select(*names).repartition(parts, "prefix").sortWithinPartitions("prefix")
+        return dealt.mapInArrow(_tree_marks(window), MARKS), some.join(many, "prefix").select(*names)
+
+    in_trees, large = parted(runs)
+    # runs of a large group that are equal in their words are one from here on
+    large = cut(large.withColumns({"_one": F.xxhash64("prefix", "words"), "_two": F.xxhash64("words", F.lit(1))}), "large-runs")
+    grouped = large.groupBy("_one", "_two", "prefix", "windows").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
+    distinct = cut(grouped.select("prefix", "low", "high", F.col("_one").alias("at"), F.col("_two").alias("of"), F.lit(0).cast("long").alias("start"), "windows", "words"), "distinct-runs")
+    again, still = parted(distinct)
+    longer = cut(still.mapInArrow(_extended(window), RUNS), "extended-runs")
+    extended, rest = parted(longer)
+    single = cut(rest.mapInArrow(_windows(window), "name long, again long, low long, high long, at long, of long, start long"), "windows")
+    nodes = cut(single.groupBy("name", "again").agg(F.min("low").alias("first"), F.max("high").alias("_high")).where("first < _high").drop("_high"), "nodes")
+    in_nodes = single.join(nodes, ["name", "again"]).where("first < high").select("at", "of", "start", F.lit(1).cast("long").alias("windows"), "first")
+    found = cut(again.unionByName(extended).unionByName(in_nodes), "large-marks")
+    back = large.select("_one", "_two", "low", F.col("at").alias("_at"), F.col("of").alias("_start"))
+    of_large = back.join(found, (F.col("_one") == F.col("at")) & (F.col("_two") == F.col("of"))).where("first < low")
+    return in_trees.select("at", (F.col("of") + F.col("start")).alias("start"), "windows").unionByName(
+        of_large.select(F.col("_at").alias("at"), (F.col("_start") + F.col("start")).alias("start"), "windows")
+    )
+
+
 def _cut_texts(window: int):
     """(doc_id, text, marks) to the digest of all words, how many are in marked windows, and the others."""
 
@@ -212,9 +264,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     2. Only prefixes that occur under two keys lead to repeats. Texts with such prefixes are read again, and the runs
        of windows around the sampled suffixes are dealt by prefix to tasks, which build suffix trees over whole
        groups, a bounded number of words at a time. A node as deep as a window knows the smallest key below it.
-    3. A prefix with more runs than tree_runs, such as that of a passage in very many texts, is extended to the whole
-       window instead: a group of equal windows is then one node, and needs only its smallest key, which is combined
-       before the shuffle.
+    3. A prefix with more runs than tree_runs, such as that of a passage in very many texts, is extended: equal runs
+       become one, then runs are parted by a second sample of their windows, and if that isn't enough by the whole
+       window; a group of equal windows is then one node, and needs only its smallest key, combined before the
+       shuffle.
 
     One row for each row of docs: key as doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space, UTF-8) and kept (the words themselves as UTF-8 for texts that lost some but not all, else null). A null
@@ -236,19 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     texts = cut(rows.join(hits, "doc_id").withColumn("row_id", F.monotonically_increasing_id()), "texts")
 
     runs = cut(texts.select("doc_id", "row_id", "text", "hits").mapInArrow(_runs(window), RUNS), "runs")
-    groups = cut(runs.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("prefix", "n"), "groups")
-    small = groups.where(F.col("n") <= tree_runs).select("prefix")
-    names = [f.name for f in runs.schema.fields]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.join(small, "prefix").select(*names).repartition(parts, "prefix").sortWithinPartitions("prefix")
-    in_trees = dealt.mapInArrow(_tree_marks(window), MARKS)
-    large = runs.join(groups.where(F.col("n") > tree_runs).select("prefix"), "prefix").select(*names)
-    single = cut(large.mapInArrow(_windows(window), "name long, again long, doc_id long, row_id long, start long"), "windows")
-    nodes = single.groupBy("name", "again").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    nodes = cut(nodes, "nodes")
-    in_nodes = single.join(nodes, ["name", "again"]).where(F.col("doc_id") > F.col("low")).select("row_id", "start", F.lit(1).cast("long").alias("windows"))
-    marks = in_trees.unionByName(in_nodes).groupBy("row_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
-
+    marks = _repeated_windows(runs, window, tree_runs).groupBy(F.col("at").alias("row_id")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     marked = texts.select("doc_id", "text", "row_id").join(cut(marks, "marks"), "row_id").select("doc_id", "text", "marks")
     changed = cut(marked.mapInArrow(_cut_texts(window), "_doc long, _sha string, n_removed long, kept binary"), "changed")
     changed = changed.dropDuplicates(["_doc", "_sha"])
