@@ -56,9 +56,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "chunks"])
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """A table of docs with the column row_id, which tells rows apart that are equal in all columns."""
-    return cut(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+def spare(name: str, docs: DataFrame) -> str:
+    """name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_id(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A table of docs with a column more, and its name, which tells rows apart that are equal in all others."""
+    name = spare("row_id", docs)
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def normalised(text: str) -> F.Column:
@@ -116,6 +125,6 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose text equals that of a row with a smaller key."""
-    rows = with_row_id(docs)
-    gone = exact_groups(rows, key, text, row_id="row_id").where("NOT kept").select("row_id")
-    return rows.join(gone, "row_id", "left_anti").select(*docs.columns)
+    rows, name = with_row_id(docs)
+    gone = exact_groups(rows, key, text, row_id=name).where("NOT kept").select(F.col("row_id").alias(name))
+    return rows.join(gone, name, "left_anti").select(*docs.columns)

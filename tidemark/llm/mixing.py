@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact_dedup import spare, with_row_id
 from tidemark.plans.prefix_sums import running_totals
 from tidemark.plans.scratch import cut
 
@@ -81,15 +82,14 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     The document at a source's cut comes once more with its first words only, one space between them; documents of which nothing is taken
     are not in the mix, nor are those without words. n_chars follows the text.
     """
-    from tidemark.llm.exact_dedup import with_row_id
-
-    rows = with_row_id(docs)
-    plan = mix_documents(rows, key=key, text=text, source=source, row_id="row_id", **how).where("taken > 0")
-    joined = rows.join(plan.select(F.col("row_id").alias("_row"), F.col("size").alias("_size"), F.col("taken").alias("_taken")), F.col("row_id") == F.col("_row"))
-    copies = joined.withColumn("_words", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), i -> least(_size, _taken - i * _size))")))
+    rows, row = with_row_id(docs)
+    size, taken, some = (spare(x, rows) for x in ("size", "taken", "words"))
+    plan = mix_documents(rows, key=key, text=text, source=source, row_id=row, **how).where("taken > 0")
+    joined = rows.join(plan.select(F.col("row_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)), row)
+    copies = joined.withColumn(some, F.explode(F.expr(f"transform(sequence(0L, (`{taken}` - 1) div `{size}`), i -> least(`{size}`, `{taken}` - i * `{size}`))")))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")
-    copies = copies.withColumn(text, F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col(text)))
+    head = F.array_join(F.slice(words, F.lit(1), F.col(some).cast("int")), " ")
+    copies = copies.withColumn(text, F.when(F.col(some) < F.col(size), head).otherwise(F.col(text)))
     if n_chars in docs.columns:
         copies = copies.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
     return copies.select(*docs.columns)

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.shingling import each_text, mixed, shingle_set
 from tidemark.llm.tokens import utf8
 from tidemark.operators.components import connected_components
-from tidemark.plans.scratch import cut, release
+from tidemark.plans.scratch import cut
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Buckets of up to so many members compare all of them at once; larger ones a few against all, round by round.
-SMALL_BUCKET = 6
+#: Buckets of up to so many classes compare their sketches inside a task; larger ones are compared in blocks.
+SMALL_BUCKET = 1024
 
 _RANDOM = np.random.default_rng(90210)
 _A = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -56,8 +56,8 @@ def sketch_similarity(differing: int) -> float:
     return max(0.0, 1 - flips / (2 * SAMPLES))
 
 
-def most_differing(similarity: float, deviations: float = 7.0) -> int:
-    """Sketches of texts at this similarity differ in more bits than this once in 10**11 cases or less often."""
+def most_differing(similarity: float, deviations: float = 5.5) -> int:
+    """Sketches of texts at this similarity differ in more bits than this once in 5 * 10**7 cases or less often."""
     spread = math.sqrt(similarity * (1 - similarity) / SAMPLES + 1 / (4 * SKETCH_BITS * 4))
     least = similarity - deviations * spread
     return max(d for d in range(SKETCH_BITS // 2) if sketch_similarity(d) >= least)
@@ -102,20 +102,128 @@ def _sketched(length: int, lower: bool, with_sets: bool):
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough; first by size and odd sketch, then on full sets."""
-    light = lambda x: classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(light("a"), "a").join(light("b"), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).where(differing <= most_differing(percent / 100))
-    near = cut(near.select("a", "b", "n_a", "n_b"), "sketched-pairs")
-    full = near.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(
+def _close_pairs(band: np.ndarray, n: np.ndarray, of: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(one, other, differing): places of rows of a bucket, in different components, that size and sketch don't rule out.
+
+    All rows of a bucket are compared, buckets of the same size at once. Rows are ordered by band.
+    """
+    most = most_differing(percent / 100)
+    begins = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+    sizes = np.diff(np.append(begins, len(band)))
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        rows = begins[sizes == size]
+        for lo in range(0, len(rows), max(1, 100_000 // size)):
+            some = rows[lo : lo + max(1, 100_000 // size)]
+            for step in range(1, size):
+                one = (some[:, None] + np.arange(size - step)).ravel()
+                other = one + step
+                fits = (100 * np.minimum(n[one], n[other]) >= percent * np.maximum(n[one], n[other])) & (of[one] != of[other])
+                one, other = one[fits], other[fits]
+                differing = np.bitwise_count(sketch[one] ^ sketch[other]).sum(axis=1)
+                ok = differing <= most
+                yield one[ok], other[ok], differing[ok]
+
+
+def _by_bucket(whole_buckets):
+    """A function of Arrow batches, ordered by their first column, from one of batches that hold whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            band = held.column(0).to_numpy()
+            last = np.flatnonzero(band != band[-1])
+            if len(last):
+                yield whole_buckets(held.slice(0, last[-1] + 1))
+                held = held.slice(last[-1] + 1)
+        if held is not None:
+            yield whole_buckets(held)
+
+    return run
+
+
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    """(band, class, n, component, sketch) of a table as arrays."""
+    flat = table.column(4).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return [*(table.column(k).to_numpy() for k in range(4)), flat.view(np.uint64).reshape(-1, SKETCH_BITS // 64)]
+
+
+def _mates(percent: int):
+    """Rows (band, class, n, component, sketch) to one row for each class that has mates: its smallest and its closest."""
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        band, cls, n, of, sketch = _columns(table)
+        found = list(_close_pairs(band, n, of, sketch, percent))
+        empty = np.zeros(0, np.int64)
+        one, other, differing = (np.concatenate([*x, empty]).astype(np.int64) for x in (zip(*found, strict=True) if found else ([], [], [])))
+        ends, others, d = np.concatenate([one, other]), cls[np.concatenate([other, one])], np.concatenate([differing, differing])
+        smallest, closest = np.lexsort((others, ends)), np.lexsort((others, d, ends))
+        ordered = ends[smallest]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        at = ordered[first]
+        columns = [band[at], cls[at], others[smallest[first]], others[closest[first]], d[closest[first]]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["band", "a", "b", "near", "differing"])
+
+    return _by_bucket(whole)
+
+
+def _linked(percent: int):
+    """Rows (band, class, n, component, sketch, own, bands, shingles) to confirmed links of different components.
+
+    own is the band of the bucket: of the buckets that two classes share only the first by bands confirms the pair.
+    """
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        band, cls, n, of, sketch = _columns(table)
+        own = table.column(5).to_numpy()
+        bands = table.column(6).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        lists = table.column(7).combine_chunks()
+        values, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        sets = [values[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+        links = []
+        for one, other, _ in _close_pairs(band, n, of, sketch, percent):
+            shared = bands[one] == bands[other]
+            first = bands[one, shared.argmax(axis=1)] == own[one]
+            for i, j in zip(one[first].tolist(), other[first].tolist(), strict=True):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    links.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return _by_bucket(whole)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
     common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    out = cut(full.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b").distinct(), "links")
-    release(near)
-    return out
+    whole = F.size("set_a").cast("long") + F.size("set_b") - common
+    return cut(full.where(100 * common >= percent * whole).select("a", "b").distinct(), "links")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of large buckets once for each pair of blocks to be compared, under a band of that pair's own.
+
+    Classes in the component of the bucket's centre needn't meet one another, so their blocks meet only those of the
+    others: where all but a few are connected, that is in proportion to the bucket.
+    """
+    rows = members.withColumn("inside", F.col("component") == F.col("main"))
+    sizes = cut(rows.groupBy("band").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out")), "bucket-sizes")
+    half = SMALL_BUCKET // 2
+    rows = rows.join(sizes, "band").withColumns({"ins": F.expr(f"n_in div {half} + 1"), "outs": F.expr(f"n_out div {half} + 1")})
+    block = F.pmod(F.xxhash64("class"), F.when(F.col("inside"), F.col("ins")).otherwise(F.col("outs")))
+    rows = rows.withColumn("block", block)
+    with_outs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: F.struct(F.lit("out").alias("kind"), F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
+    with_ins = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ins") - 1), lambda x: F.struct(F.lit("in").alias("kind"), F.col("block").alias("x"), x.alias("y")))
+    of_ins = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: F.struct(F.lit("in").alias("kind"), x.alias("x"), F.col("block").alias("y")))
+    each = rows.withColumn("meets", F.explode(F.when(F.col("inside"), of_ins).otherwise(F.concat(with_outs, with_ins))))
+    return each.withColumn("band", F.xxhash64("band", "meets"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80, row_id: str | None = None) -> DataFrame:
@@ -125,9 +233,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     than a shingle are one shingle. Equal sets form a class, so copies are compared once. MinHash samples of a class
     give band keys, which bring candidates together, and an odd sketch, whose XOR with another's rejects
     pairs that are surely below; what is left is confirmed on full sets. At similarity 0.8 the 32 bands of 4 miss a
-    link once in 2 * 10**7. In a bucket of more than a few classes some centres are compared with all others, and
-    each round only buckets whose members aren't in one component yet go on, with twice as many centres, until all
-    buckets are connected or compared whole: so components are those of all pairs, without forming them.
+    link once in 2 * 10**7. The sketches of a bucket meet in one task, or in blocks if it is large. First each class
+    is tried with its smallest and its closest mate only; when those links are confirmed and connected, classes that
+    have close mates in other components meet once more, with their full sets, and give the links that are left. So components are those of all pairs, without forming those inside a
+    group.
 
     Returns key as doc_id, n_shingles, component_id (smallest key reachable; null only where no key is), kept
     (doc_id = component_id) and row_id. Texts without words are linked with nothing. Null keys come last; rows that
@@ -143,39 +252,43 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     classes = cut(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
     banded = classes.select("class", F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("class").alias("centre")).where("size > 1"), "buckets")
-    members = cut(banded.join(buckets, "band"), "members")
+    members = cut(banded.join(buckets, "band").join(classes.select("class", "n_shingles", "sketch"), "class"), "members")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["band", "class", "n_shingles", "component", "sketch"]
+
+    def dealt(labelled: DataFrame, *more: str) -> DataFrame:
+        return labelled.select(*columns, *more).repartition(parts, "band").sortWithinPartitions("band")
 
-    wanted = members.select("class").distinct().join(classes.select("class", "first_id"), "class").select("first_id").distinct()
+    def with_mates(labelled: DataFrame) -> DataFrame:
+        return dealt(labelled).mapInArrow(_mates(percent), "band long, a long, b long, near long, differing long")
+
+    # first only what may connect most: each class with its smallest and its closest mate, or the centre of a large bucket
+    small = members.where(F.col("size") <= SMALL_BUCKET)
+    mate = with_mates(small.withColumn("component", F.col("class"))).groupBy("a").agg(F.min("b").alias("b"), F.min_by("near", F.struct("differing", "near")).alias("near"))
+    mate = mate.select("a", F.explode(F.array("b", "near")).alias("b"))
+    stars = members.where((F.col("size") > SMALL_BUCKET) & (F.col("class") != F.col("centre"))).select(F.col("class").alias("a"), F.col("centre").alias("b"))
+    pairs = cut(mate.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes.select("class", "first_id"), "class").select("first_id").distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(_sketched(shingle_words, True, True), "n_shingles long, set_sum long, set_mix long, shingles array<long>")
     sets = cut(sets.where("n_shingles > 0").join(classes.select("class", *same_set), same_set).select("class", "shingles"), "sets")
-
-    small = members.where(F.col("size") <= SMALL_BUCKET)
-    pairs = small.select("band", F.col("class").alias("a")).join(small.select("band", F.col("class").alias("b")), "band").where("a < b").select("a", "b")
-    stars = members.where((F.col("size") > SMALL_BUCKET) & (F.col("class") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("class").alias("b"))
-    links = _confirmed(cut(pairs.unionByName(stars).distinct(), "pairs"), classes, sets, percent)
+    links = _confirmed(pairs, sets, percent)
     components = cut(connected_components(links), "components")
-    waiting = cut(members.where((F.col("size") > SMALL_BUCKET) & (F.col("class") != F.col("centre"))).select("band", "class"), "waiting")
-    centres = 1
-    while True:
-        labelled = waiting.join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        labelled = cut(labelled, "labelled")
-        draw = F.struct(F.xxhash64("class", F.lit(centres)).alias("draw"), F.col("class"))
-        split = labelled.groupBy("band").agg(F.count("*").alias("left"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(draw).alias("one"))
-        split = cut(split.where("low <> high").select("band", "left", F.col("one.class").alias("one")), "split")
-        if split.isEmpty():
-            break
-        open_now = cut(labelled.join(split, "band"), "open")
-        chosen = (F.col("class") == F.col("one")) | (F.pmod(F.xxhash64("class", F.lit(centres)), F.col("left")) < centres)
-        middle = cut(open_now.where(chosen).select("band", F.col("class").alias("a"), F.col("component").alias("of")), "centres")
-        pairs = open_now.join(middle, "band").where((F.col("class") != F.col("a")) & (F.col("component") != F.col("of")))
-        pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        more = _confirmed(cut(pairs, "pairs"), classes, sets, percent)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = cut(connected_components(links), "components")
-        waiting = cut(open_now.where(~chosen).select("band", "class"), "waiting")
-        centres *= 2
+
+    # then the close pairs between components; buckets of one component are done
+    labelled = members.join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = cut(labelled, "labelled")
+    main = F.max(F.when(F.col("class") == F.col("centre"), F.col("component"))).alias("main")
+    open_buckets = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).where("low <> high").select("band", "main")
+    left = cut(labelled.join(cut(open_buckets, "open"), "band"), "left")
+    left = left.withColumn("own", F.col("band"))
+    left = cut(left.where(F.col("size") <= SMALL_BUCKET).select(*columns, "own").unionByName(_in_blocks(left.where(F.col("size") > SMALL_BUCKET)).select(*columns, "own")), "compared")
+    alive = cut(with_mates(left).select("band", F.col("a").alias("class")), "alive")
+    whole_sets = sets.dropDuplicates(["class"]).join(classes.select("class", "bands"), "class")
+    exact = left.join(alive, ["band", "class"]).join(whole_sets, "class")
+    more = cut(dealt(exact, "own", "bands", "shingles").mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    if not more.isEmpty():
+        components = cut(connected_components(links.unionByName(more)), "components")
     whole = classes.select("class", *same_set, "first_id").join(components.withColumnRenamed("node", "class"), "class", "left")
     whole = cut(whole.withColumn("component", F.coalesce("component", "class")), "whole")
     firsts = cut(whole.groupBy("component").agg(F.min("first_id").alias("component_id")), "firsts")
@@ -192,10 +305,10 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     """
     from tidemark.llm.exact_dedup import with_row_id
 
-    rows = with_row_id(docs)
-    groups = near_groups(rows, key, text, row_id="row_id", **how)
+    rows, name = with_row_id(docs)
+    groups = near_groups(rows, key, text, row_id=name, **how)
     alone = F.col("n_shingles") == 0
     group = F.struct(alone.alias("alone"), F.when(alone, F.col("row_id")).otherwise(F.col("component_id")).alias("of"))
     groups = groups.withColumn("group", group)
-    stay = groups.where("kept").groupBy("group").agg(F.min("row_id").alias("row_id")).select("row_id")
-    return rows.join(stay, "row_id", "left_semi").select(*docs.columns)
+    stay = groups.where("kept").groupBy("group").agg(F.min("row_id").alias("row_id")).select(F.col("row_id").alias(name))
+    return rows.join(stay, name, "left_semi").select(*docs.columns)
