@@ -57,7 +57,7 @@ class Words:
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, firsts): of each distinct word the hashed 4-byte sequences of ^word$$, as many as its bytes."""
         padded = self.lengths + 3
-        begins = np.concatenate(([0], np.cumsum(padded)[:-1]))
+        begins = np.cumsum(padded) - padded
         text = np.full(int(padded.sum()) + 3, ord("$"), np.uint8)
         place = np.arange(int(self.lengths.sum())) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         text[begins] = ord("^")
@@ -224,6 +224,11 @@ def train(texts: list[bytes], toxic: np.ndarray, of_all: tuple[int, int] | None
     """
     draw = np.random.default_rng(seed)
     toxic = np.asarray(toxic, np.int64)
+    if len(set(toxic.tolist())) < 2:  # nothing to tell apart: all are like the sample
+        net = Network(np.zeros(0, np.uint64), seed)
+        net.p["out"][:] = 0
+        net.p["bias"][0] = 4.0 if len(texts) and toxic.all() else -4.0
+        return net
     words = Words(texts)
     w = Windows(words)
     grams, firsts = words.grams()
@@ -232,10 +237,6 @@ def train(texts: list[bytes], toxic: np.ndarray, of_all: tuple[int, int] | None
     common = np.argsort(-docs_with, kind="stable")[:VOCABULARY]
     common = np.sort(common[docs_with[common] >= 3])
     net = Network(words.hashes[common], seed)
-    if not len(texts) or len(set(toxic.tolist())) < 2:
-        net.p["out"][:] = 0
-        net.p["bias"][0] = 4.0 if len(texts) and toxic.all() else -4.0
-        return net
     second = grams[np.minimum(firsts + 1, len(grams) - 1)]
     ends = firsts + words.lengths
     spread = lambda d: np.unique(np.concatenate([grams[firsts[i] : ends[i]] for i in d] or [np.zeros(0, np.int64)]))
@@ -249,7 +250,7 @@ def train(texts: list[bytes], toxic: np.ndarray, of_all: tuple[int, int] | None
     hint = x[:, 0] + 2 * x[:, WIDTH] + x[:, 2 * WIDTH]
     logits = np.where(w.inside, hint[w.words], -9).max(axis=1)
     last = np.append(w.firsts[1:], len(w.words))
-    epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * len(texts))))
+    epochs = min(60, max(EPOCHS, -(-STEPS * BATCH // (2 * len(texts)))))
     for _ in range(epochs):
         chosen, target = [], []
         for y, a, b in zip(toxic.tolist(), w.firsts.tolist(), last.tolist(), strict=True):
@@ -320,12 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([t.encode() for t in sample["text"]], sample["toxic"].to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the columns held_out, score and predicted added (and replaced, if there are such already).
-
-    All overlapping windows of the whole text are scored. Null and empty texts have one empty window. Null keys and
-    repeated rows are scored like any other row.
-    """
+def score_column(docs: DataFrame, net: Network, text: str = "text") -> F.Column:
+    """The score of a text column, in batches of rows inside tasks."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
@@ -333,11 +330,20 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
         for texts in batches:
             yield pd.Series(model.value.score([(t or "").encode() for t in texts]))
 
-    out = docs.withColumn("held_out", held_out(key)).withColumn("score", scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return scored(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the columns held_out, score and predicted added (and replaced, if there are such already).
+
+    All overlapping windows of the whole text are scored. Null and empty texts have one empty window. Null keys and
+    repeated rows are scored like any other row.
+    """
+    score = score_column(docs, net, text)
+    out = docs.withColumns({"held_out": held_out(key), "score": score})
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that a network fitted to labels doesn't score as toxic."""
-    scored = score_documents(docs.select(*docs.columns, F.col(key).alias("_key")), fit(docs, labels, key, text), "_key", text)
-    return scored.where("predicted = 0").select(*docs.columns)
+    """The rows of docs, all columns as they are, that a network fitted to labels scores below one half."""
+    return docs.where(score_column(docs, fit(docs, labels, key, text), text) < 0.5)
