@@ -32,13 +32,15 @@ def group_counts(titles: DataFrame, rules: Rules, title: str = "title") -> DataF
 def capped(titles: DataFrame, rules: Rules, order: list[Column], cap: int = 0, title: str = "title") -> DataFrame:
     """The first titles of each group in an order that ends in a sequence number; @N of a group before the general cap.
 
-    The cut is made by a window over a group. What it keeps is small where caps are set, so it is made in each
-    partition of the input first.
+    Where every group has a cap, the largest is a plain limit on the window, which Spark then applies to each
+    partition before it shuffles, so a hot group doesn't meet in one task.
     """
     rows = assigned(titles, rules, title).where("group_no IS NOT NULL")
     caps = F.create_map(*[F.lit(x) for g in rules.groups for x in (g.position, g.most or cap)])
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("group_no").orderBy(*order)))
-    most = F.element_at(caps, F.col("group_no"))
+    most, limits = F.element_at(caps, F.col("group_no")), [g.most or cap for g in rules.groups]
+    if limits and min(limits) > 0:
+        ranked = ranked.where(F.col("place") <= max(limits))
     return ranked.where((most == 0) | (F.col("place") <= most))
 
 

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch: Spark's defaults, and ours, with which a Python worker holds little text at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,7 +28,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each application."""
+    """Make this package importable in Python workers, once for each application, and keep their batches small.
+
+    Batch sizes that the session has set itself stay.
+    """
+    for name, (default, own) in BATCHES.items():
+        if spark.conf.get(name, default) in (default, f"{default}b"):
+            spark.conf.set(name, own)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
