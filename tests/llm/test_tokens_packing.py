@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.packing import OpenBins, best_fit_decreasing, pack_documents
+from tidemark.llm.packing import OpenBins, best_fit_decreasing, pack_documents, packed_sequences
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.tokens import WordEncoder, default_tokenizer
 
@@ -114,3 +114,11 @@ def test_writing_again_replaces_whole_files(edge_docs, spark, tmp_path):
         write_token_files(edge_docs, str(tmp_path))
     assert read_token_files(spark, str(tmp_path)).count() == edge_docs.count()
     assert not [p for p in tmp_path.iterdir() if p.suffix not in (".bin", ".idx", ".doc", ".json")]
+
+
+def test_the_sequences_themselves(edge_docs):
+    rows = packed_sequences(pack_documents(edge_docs, capacity=64, with_ids=True)).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] <= 256 for r in rows)
+    want = sorted(i for d in edge_docs.collect() for i in [*library_ids(d["text"]), 1])
+    assert sorted(i for r in rows for i in np.frombuffer(r["ids"], "<u4").tolist()) == want
+    assert sum(len(r["doc_ids"]) for r in rows) == pack_documents(edge_docs, capacity=64).count()

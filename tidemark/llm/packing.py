@@ -97,8 +97,11 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
     return runs
 
 
-def token_pieces(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str) -> DataFrame:
-    """Token ids of each text and an end id, cut every capacity tokens: one row for each piece."""
+def token_pieces(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str, with_ids: bool = False) -> DataFrame:
+    """Token ids of each text and an end id, cut every capacity tokens: one row for each piece, if asked with its ids."""
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    if with_ids:
+        names, kinds = [*names, "ids"], [*kinds, pa.binary()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, wide = encoder(tokenizer), 4 * capacity
@@ -108,24 +111,23 @@ def token_pieces(docs: DataFrame, key: str, text: str, capacity: int, tokenizer:
                 ids += END_ID
                 for piece, at in enumerate(range(0, len(ids), wide)):
                     part = ids[at : at + wide]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pack all documents into as few sequences of at most capacity tokens as best-fit decreasing can.
 
     One row for each piece: key as doc_id, piece, start, length, ids_crc32 (of the piece's ids as little-endian
     unsigned 32-bit integers), sequence_id and offset (place in the sequence, gapless from 0). Null and empty texts
     are one piece with the end id alone; a null key stays null; repeated rows are packed each; other columns are not
-    read. What reaches the driver is the number of pieces of each length: at most capacity numbers.
+    read. With with_ids the ids of each piece come along, for packed_sequences. What reaches the driver is the number of pieces of each length: at most capacity numbers.
     """
     spark = docs.sparkSession
-    made = token_pieces(docs, key, text, capacity, tokenizer or default_tokenizer())
+    made = token_pieces(docs, key, text, capacity, tokenizer or default_tokenizer(), with_ids)
     pieces = cut(made.withColumn("_key", hash_key("doc_id", "piece", "ids_crc32")), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = best_fit_decreasing(counts, capacity)
@@ -142,4 +144,16 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", t
         "ids_crc32",
         F.expr("_bin + (_rank - _lo) div _per_bin").alias("sequence_id"),
         F.expr("_offset + (_rank - _lo) % _per_bin * length").alias("offset"),
+        *["ids"] * with_ids,
     )
+
+
+def packed_sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, doc_ids) of packed pieces with ids: the sequences themselves.
+
+    ids are little-endian unsigned 32-bit integers; doc_ids has the document of each piece in order. A sequence has at
+    most as many pieces as tokens, so a group is bounded.
+    """
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("pieces"))
+    joined = F.aggregate("pieces", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))
+    return rows.select("sequence_id", "length", joined.alias("ids"), F.transform("pieces", lambda p: p["doc_id"]).alias("doc_ids"))
