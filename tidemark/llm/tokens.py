@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Words whose ids a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Stands between words that are encoded together; it can't be part of another token.
 MARK = b"\x01"
 #: Latin letters between ASCII marks other than the apostrophe: the letters are one token word, each run of marks another.
@@ -38,6 +38,7 @@ class WordEncoder:
         marks = self._ids(MARK.decode())
         self.mark = int(marks[0]) if len(marks) == 1 else None
         self.letters = self._byte_level()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -65,19 +66,30 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        known, table, model, others = self.known, self.letters, self.tokenizer.model, []
+        known, table, tokenize, packed, others = self.known, self.letters, self.tokenizer.model.tokenize, self.packed, []
+        match = PLAIN.fullmatch
         for word in words:
-            m = PLAIN.fullmatch(word) if table else None
+            m = match(word) if table else None
             if m is None or b"<|" in word:
                 others.append(word)
                 continue
             head, core, tail = m.groups()
-            core = core.decode().lower()
-            raw = known.get(core.encode())
+            if core.isascii():
+                core = core.lower()
+                raw = known.get(core)
+                letters = core.decode() if raw is None else ""
+            else:
+                letters = core.decode().lower()
+                core = letters.encode()
+                raw = known.get(core)
+                letters = letters.translate(table) if raw is None else ""
             if raw is None:
-                ids = [t.id for t in model.tokenize(core.translate(table))]
-                raw = known[core.encode()] = b"".join([i.to_bytes(4, "little") for i in ids])
-            known[word] = (self._one(head) if head else b"") + raw + (self._one(tail) if tail else b"")
+                raw = known[core] = b"".join([packed[t.id] for t in tokenize(letters)])
+            if head:
+                raw = (known.get(head) or self._one(head)) + raw
+            if tail:
+                raw += known.get(tail) or self._one(tail)
+            known[word] = raw
         plain = [w for w in others if MARK not in w] if self.mark is not None else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
