@@ -20,6 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
 
 
+#: Paths of all tables that cut() wrote in this process, in order.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -32,18 +36,25 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    MADE.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and that nothing reads any more."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_tidemark_path", None):
+            delete(df.sparkSession, [path])
 
 
 def mounted(path: str) -> str:
