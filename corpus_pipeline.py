@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.exact_dedup import drop_exact_copies
@@ -9,37 +12,55 @@ from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.near_dedup import drop_near_copies
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.toxicity import drop_toxic
-from tidemark.plans.scratch import cut
+from tidemark.plans.scratch import MADE, cut, delete
 from tidemark.session import ship
 
+#: Intermediate tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def stage(operator: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose intermediate tables are deleted when the next one starts: by then its result has been written."""
+
+    @wraps(operator)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        delete(spark, _LEFT)
+        first = len(MADE)
+        out = operator(spark, docs, sf_dir)
+        _LEFT[:] = MADE[first:]
+        return out
+
+    return run_stage
+
 
+@stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network, fitted to labels, doesn't reject."""
-    ship(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ship(spark)
     return drop_exact_copies(docs)
 
 
+@stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at similarity 0.8 of five-word shingles."""
-    ship(spark)
     return drop_near_copies(docs)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship(spark)
     return mixed_documents(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    ship(spark)
     return pack_documents(docs, 4096)
 
 
@@ -58,8 +79,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each reads what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, each) in enumerate(STAGES):
+        docs = each(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage-{k}")
     return docs
