@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shingling import each_text, mixed, shingle_set
 from tidemark.llm.tokens import utf8
 from tidemark.operators.components import connected_components
-from tidemark.plans.scratch import cut
+from tidemark.plans.scratch import cut, release
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -280,8 +280,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     labelled = cut(labelled, "labelled")
     main = F.max(F.when(F.col("class") == F.col("centre"), F.col("component"))).alias("main")
     open_buckets = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).where("low <> high").select("band", "main")
-    left = cut(labelled.join(cut(open_buckets, "open"), "band"), "left")
-    left = left.withColumn("own", F.col("band"))
+    opened = cut(labelled.join(cut(open_buckets, "open"), "band"), "opened")
+    left = opened.withColumn("own", F.col("band"))
     left = cut(left.where(F.col("size") <= SMALL_BUCKET).select(*columns, "own").unionByName(_in_blocks(left.where(F.col("size") > SMALL_BUCKET)).select(*columns, "own")), "compared")
     alive = cut(with_mates(left).select("band", F.col("a").alias("class")), "alive")
     whole_sets = sets.dropDuplicates(["class"]).join(classes.select("class", "bands"), "class")
@@ -293,6 +293,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     whole = cut(whole.withColumn("component", F.coalesce("component", "class")), "whole")
     firsts = cut(whole.groupBy("component").agg(F.min("first_id").alias("component_id")), "firsts")
     known = cut(whole.join(firsts, "component").select(*same_set, "component_id"), "known")
+    release(classes, buckets, members, pairs, sets, links, labelled, opened, left, alive, more, whole, firsts)
     out = sketched.select("doc_id", "row_id", *same_set).join(known, same_set, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "row_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
