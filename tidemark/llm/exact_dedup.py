@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import utf8
@@ -95,12 +95,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
     name = F.xxhash64("chunk").bitwiseAND(F.lit(mask).cast("long"))
     contents = rows.select("text").mapInArrow(_chunks, "chunks array<binary>").select(F.explode("chunks").alias("chunk"))
     contents = contents.select(name.alias("name"), "chunk").groupBy("name", "chunk").agg(F.count("*").alias("_times"))
-    shared = cut(contents.groupBy("name").agg(F.count("*").alias("contents"), F.sort_array(F.collect_list("chunk")).alias("chunks")).where("contents > 1"), "clashes")
+    shared = cut(contents.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name"), "clashes")
     if shared.isEmpty():
         recipe = F.transform("chunks", lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask).cast("long")))
         recipes = chunked.select("doc_id", "row_id", "text_sha256", recipe.alias("recipe"))
     else:
-        ranks = shared.select("name", F.posexplode("chunks").alias("rank", "chunk"))
+        place = F.row_number().over(Window.partitionBy("name").orderBy("chunk")) - 1
+        ranks = cut(contents.join(shared, "name", "left_semi").select("name", "chunk", place.alias("rank")), "ranks")
         each = chunked.select("doc_id", "row_id", "text_sha256", F.posexplode_outer("chunks").alias("at", "chunk")).withColumn("name", name)
         named = each.join(ranks, ["name", "chunk"], "left").select(
             "doc_id", "row_id", "text_sha256", F.struct("at", "name", F.coalesce("rank", F.lit(0)).cast("long").alias("rank")).alias("id")
