@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_SCORES = {"cross_layer_verified": 400, "silence_gap": 320, "chinese_only_hot": 240, "high_heat_unverified": 160}
+#: Fixed values.
+BUCKET_SCORES = {"cross_layer_verified": 400, "chinese_only_hot": 320, "high_heat_unverified": 240, "silence_gap": 160}
 
 
 def digest_score(bucket: Column, has_summary: Column, platforms: Column) -> Column:

@@ -37,7 +37,7 @@ def date_range(spark, sf_dir):
     return titles(spark, sf_dir).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.countDistinct("day").alias("days"), F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
-@query(f"{EVIDENCE}, s AS (SELECT topic, CASE label WHEN 'cross_layer_verified' THEN 400 WHEN 'silence_gap' THEN 320 WHEN 'chinese_only_hot' THEN 240 WHEN 'high_heat_unverified' THEN 160 ELSE 0 END + least(platforms, 8) AS score FROM e) SELECT topic, score FROM s ORDER BY score DESC, topic LIMIT 40")
+@query(f"{EVIDENCE}, s AS (SELECT topic, CASE label WHEN 'cross_layer_verified' THEN 400 WHEN 'chinese_only_hot' THEN 320 WHEN 'high_heat_unverified' THEN 240 WHEN 'silence_gap' THEN 160 ELSE 0 END + least(platforms, 8) AS score FROM e) SELECT topic, score FROM s ORDER BY score DESC, topic LIMIT 40")
 def digest_scores(spark, sf_dir):
     score = P.digest_score(F.col("label"), F.lit(False), F.col("platforms"))
     return evidence(spark, sf_dir).select("topic", score.alias("score")).orderBy(F.desc("score"), "topic").limit(40)
