@@ -10,7 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Query parameters that only track.
 TRACKING = (
@@ -27,6 +27,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
+
+
 @F.pandas_udf(StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html_lib.unescape(t))

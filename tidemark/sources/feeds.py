@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -129,6 +130,73 @@ def messages(pages: DataFrame, pattern: str = r'data-post="([^"]+)".*?<time[^>]*
     return best.select("post", F.to_timestamp("x.published_at").alias("published_at"), "x.text", "x.cursor")
 
 
+POSTS = "page_id long, at long, url string, owner string, text string, millis long, moment string"
+
+
+def _inside(x: object, apart: tuple[str, ...]) -> Iterator[dict]:
+    """The results that a timeline lists, without those that other posts quote or repeat."""
+    rest = [x]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, dict):
+            listed = x.get("tweet_results")
+            if isinstance(listed, dict) and isinstance(listed.get("result"), dict):
+                yield listed["result"]
+            rest += [v for k, v in reversed(x.items()) if k not in apart]
+        elif isinstance(x, list):
+            rest += reversed(x)
+
+
+def _at(x: object, path: str) -> object:
+    for name in path.split("."):
+        x = x.get(name) if isinstance(x, dict) else None
+    return x
+
+
+def embedded_posts(pages: DataFrame) -> DataFrame:
+    """Posts (page_id, url, owner, text, published_at) in the JSON texts that scripts of a profile page (page_id, url, html) hold.
+
+    Only the profile's own posts count, with an id of digits, a text and a time: milliseconds, or a date with an
+    offset. Of a post seen again on a page the last one stays. Pages that aren't profiles have none.
+    """
+    literal = re.compile(r'\bvalue\s*:\s*("(?:[^"\\]|\\.)*")', re.S)
+    script = re.compile(r"<script\b[^>]*>(.*?)</script\s*>", re.S | re.I)
+    profile = re.compile(r"https://(?:x|twitter)\.com/(\w+)/?", re.A)
+    apart = ("tweet_results", "quoted_tweet_results", "retweeted_status_result")
+
+    def posts(url: str, html: str) -> Iterator[tuple]:
+        handle = profile.fullmatch(url or "")
+        for text in literal.findall("\n".join(script.findall(html or ""))) if handle else ():
+            try:
+                held = json.loads(json.loads(text))
+            except (ValueError, RecursionError):
+                continue
+            for result in _inside(held, apart):
+                post = result["tweet"] if isinstance(result.get("tweet"), dict) else result
+                user = _at(post, "core.user_results.result")
+                owner = _at(user, "core.screen_name") or _at(user, "legacy.screen_name")
+                body = _at(post, "note_tweet.note_tweet_results.result.text") or _at(post, "details.full_text") or _at(post, "legacy.full_text")
+                key, millis = str(_at(post, "rest_id") or ""), _at(post, "details.created_at_ms") or _at(post, "legacy.created_at_ms")
+                moment = _at(post, "details.created_at") or _at(post, "legacy.created_at")
+                if str(owner or "").lower() == handle[1].lower() and re.fullmatch("[0-9]+", key) and isinstance(body, str):
+                    whole = int(millis) if re.fullmatch("-?[0-9]{1,15}", str(millis)) else None
+                    yield f"https://x.com/{handle[1]}/status/{key}", handle[1], body, whole, None if millis is not None else str(moment)
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(page, at, *post) for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True) for at, post in enumerate(posts(url, html))]
+            yield pd.DataFrame(rows, columns=["page_id", "at", "url", "owner", "text", "millis", "moment"]).astype({"millis": "Int64", "at": "int64"})
+
+    rows = pages.select("page_id", "url", "html").mapInPandas(found, POSTS)
+    # dates such as 'Wed Mar 13 08:00:00 +0000 2024' or 'Wed, 13 Mar 2024 08:00:00 +0000'
+    one = F.regexp_extract("moment", r"^\w{3} (\w{3} \d{1,2} [\d:]{8} [+-]\d{4} \d{4})$", 1)
+    other = F.regexp_extract("moment", r"^(?:\w{3}, )?(\d{1,2} \w{3} \d{4} [\d:]{8} [+-]\d{4})$", 1)
+    dated = F.coalesce(F.try_to_timestamp(one, F.lit("MMM d HH:mm:ss Z yyyy")), F.try_to_timestamp(other, F.lit("d MMM yyyy HH:mm:ss Z")))
+    rows = rows.withColumn("published_at", F.coalesce(F.timestamp_millis("millis"), dated)).where("published_at IS NOT NULL")
+    last = rows.groupBy("page_id", "url").agg(F.max_by(F.struct("owner", "text", "published_at"), "at").alias("x"))
+    return last.select("page_id", "url", "x.owner", "x.text", "x.published_at")
+
+
 def fetched(spark: SparkSession, ids: list[str], fetch: Callable[[str], str | None]) -> DataFrame:
     """(source_id, body) by a callable, one task for each source; None is a failed source, whose body is null."""
 
