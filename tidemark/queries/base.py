@@ -74,6 +74,20 @@ TITLES = """ti AS (SELECT doc_id AS seq, source AS source_id, lang, substr(split
 ws AS (SELECT seq, source_id, day, title, unnest(list_filter(regexp_extract_all(lower(title), '\\p{L}+'), lambda w: length(w) >= 2)) AS word FROM ti)"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of whole texts: each line that isn't blank, uncut, as titles() has first lines; seq is of document and line."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), "lang", F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    rows = each.where(r"rlike(title, '\\S')").select(
+        (F.shiftleft("doc_id", 32) + F.col("line")).alias("seq"),
+        "source_id",
+        "lang",
+        "title",
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"),
+        (F.col("doc_id") * 7 % 60 + 1).alias("rank"),
+    )
+    return rows.withColumn("words", F.filter(latin_words(F.col("title")), lambda w: F.length(w) >= 2))
+
+
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in tiers by their number: 0-4 A, 5-9 B, 10-14 C, 15-19 D."""
     n = F.regexp_extract("id", r"(\d+)$", 1).cast("int")

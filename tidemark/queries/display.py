@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import display as D
 from tidemark.functions import reader, records
 from tidemark.operators import events as E
-from tidemark.queries.base import TITLES, events, query, table, titles
+from tidemark.queries.base import TITLES, events, lines, query, table, titles
 from tidemark.queries.topics import EVIDENCE, evidence
 
 WORDS = ["review", "the", "data", "model", "und", "les", "que"]
@@ -47,7 +47,7 @@ def structural_reason(spark, sf_dir):
 
 @query()
 def reader_noise(spark, sf_dir):
-    rows = titles(spark, sf_dir)
+    rows = lines(spark, sf_dir)
     return rows.select("seq", reader.is_noise(F.col("title"), F.array("title"), F.lit(False), no_games=True).alias("noise"))
 
 
@@ -109,7 +109,7 @@ def merged_feeds(spark, sf_dir):
 @query()
 def bound_events(spark, sf_dir):
     """Titles that claim the two hundreds their numbers fall in by two rules: the first by number takes both."""
-    rows = titles(spark, sf_dir)
+    rows = lines(spark, sf_dir)
     ids = F.array(F.concat(F.lit("a"), (F.col("seq") * 7 % 1009).cast("string")), F.concat(F.lit("b"), (F.col("seq") * 11 % 997).cast("string")))
     proposed = rows.select(F.col("seq").alias("place"), F.col("source_id").alias("topic"), "title", ids.alias("evidence_ids"))
     known = proposed.select(F.explode("evidence_ids").alias("evidence_id")).distinct()

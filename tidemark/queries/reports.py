@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.entities import entities
 from tidemark.operators import reports as P
-from tidemark.queries.base import TITLES, query, table, titles
+from tidemark.queries.base import TITLES, lines, query, table, titles
 from tidemark.queries.rules import ASSIGNED, NAMES, R
 from tidemark.queries.topics import EVIDENCE, evidence
 from tidemark.operators import grouping as G
@@ -69,4 +69,4 @@ def filter_report(spark, sf_dir):
 
 @query()
 def title_entities(spark, sf_dir):
-    return titles(spark, sf_dir).select("seq", entities(F.col("title")).alias("entities"))
+    return lines(spark, sf_dir).select("seq", entities(F.col("title")).alias("entities"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import moments as M
 from tidemark.functions import text as X
 from tidemark.operators import search as S
-from tidemark.queries.base import TITLES, query, table, titles
+from tidemark.queries.base import TITLES, lines, query, table, titles
 from tidemark.sources import feeds
 
 SQL_TRACK = "(" + ", ".join(f"'{t}'" for t in X.TRACKING) + ")"
@@ -130,17 +130,17 @@ def search_rss_dedupe(spark, sf_dir):
 
 @query()
 def search_fuzzy(spark, sf_dir):
-    return S.by_fuzzy(titles(spark, sf_dir), "the and attion to", 0.5).select("seq", "score")
+    return S.by_fuzzy(lines(spark, sf_dir), "the and attion to", 0.5).select("seq", "score")
 
 
 @query()
 def related_titles(spark, sf_dir):
-    return S.related_by_keywords(titles(spark, sf_dir), "The and attion to thanedble the, anea.", 0.2).select("seq", "score")
+    return S.related_by_keywords(lines(spark, sf_dir), "The and attion to thanedble the, anea.", 0.2).select("seq", "score")
 
 
 @query()
 def related_titles_by_text(spark, sf_dir):
-    return S.related_by_text(titles(spark, sf_dir), "The and attion to thanedble the, anea.", 0.3).select("seq", "score")
+    return S.related_by_text(lines(spark, sf_dir), "The and attion to thanedble the, anea.", 0.3).select("seq", "score")
 
 
 @query()

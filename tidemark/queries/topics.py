@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores as S
 from tidemark.operators import cluster, topics
 from tidemark.operators import history as H
-from tidemark.queries.base import OBS, OFF, TIER, TITLES, query, tiers, titles
+from tidemark.queries.base import OBS, OFF, TIER, TITLES, lines, query, tiers, titles
 from tidemark.queries.history import full_history
 
 ITEMS = f"{TITLES}, it AS (SELECT ws.word AS topic, ti.source_id, {TIER.replace('source_id', 'ti.source_id')} AS tier, ti.rank, ti.title, ti.seq FROM ws JOIN ti USING (seq) WHERE length(word) >= 5)"
@@ -118,7 +118,7 @@ def title_clusters(spark, sf_dir):
 
 @query()
 def event_candidates(spark, sf_dir):
-    rows = titles(spark, sf_dir).withColumn("url", F.lit(""))
+    rows = lines(spark, sf_dir).withColumn("url", F.lit(""))
     kind = F.when(F.col("source_id").isin("src0", "src1", "src2"), "rss").otherwise("hotlist")
     found = cluster.candidates(cluster.clustered(rows.select("seq", "url", "title", "source_id", "rank", kind.alias("kind"))))
     return found.select("candidate_id", "display_title", "items", "best_rank", "has_hotlist", "has_rss", F.size("sources").alias("sources"))
