@@ -145,8 +145,8 @@ def related_titles_by_text(spark, sf_dir):
 
 @query()
 def aggregate_similar(spark, sf_dir):
-    rows = titles(spark, sf_dir).withColumn("weight", (100 - F.col("rank")).cast("double"))
-    return S.merged_reports(rows, ["day", "lang"]).select("day", "lang", "title", "n", F.size("sources").alias("platforms"))
+    rows = lines(spark, sf_dir).withColumn("weight", (100 - F.col("rank")).cast("double"))
+    return S.merged_reports(rows, []).select("title", "n", F.size("sources").alias("platforms"), F.size("days").alias("days"))
 
 
 @query("SELECT event_id, epoch(TIMESTAMP '2024-01-20') - epoch(date_trunc('second', ts)) <= 7 * 86400 AS fresh, (epoch(TIMESTAMP '2024-01-20') - epoch(date_trunc('second', ts))) / 86400.0 AS days_old FROM events")
