@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,24 @@ def sketch_similarity(differing: int) -> float:
     return max(0.0, 1 - flips / (2 * SAMPLES))
 
 
-def most_differing(similarity: float, deviations: float = 5.5) -> int:
-    """Sketches of texts at this similarity differ in more bits than this once in 5 * 10**7 cases or less often."""
-    spread = math.sqrt(similarity * (1 - similarity) / SAMPLES + 1 / (4 * SKETCH_BITS * 4))
-    least = similarity - deviations * spread
-    return max(d for d in range(SKETCH_BITS // 2) if sketch_similarity(d) >= least)
+@cache
+def _tail(similarity: float) -> np.ndarray:
+    """Chances that sketches of texts at this similarity differ in more than 0, 1, 2, ... bits.
+
+    Of SAMPLES samples a binomial number differ, and each of those flips two random bits.
+    """
+    bits, odd, tail = np.arange(SKETCH_BITS + 1), np.eye(1, SKETCH_BITS + 1)[0], np.zeros(SKETCH_BITS + 1)
+    for m in range(SAMPLES + 1):
+        tail += math.comb(SAMPLES, m) * (1 - similarity) ** m * similarity ** (SAMPLES - m) * np.append(odd[:0:-1].cumsum()[::-1], 0)
+        for _ in range(2):
+            up, down = odd * (SKETCH_BITS - bits) / SKETCH_BITS, odd * bits / SKETCH_BITS
+            odd = np.append(0, up[:-1]) + np.append(down[1:], 0)
+    return tail
+
+
+def most_differing(similarity: float, chance: float = 2e-9) -> int:
+    """Sketches of texts at this similarity differ in more bits than this with at most this chance, by the exact tail."""
+    return int(np.flatnonzero(_tail(similarity) <= chance)[0])
 
 
 def _band_keys(samples: np.ndarray) -> np.ndarray:
