@@ -300,13 +300,18 @@ def _calibrate(net: Network, highest: np.ndarray, toxic: np.ndarray, weights: np
     net.p["scale"] = np.array([max(scale, 0.05), shift], np.float32)
 
 
+def known_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, toxic): one label of each document that isn't held out, without null labels and null keys."""
+    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    return known.where(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     """At most rows labelled texts of either label that are not held out, in the order of a hash: a bounded sample.
 
     Texts beyond SAMPLE_BYTES are not drawn. Null labels and null keys are no labels.
     """
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.where(~held_out()).dropDuplicates(["doc_id"]).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
+    known = known_labels(labels, key).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
     # twice the rows, for those that are too long or have no text
     picked = known.where("toxic = 1").orderBy("draw").limit(2 * rows).unionByName(known.where("toxic = 0").orderBy("draw").limit(2 * rows))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
@@ -316,7 +321,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Network:
-    counts = {r["toxic"]: r["n"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in known_labels(labels, key).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = training_rows(docs, labels, key, text, rows)
     return train([t.encode() for t in sample["text"]], sample["toxic"].to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
 
