@@ -17,43 +17,64 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _run_hashes(hashed: Column, length: int) -> Column:
+    """A hash of each run of length words, from the hashes of the words: runs of 1, 2, 4, ... words, and two that overlap."""
+
+    def joined(runs: Column, step: int) -> Column:
+        both = lambda r: F.zip_with(F.slice(r, F.lit(1), F.size(r) - step), F.slice(r, F.lit(1 + step), F.size(r) - step), lambda a, b: F.xxhash64(a, b))
+        return _bound(runs, both)
+
+    done, runs = 1, hashed
+    while done < length:
+        step = min(done, length - done)
+        runs = joined(runs, step)
+        done += step
+    return runs
+
+
 def fingerprint(text: Column, shingle_words: int = 5, bins: int = BINS, bits: int = BITS) -> Column:
     """The packed fingerprint of a text as hexadecimal digits; of a text without words, ''.
 
     Each shingle is hashed once; the top bits of the hash name its bin, and a bin keeps its least hash. An empty bin
     takes over the bin that is full and comes first in an order of the bins drawn for the empty one (optimal
-    densification), so its value too is a uniform draw from the set. Of each value the low bits are kept. Fewer words
-    than a shingle are one shingle.
+    densification), so its value too is a uniform draw from the set: eight bins are drawn one after the other, and
+    where all of them are empty, the full bin with the least draw follows. Of each value the low bits are kept. Fewer
+    words than a shingle are one shingle.
     """
     shift = 64 - (bins.bit_length() - 1)
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
+    def bin_of(x: Column) -> Column:
+        # in signed order, so that the bins come one after the other in sorted hashes
+        return F.shiftright(x, shift) + bins // 2
+
     def shingles(h: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(h) - (shingle_words - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(shingle_words)]))
+        many = _run_hashes(h, shingle_words)
         return F.when(F.size(h) >= shingle_words, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
 
-    def bin_of(x: Column) -> Column:
-        return F.shiftrightunsigned(x, shift)
-
     def least(s: Column) -> Column:
-        # in unsigned order, so that the bins come one after the other; the first of each is its least
-        return F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.element_at(s, F.greatest(i, F.lit(1))))))
-
-    ordered = _bound(hashed, lambda h: F.sort_array(F.transform(shingles(h), lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))))
-    signed = F.transform(ordered, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
-    full = _bound(signed, least)
+        # the first of each bin is its least
+        return F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(s, i - 1), shift)))
 
-    def taken(at: Column, found: Column) -> Column:
-        order = F.transform(found, lambda x: F.struct(F.when(bin_of(x) == at, F.lit(-(1 << 63))).otherwise(F.xxhash64(at, bin_of(x))).alias("draw"), x.alias("value")))
+    def drawn(at: Column, found: Column) -> Column:
+        order = F.transform(found, lambda x: F.struct(F.xxhash64(at, bin_of(x)).alias("draw"), x.alias("value")))
         return F.array_min(order)["value"]
 
-    def own_or_taken(found: Column) -> Column:
-        by_bin = F.map_from_entries(F.transform(found, lambda x: F.struct(bin_of(x), x)))
-        return _bound(by_bin, lambda m: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda at: F.coalesce(F.try_element_at(m, at), taken(at, found))))
+    def slots(found: Column) -> Column:
+        at = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
+        return _bound(F.transform(found, bin_of), lambda full: F.transform(at, lambda b: F.get(found, (F.array_position(full, b) - 1).cast("int"))))
+
+    def dense(found: Column) -> Column:
+        def filled(own: Column) -> Column:
+            tries = [lambda b, k=k: F.get(own, F.shiftrightunsigned(F.xxhash64(b, F.lit(k)), shift).cast("int")) for k in range(8)]
+            return F.transform(own, lambda x, b: F.coalesce(x, *[f(b) for f in tries], drawn(b, found)))
+
+        return _bound(slots(found), filled)
 
     packed = lambda v: F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << bits) - 1))), bits // 4, "0")), "")
-    return F.lower(_bound(full, lambda f: F.when(F.size(f) == 0, F.lit("")).otherwise(packed(own_or_taken(f)))))
+    full = _bound(F.sort_array(_bound(hashed, shingles)), least)
+    return F.lower(_bound(full, lambda f: F.when(F.size(f) == 0, F.lit("")).otherwise(packed(dense(f)))))
 
 
 def likeness(one: Column, other: Column, bins: int = BINS, bits: int = BITS) -> Column:
@@ -98,18 +119,19 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     order = cut(next_keys(rows), "next-keys")
     lengths = cut(rows.select("key", F.char_length("text").cast("long").alias("n")).groupBy("key").agg(F.max("n").alias("longest"), F.count("*").alias("rows")), "lengths")
     wanted = cut(order.join(lengths, "key").select(F.col("key").alias("before"), F.col("next").alias("key"), "longest"), "wanted")
-    # both joins below deal out the same (key, text), so Spark moves the texts once
+    # each text is fingerprinted where it is read; both joins shuffle the same rows, so Spark moves them once
+    rows = rows.withColumn("print", fingerprint(F.col("text")))
     stand_in = rows
     if not lengths.where("rows > 1").isEmpty():
-        stand_in = rows.groupBy("key").agg(F.min("text").alias("text"))
-    heads = wanted.join(stand_in, "key").select(
-        F.col("before").alias("key"), F.substr("text", F.lit(1), F.expr("int(longest div 2)")).alias("head"), fingerprint(F.col("text")).alias("next_print")
+        stand_in = rows.groupBy("key").agg(F.min(F.struct("text", "print")).alias("least")).select("key", "least.text", "least.print")
+    heads = wanted.join(stand_in.hint("merge"), "key").select(
+        F.col("before").alias("key"), F.substr("text", F.lit(1), F.expr("int(longest div 2)")).alias("head"), F.col("print").alias("next_print")
     )
-    joined = rows.join(heads, "key").withColumn("n_chars", F.char_length("text").cast("long"))
+    joined = rows.hint("merge").join(heads, "key").withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.expr("int(n_chars div 2)")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr("head", F.lit(1), half))
-    both = joined.select("key", "n_chars", "text", edited.alias("edited"), "next_print")
-    out = both.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
+    both = joined.select("key", "n_chars", edited.alias("edited"), "print", "next_print")
+    out = both.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
     return out.select(
         F.when(F.col("key") != low, F.col("key")).alias("doc_id"),
         "n_chars",
