@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ CUT_BITS = 11
 #: Bytes that the rolling hash looks back on, and so the least length of a chunk.
 WINDOW = 32
 LONGEST = 1 << 15
-SPACES = r"[\x20\x09-\x0D]+"
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -45,15 +45,24 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
+def one_spaced(data: bytes) -> bytes:
+    """data with each run of ASCII white space replaced by one space."""
+    words = b" ".join(data.split())
+    if not words:
+        return b" " if data else b""
+    return b" " * data[:1].isspace() + words + b" " * data[-1:].isspace()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(any columns, text last) to the same columns with the text's chunks in order."""
+    """(doc_id, row_id, text) to (doc_id, row_id, text_sha256, chunks): digest and chunks of the text with single spaces."""
     for batch in batches:
-        cut_up = []
-        for data in utf8(batch.column(batch.num_columns - 1)):
+        shas, cut_up = [], []
+        for data in map(one_spaced, utf8(batch.column(2))):
             ends = chunk_ends(data)
+            shas.append(hashlib.sha256(data).hexdigest())
             cut_up.append([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        columns = [*batch.columns[:-1], pa.array(cut_up, pa.list_(pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "chunks"])
+        columns = [batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.array(cut_up, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_id", "text_sha256", "chunks"])
 
 
 def spare(name: str, docs: DataFrame) -> str:
@@ -70,17 +79,14 @@ def with_row_id(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def normalised(text: str) -> F.Column:
-    return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACES, " ")
-
-
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_id: str | None = None, hash_bits: int = 64) -> DataFrame:
     """Groups of equal texts, where any run of ASCII white space counts as one space; one row for each row of docs.
 
-    Each text is cut into content-defined chunks. Chunks are deduplicated by content, combined before the shuffle, to
-    identifiers: the chunk's hash, and where different contents share one, the content's rank among them; so equal
-    identifiers mean equal bytes. Texts are then equal exactly when their ordered lists of identifiers are. A
-    chunk's content moves once; texts don't. hash_bits makes the hash weaker, for tests of that rank.
+    Each text is cut once into content-defined chunks, which go into a table with their hashes. Chunks are deduplicated
+    by content, combined before the shuffle, to identifiers: the chunk's hash, and where different contents share one,
+    the content's rank among them; so equal identifiers mean equal bytes. Texts are then equal exactly when their
+    ordered lists of identifiers are. A chunk's content moves once; texts don't. hash_bits makes the hash weaker, for
+    tests of that rank.
 
     Returns key as doc_id, keep_id (doc_id of the row that stays), group_size, kept, text_sha256 (of the text with
     its white space replaced) and row_id. The row with the smallest key stays, null last; of rows with that same key
@@ -88,17 +94,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
     """
     mask = (1 << (hash_bits - 1)) - 1 if hash_bits < 64 else -1
     own = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"), own.cast("long").alias("row_id"), F.sha2(normalised(text), 256).alias("text_sha256"), normalised(text).alias("text")
-    )
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), own.cast("long").alias("row_id"), F.col(text).cast("string").alias("text"))
     chunked = rows.mapInArrow(_chunks, "doc_id long, row_id long, text_sha256 string, chunks array<binary>")
-    name = F.xxhash64("chunk").bitwiseAND(F.lit(mask).cast("long"))
-    contents = rows.select("text").mapInArrow(_chunks, "chunks array<binary>").select(F.explode("chunks").alias("chunk"))
-    contents = contents.select(name.alias("name"), "chunk").groupBy("name", "chunk").agg(F.count("*").alias("_times"))
+    low_bits = lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask).cast("long"))
+    chunked = cut(chunked.withColumn("names", F.transform("chunks", low_bits)), "chunks")
+    name = low_bits("chunk")
+    contents = chunked.select(F.explode("chunks").alias("chunk")).select(name.alias("name"), "chunk").groupBy("name", "chunk").agg(F.count("*").alias("_times"))
     shared = cut(contents.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name"), "clashes")
     if shared.isEmpty():
-        recipe = F.transform("chunks", lambda c: F.xxhash64(c).bitwiseAND(F.lit(mask).cast("long")))
-        recipes = chunked.select("doc_id", "row_id", "text_sha256", recipe.alias("recipe"))
+        recipes = chunked.select("doc_id", "row_id", "text_sha256", F.col("names").alias("recipe"))
     else:
         place = F.row_number().over(Window.partitionBy("name").orderBy("chunk")) - 1
         ranks = cut(contents.join(shared, "name", "left_semi").select("name", "chunk", place.alias("rank")), "ranks")
@@ -108,7 +112,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
         )
         lists = F.sort_array(F.collect_list(F.when(F.col("id.at").isNotNull(), F.col("id"))))
         recipes = named.groupBy("doc_id", "row_id", "text_sha256").agg(F.flatten(F.transform(lists, lambda i: F.array(i["name"], i["rank"]))).alias("recipe"))
-    recipes = cut(recipes, "recipes")
+        recipes = cut(recipes, "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     groups = recipes.groupBy("recipe").agg(first, F.count("*").alias("group_size")).where("group_size > 1")
     groups = cut(groups, "copies").select(F.col("recipe").alias("_recipe"), "first", "group_size")
