@@ -9,7 +9,8 @@ import pytest
 from tidemark.llm import near_dedup
 from tidemark.llm.exact_dedup import chunk_ends, drop_exact_copies, exact_groups
 from tidemark.llm.near_dedup import drop_near_copies, minhashes, near_groups, odd_sketch, sketch_similarity
-from tidemark.llm.substring_dedup import deep_nodes, remove_repeats
+from tidemark.llm.shingling import sequence_hashes
+from tidemark.llm.substring_dedup import PREFIX, deep_nodes, remove_repeats, shared_words, suffix_ranks, window_samples
 from tests.llm.conftest import WORD, long_text
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -162,7 +163,7 @@ def check_substrings(docs, **how):
     assert Counter(got) == Counter(brute_removed(docs.collect(), how.get("window", 50)))
 
 
-@pytest.mark.parametrize("tree_runs", [20_000, 3, 0])
+@pytest.mark.parametrize("tree_runs", [1_000, 20, 3, 0])
 def test_repeats_equal_brute_force(null_key_docs, no_docs, spark, tree_runs):
     r = random.Random(2)
     passage = [f"p{i}" for i in range(70)]
@@ -183,16 +184,51 @@ def test_kept_words_and_clashing_columns(clashing_docs):
     check_substrings(clashing_docs)
 
 
-def test_nodes_name_equal_prefixes():
+def test_ranks_order_suffixes_by_their_first_words():
     r = np.random.default_rng(0)
     words = r.integers(0, 2, 500).astype(np.uint64)
     for depth in (1, 3, 7, 50):
-        node = deep_nodes(words, depth)
-        want = {}
-        for k in range(len(words) - depth + 1):
-            want.setdefault(node[k], set()).add(tuple(words[k : k + depth].tolist()))
-        assert len(node) == len(words) - depth + 1 and all(len(x) == 1 for x in want.values())
-        assert len({next(iter(x)) for x in want.values()}) == len(want)
+        rank = suffix_ranks(words, depth)
+        assert len(rank) == len(words) - depth + 1
+        ordered = sorted((tuple(words[k : k + depth].tolist()), int(rank[k])) for k in range(len(rank)))
+        assert [x[1] for x in ordered] == sorted(rank.tolist())
+        assert len({x[0] for x in ordered}) == len(set(ordered)) == int(rank.max()) + 1
+
+
+def test_deep_nodes_hold_the_suffixes_that_share_a_window():
+    r = np.random.default_rng(1)
+    words = r.integers(0, 3, 400).astype(np.uint64)
+    places = np.sort(r.choice(390, 300, replace=False))
+    leaves, firsts = deep_nodes(words, places, 5)
+    got = {frozenset(places[x].tolist()) for x in np.split(leaves, firsts[1:])}
+    want = {}
+    for k in places.tolist():
+        want.setdefault(tuple(words[k : k + 5].tolist()), set()).add(k)
+    assert got == {frozenset(x) for x in want.values()}
+
+
+@pytest.mark.parametrize("length", [10, 30, 40, 47, 50])
+def test_longer_prefixes_are_words_that_all_windows_of_a_part_share(length):
+    """Equal windows get equal prefixes, whatever stands around them; windows with equal prefixes share that many words."""
+    r = random.Random(5)
+    passage = [r.randrange(1, 1 << 62) for _ in range(75)]
+    texts = [[r.randrange(1, 1 << 62) for _ in range(r.randint(0, 60))] + passage[r.randint(0, 5) :] + [7] * r.randint(0, 90) for _ in range(30)]
+    prefix_of, share = {}, {}
+    for text in texts:
+        words = np.array(text, np.uint64)
+        samples = window_samples(words, 50)
+        edges = [0, *(np.flatnonzero(np.diff(samples)) + 1).tolist(), len(samples)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            part = words[a : b + 49]
+            for k, p in enumerate(shared_words(part, int(samples[a]), b - a, 50, length).tolist()):
+                window = tuple(part[k : k + 50].tolist())
+                assert prefix_of.setdefault(window, p) == p
+                pieces = {window[i : i + length] for i in range(51 - length)}
+                share[p] = share.get(p, pieces) & pieces
+    assert all(share.values()) and len(share) >= 5
+    assert len(sequence_hashes(np.arange(60, dtype=np.uint64), PREFIX)) == 51
 
 
 def test_very_long_texts(spark):

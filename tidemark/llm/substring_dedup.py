@@ -16,28 +16,27 @@ from tidemark.plans.scratch import cut
 
 #: Words of the shortest prefix, with which a suffix's group begins.
 PREFIX = 10
-#: Suffix runs of one prefix that a tree holds; the prefixes of groups beyond it are extended.
-TREE_RUNS = 20_000
+#: Suffix runs of one prefix that a subtree holds (some 100,000 words); the prefixes of groups beyond it are lengthened.
+TREE_RUNS = 1_000
 #: Words that a task's trees hold at once; whole groups are put together up to it.
 TREE_WORDS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
-def window_samples(words: np.ndarray, window: int, pick=np.minimum) -> np.ndarray:
-    """For each window of words, the least (or greatest) hash of the PREFIX-word sequences in it.
+def window_samples(words: np.ndarray, window: int) -> np.ndarray:
+    """For each window of words, the least hash of the PREFIX-word sequences in it.
 
     Equal windows have equal values, and neighbours mostly share one; so of the suffixes of a window only that which
-    begins with the sampled sequence is kept, and a run of windows around it travels once. The greatest hash
-    extends the prefix of groups that are too large.
+    begins with the sampled sequence is kept, and a run of windows around it travels once.
     """
     if len(words) < window:
         return np.zeros(0, np.int64)
     best, span, reach = sequence_hashes(words, PREFIX), window - PREFIX + 1, 1
     while 2 * reach <= span:
-        best = pick(best[:-reach], best[reach:])
+        best = np.minimum(best[:-reach], best[reach:])
         reach *= 2
     if span > reach:
-        best = pick(best[: len(best) - (span - reach)], best[span - reach :])
+        best = np.minimum(best[: len(best) - (span - reach)], best[span - reach :])
     return best.view(np.int64)
 
 
@@ -65,9 +64,10 @@ def _profiles(window: int):
     return run
 
 
-#: Of runs that are equal in their words, low and high are the least and greatest key; at and of name the run.
-RUNS = "prefix long, low long, high long, at long, of long, start long, windows long, words binary"
-RUN_TYPES = [pa.int64()] * 7 + [pa.binary()]
+#: Of runs that are equal in their words, low and high are the least and greatest key; at and of name the run. sample
+#: is the hash of the sequence that all its windows share, prefix a hash of the shared words that its group begins with.
+RUNS = "prefix long, sample long, low long, high long, at long, of long, start long, windows long, words binary"
+RUN_TYPES = [pa.int64()] * 8 + [pa.binary()]
 RUN_NAMES = [x.split()[0] for x in RUNS.split(", ")]
 #: Windows of a run, and the least key whose text starts one with the same words.
 MARKS = "at long, of long, start long, windows long, first long"
@@ -99,7 +99,7 @@ def _runs(window: int):
                 for a, b in _split(low):
                     if hit[a]:
                         part = data[int(starts[a]) : int(ends[b - 1 + window - 1])]
-                        out.append((int(low[a]), ids[k], ids[k], rows[k], a, 0, b - a, part))
+                        out.append((int(low[a]), int(low[a]), ids[k], ids[k], rows[k], a, 0, b - a, part))
                         held += len(part)
                 if held > 8 << 20:
                     yield _batch(out, RUN_TYPES, RUN_NAMES)
@@ -109,37 +109,70 @@ def _runs(window: int):
     return run
 
 
-def _extended(window: int):
-    """Runs to the runs in them that also share the greatest sample of their windows, under a prefix of both samples."""
+def shared_words(words: np.ndarray, sample: int, windows: int, window: int, length: int) -> np.ndarray:
+    """For each of the first windows of words, all with the same sample, a hash of length words that it lengthens it to.
+
+    The first place of the sample in a window tells how far into the window it begins, 0 to window - PREFIX words.
+    Windows whose distances are in the same range of window - length + 1 numbers share length words around the sample:
+    from the start of the last such window on. Equal windows have equal shared words.
+    """
+    span = window - length + 1
+    at = np.flatnonzero(sequence_hashes(words, PREFIX).view(np.int64) == sample)
+    start = np.arange(windows)
+    place = at[np.searchsorted(at, start)]
+    range_of = (place - start) // span
+    begin = place - range_of * span
+    return mixed(sequence_hashes(words, length)[begin] + range_of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _lengthened(window: int, length: int):
+    """Runs to the parts of them whose windows share length words, under these words as prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for (prefix, low, high, at, of, start, _, data), (starts, ends, words) in zip(rows, each_text([r[7] for r in rows]), strict=True):
-                top = window_samples(words, window, np.maximum)
-                both = mixed(top.view(np.uint64) + np.uint64(prefix * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
-                for a, b in _split(both):
-                    out.append((int(both[a]), low, high, at, of, start + a, b - a, data[int(starts[a]) : int(ends[b - 1 + window - 1])]))
+            for (_, sample, low, high, at, of, start, windows, data), (starts, ends, words) in zip(rows, each_text([r[8] for r in rows]), strict=True):
+                prefix = shared_words(words, sample, windows, window, length)
+                for a, b in _split(prefix):
+                    part = data[int(starts[a]) : int(ends[b - 1 + window - 1])]
+                    out.append((int(prefix[a]), sample, low, high, at, of, start + a, b - a, part))
+                    held += len(part)
+                if held > 8 << 20:
+                    yield _batch(out, RUN_TYPES, RUN_NAMES)
+                    out, held = [], 0
             yield _batch(out, RUN_TYPES, RUN_NAMES)
 
     return run
 
 
-def deep_nodes(words: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix tree's node at this depth above each suffix: equal numbers, equal first depth words.
+def suffix_ranks(words: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each suffix in the order of its first depth words: equal ranks, equal words.
 
-    Nodes at depth 1, 2, 4 and so on are named by pairs of nodes at half the depth, and that at depth itself by two
-    that overlap. Suffixes that are shorter are above no node; the result is that much shorter.
+    Ranks by 1, 2, 4 and so on words come from pairs of ranks by half as many, and those by depth from two that
+    overlap. Suffixes that are shorter have no rank; the result is that much shorter.
     """
-    names = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    ranks = np.unique(words, return_inverse=True)[1].astype(np.int64)
     reach = 1
     while reach < depth:
         step = min(reach, depth - reach)
-        pair = names[:-step] * np.int64(len(words) + 1) + names[step:]
-        names = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        pair = ranks[:-step] * np.int64(len(words) + 1) + ranks[step:]
+        ranks = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         reach += step
-    return names
+    return ranks
+
+
+def deep_nodes(words: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree of the suffixes at places, from depth down: (leaves, firsts).
+
+    leaves are the places' numbers in the order of a suffix array; where neighbours share fewer than depth words one
+    internal node ends and the next begins, at firsts. So the leaves between two firsts are those below the highest
+    node of that depth or more; a node with one leaf is no repeat.
+    """
+    rank = suffix_ranks(words, depth)[places]
+    leaves = np.argsort(rank, kind="stable")
+    ordered = rank[leaves]
+    return leaves, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
 
 
 def _tree_marks(window: int):
@@ -147,20 +180,20 @@ def _tree_marks(window: int):
 
     def marks(runs: list[tuple]) -> list[tuple]:
         firsts, hashes, n = [], [], 0
-        for _, _, words in each_text([r[7] for r in runs]):
+        for _, _, words in each_text([r[8] for r in runs]):
             firsts.append(n)
             hashes.append(words)
             n += len(words)
-        node = deep_nodes(np.concatenate(hashes), window)
-        counts = np.array([r[6] for r in runs])
+        counts = np.array([r[7] for r in runs])
         ends = np.cumsum(counts)
         place = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts) + np.repeat(firsts, counts)
-        of = node[place]
-        least = np.full(int(node.max()) + 1, NO_ID, np.int64)
-        np.minimum.at(least, of, np.repeat(np.array([r[1] for r in runs], np.int64), counts))
-        first = least[of]
+        leaves, nodes = deep_nodes(np.concatenate(hashes), place, window)
+        keys = np.repeat(np.array([r[2] for r in runs], np.int64), counts)
+        least = np.minimum.reduceat(keys[leaves], nodes)
+        first = np.empty(len(leaves), np.int64)
+        first[leaves] = np.repeat(least, np.diff(np.append(nodes, len(leaves))))
         found = []
-        for (_, _, high, at, run_of, start, windows, _), end in zip(runs, ends.tolist(), strict=True):
+        for (_, _, _, high, at, run_of, start, windows, _), end in zip(runs, ends.tolist(), strict=True):
             own = first[end - windows : end]
             found += [(at, run_of, start + a, b - a, int(own[a])) for a, b in _split(own) if own[a] < high]
         return found
@@ -173,7 +206,7 @@ def _tree_marks(window: int):
                     yield _batch(marks(held), kinds, names)
                     held, size = [], 0
                 held.append(row)
-                size += row[6] + window - 1
+                size += row[7] + window - 1
         if held:
             yield _batch(marks(held), kinds, names)
 
@@ -181,7 +214,7 @@ def _tree_marks(window: int):
 
 
 def _windows(window: int):
-    """Runs to single windows, each with a 128-bit name of all its words: the prefix extended to the tree's depth."""
+    """Runs to single windows, each with a 128-bit name of all its words: the prefix lengthened to the tree's depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +222,12 @@ def _windows(window: int):
             for lo in range(0, len(rows), 2000):
                 some = rows[lo : lo + 2000]
                 names, again = [], []
-                for _, _, words in each_text([r[7] for r in some]):
+                for _, _, words in each_text([r[8] for r in some]):
                     names.append(sequence_hashes(words, window).view(np.int64))
                     again.append(sequence_hashes(words ^ np.uint64(0x5851F42D4C957F2D), window).view(np.int64))
                 counts = [len(x) for x in names]
-                start = np.concatenate([r[5] + np.arange(c) for r, c in zip(some, counts, strict=True)])
-                columns = [np.repeat(np.array([r[k] for r in some], np.int64), counts) for k in (1, 2, 3, 4)]
+                start = np.concatenate([r[6] + np.arange(c) for r, c in zip(some, counts, strict=True)])
+                columns = [np.repeat(np.array([r[k] for r in some], np.int64), counts) for k in (2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (np.concatenate(names), np.concatenate(again), *columns, start.astype(np.int64))], ["name", "again", "low", "high", "at", "of", "start"]
                 )
@@ -203,7 +236,7 @@ def _windows(window: int):
 
 
 def _repeated_windows(runs: DataFrame, window: int, tree_runs: int) -> DataFrame:
-    """MARKS of runs: in trees where a prefix has few, under an extended prefix else, and by whole windows at last."""
+    """MARKS of runs: from subtrees where few share a prefix, else with prefixes of more words, at last of whole windows."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = runs.columns
 
@@ -217,15 +250,15 @@ def _repeated_windows(runs: DataFrame, window: int, tree_runs: int) -> DataFrame
     in_trees, large = parted(runs)
     # runs of a large group that are equal in their words are one from here on
     large = cut(large.withColumns({"_one": F.xxhash64("prefix", "words"), "_two": F.xxhash64("words", F.lit(1))}), "large-runs")
-    grouped = large.groupBy("_one", "_two", "prefix", "windows").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
-    distinct = cut(grouped.select("prefix", "low", "high", F.col("_one").alias("at"), F.col("_two").alias("of"), F.lit(0).cast("long").alias("start"), "windows", "words"), "distinct-runs")
+    grouped = large.groupBy("_one", "_two", "prefix", "sample", "windows").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("words").alias("words"))
+    distinct = cut(grouped.select("prefix", "sample", "low", "high", F.col("_one").alias("at"), F.col("_two").alias("of"), F.lit(0).cast("long").alias("start"), "windows", "words"), "distinct-runs")
     again, still = parted(distinct)
-    longer = cut(still.mapInArrow(_extended(window), RUNS), "extended-runs")
-    extended, rest = parted(longer)
+    longer = cut(still.mapInArrow(_lengthened(window, max(window - PREFIX, PREFIX)), RUNS), "longer-runs")
+    lengthened, rest = parted(longer)
     single = cut(rest.mapInArrow(_windows(window), "name long, again long, low long, high long, at long, of long, start long"), "windows")
     nodes = cut(single.groupBy("name", "again").agg(F.min("low").alias("first"), F.max("high").alias("_high")).where("first < _high").drop("_high"), "nodes")
     in_nodes = single.join(nodes, ["name", "again"]).where("first < high").select("at", "of", "start", F.lit(1).cast("long").alias("windows"), "first")
-    found = cut(again.unionByName(extended).unionByName(in_nodes), "large-marks")
+    found = cut(again.unionByName(lengthened).unionByName(in_nodes), "large-marks")
     back = large.select("_one", "_two", "low", F.col("at").alias("_at"), F.col("of").alias("_start"))
     of_large = back.join(found, (F.col("_one") == F.col("at")) & (F.col("_two") == F.col("of"))).where("first < low")
     return in_trees.select("at", (F.col("of") + F.col("start")).alias("start"), "windows").unionByName(
@@ -262,12 +295,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     1. Each text gets its word count, a digest, and the prefixes of its windows' sampled suffixes. Texts with the
        same words are compared once: all but those with the smallest key lose all words, if they fill a window.
     2. Only prefixes that occur under two keys lead to repeats. Texts with such prefixes are read again, and the runs
-       of windows around the sampled suffixes are dealt by prefix to tasks, which build suffix trees over whole
-       groups, a bounded number of words at a time. A node as deep as a window knows the smallest key below it.
-    3. A prefix with more runs than tree_runs, such as that of a passage in very many texts, is extended: equal runs
-       become one, then runs are parted by a second sample of their windows, and if that isn't enough by the whole
-       window; a group of equal windows is then one node, and needs only its smallest key, combined before the
-       shuffle.
+       of windows around the sampled suffixes are dealt by prefix to tasks, which build the suffix trees of whole
+       groups, a bounded number of words at a time. The highest internal nodes as deep as a window know the smallest
+       key below them; a maximal repeat is the union of such windows that follow each other.
+    3. A prefix with more runs than tree_runs, such as that of a passage in very many texts, is lengthened: equal runs
+       become one; where that isn't enough, from 10 words to 40 (window - 10), the runs being parted by how far into
+       the window the sample begins; and at last to the whole window, where a group is one node and needs only its
+       smallest key, combined before the shuffle.
 
     One row for each row of docs: key as doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space, UTF-8) and kept (the words themselves as UTF-8 for texts that lost some but not all, else null). A null
