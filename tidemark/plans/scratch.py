@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
 
 
-#: Paths of all tables that cut() wrote in this process, in order.
-MADE: list[str] = []
+#: Paths of the tables that cut() has written since the innermost tidy() of this thread began.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -36,12 +38,43 @@ def cut(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
+def tables_read(df: DataFrame) -> set[str]:
+    """The last parts of the paths of all files or folders that the plan of df reads."""
+    leaves, names = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for k in range(leaves.size()):
+        if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation":
+            paths = leaves.apply(k).relation().location().rootPaths()
+            names |= {paths.apply(i).getName() for i in range(paths.size())}
+    return names
+
+
+def tidy(build: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What build returns, and the tables written meanwhile that it reads; the others are deleted at once.
+
+    So a result may still be read whenever and as often as its user likes; who knows that nobody will, deletes the
+    rest. Calls in other threads, and their tables, don't matter.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        out = build()
+    finally:
+        _MADE.reset(token)
+    needed = tables_read(out) if made else set()
+    left = [p for p in made if p.rsplit("/", 1)[1] in needed]
+    delete(out.sparkSession, [p for p in made if p not in set(left)])
+    if (outer := _MADE.get()) is not None:
+        outer.extend(left)
+    return out, left
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables that nothing reads any more."""
     conf = spark._jsparkSession.sessionState().newHadoopConf()
