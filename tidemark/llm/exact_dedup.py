@@ -102,7 +102,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
     contents = chunked.select(F.explode("chunks").alias("chunk")).select(name.alias("name"), "chunk").groupBy("name", "chunk").agg(F.count("*").alias("_times"))
     shared = cut(contents.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name"), "clashes")
     if shared.isEmpty():
-        recipes = chunked.select("doc_id", "row_id", "text_sha256", F.col("names").alias("recipe"))
+        recipes = cut(chunked.select("doc_id", "row_id", "text_sha256", F.col("names").alias("recipe")), "recipes")
     else:
         place = F.row_number().over(Window.partitionBy("name").orderBy("chunk")) - 1
         ranks = cut(contents.join(shared, "name", "left_semi").select("name", "chunk", place.alias("rank")), "ranks")
@@ -129,7 +129,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose text equals that of a row with a smaller key."""
+    """The rows of docs, all columns, without those whose text equals that of a row with a smaller key.
+
+    Null and empty texts are copies of each other. Null keys count as the largest; of rows with the same key and text
+    one stays, whichever. Columns may have any names; no rows give none.
+    """
     rows, name = with_row_id(docs)
     gone = exact_groups(rows, key, text, row_id=name).where("NOT kept").select(F.col("row_id").alias(name))
-    return rows.join(gone, name, "left_anti").select(*docs.columns)
+    return rows.join(cut(gone, "gone"), name, "left_anti").select(*docs.columns)

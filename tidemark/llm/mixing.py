@@ -19,6 +19,7 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
     stops at most times its source's size and the excess is shared again by weight among the others. In the end each
     target is min(most * size, level * weight) for one level: with the sources in order of most * size / weight,
     those up to some place stop, and the level is what they leave divided by the weights after that place.
+    One task orders the sources: a row of some 50 bytes for each, up to tens of millions, whatever they hold.
     """
     numbered = sizes.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
@@ -79,13 +80,16 @@ def mix_documents(
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", **how) -> DataFrame:
     """The mix itself, in the columns of docs: each document as often as the mix takes it.
 
-    The document at a source's cut comes once more with its first words only, one space between them; documents of which nothing is taken
-    are not in the mix, nor are those without words. n_chars follows the text.
+    The document at a source's cut comes once more with its first words only, one space between them; documents of which
+    nothing is taken are not in the mix, nor are those without words, null and empty texts too. A null source is a
+    source of its own; null keys and repeated rows are documents like any other. n_chars, where it is a column, follows
+    the text; other columns may have any names. No rows give none.
     """
     rows, row = with_row_id(docs)
     size, taken, some = (spare(x, rows) for x in ("size", "taken", "words"))
     plan = mix_documents(rows, key=key, text=text, source=source, row_id=row, **how).where("taken > 0")
-    joined = rows.join(plan.select(F.col("row_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)), row)
+    plan = cut(plan.select(F.col("row_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)), "plan")
+    joined = rows.join(plan, row)
     copies = joined.withColumn(some, F.explode(F.expr(f"transform(sequence(0L, (`{taken}` - 1) div `{size}`), i -> least(`{size}`, `{taken}` - i * `{size}`))")))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col(some).cast("int")), " ")

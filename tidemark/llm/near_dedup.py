@@ -316,7 +316,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of near copies: that with the smallest key.
 
-    Of rows that share that key and the group, one stays. Texts without words all stay.
+    Of rows that share that key and the group, one stays. Texts without words, null ones too, all stay, as do repeated
+    rows of them. Null keys count as the largest. Columns may have any names; no rows give none.
     """
     from tidemark.llm.exact_dedup import with_row_id
 
@@ -326,4 +327,4 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     group = F.struct(alone.alias("alone"), F.when(alone, F.col("row_id")).otherwise(F.col("component_id")).alias("of"))
     groups = groups.withColumn("group", group)
     stay = groups.where("kept").groupBy("group").agg(F.min("row_id").alias("row_id")).select(F.col("row_id").alias(name))
-    return rows.join(stay, name, "left_semi").select(*docs.columns)
+    return rows.join(cut(stay, "stay"), name, "left_semi").select(*docs.columns)

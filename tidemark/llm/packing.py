@@ -151,8 +151,9 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, key: str = "doc_id", t
 def packed_sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, length, ids, doc_ids) of packed pieces with ids: the sequences themselves.
 
-    ids are little-endian unsigned 32-bit integers; doc_ids has the document of each piece in order. A sequence has at
-    most as many pieces as tokens, so a group is bounded.
+    ids are little-endian unsigned 32-bit integers; doc_ids has the document of each piece in order, null where its key
+    was. Pieces of repeated rows are pieces like any other; no pieces give no sequences; columns beyond those of
+    pack_documents are not read. A sequence has at most as many pieces as tokens, so a group is bounded.
     """
     rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("pieces"))
     joined = F.aggregate("pieces", F.lit(b""), lambda all_ids, p: F.concat(all_ids, p["ids"]))

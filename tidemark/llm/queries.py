@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, warc
-from tidemark.plans.scratch import new_path
+from tidemark.plans.scratch import new_path, tidy
 from tidemark.session import ship
 
 
@@ -63,17 +64,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir)).drop("row_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sharding": op1_sharding,
-    "op2_packing": op2_packing,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_near_dedup": op4_near_dedup,
-    "op5_fingerprints": op5_fingerprints,
-    "op6_substring_dedup": op6_substring_dedup,
-    "op7_toxicity": op7_toxicity,
-    "op8_token_files": op8_token_files,
-    "op9_warc": op9_warc,
-    "op10_mixing": op10_mixing,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _tidied(query: Query) -> Query:
+    """query, deleting the tables of its own that its result doesn't read."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy(lambda: query(spark, sf_dir))[0]
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op1_sharding": _tidied(op1_sharding),
+    "op2_packing": _tidied(op2_packing),
+    "op3_exact_dedup": _tidied(op3_exact_dedup),
+    "op4_near_dedup": _tidied(op4_near_dedup),
+    "op5_fingerprints": _tidied(op5_fingerprints),
+    "op6_substring_dedup": _tidied(op6_substring_dedup),
+    "op7_toxicity": _tidied(op7_toxicity),
+    "op8_token_files": _tidied(op8_token_files),
+    "op9_warc": _tidied(op9_warc),
+    "op10_mixing": _tidied(op10_mixing),
 }
 
 ORACLES: dict[str, str] = {
