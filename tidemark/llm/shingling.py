@@ -34,19 +34,22 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word from random values of its bytes and places.
 
-    Words beyond 4096 bytes reuse the places, shifted by how often, so that all their bytes count.
+    Words beyond 4096 bytes reuse the places, shifted by how often, so that all their bytes count. A megabyte of words,
+    or one that is longer, is hashed at a time.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-    bytes_in = data[np.repeat(starts, lengths) + place]
-    value = _BYTE[bytes_in]
-    if int(lengths.max()) > len(_PLACE):
-        value = mixed(value + (place // len(_PLACE)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        place = place % len(_PLACE)
-    return mixed(np.add.reduceat(value * _PLACE[place], firsts) + lengths.astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts)))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        lengths = ends[a:b] - starts[a:b]
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+        value = _BYTE[data[np.repeat(starts[a:b], lengths) + place]]
+        far = np.flatnonzero(place >= len(_PLACE))
+        if len(far):
+            value[far] = mixed(value[far] + (place[far] // len(_PLACE)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            place %= len(_PLACE)
+        out[a:b] = mixed(np.add.reduceat(value * _PLACE[place], firsts) + lengths.astype(np.uint64))
+    return out
 
 
 def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
