@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingling import blocks, word_hashes
@@ -14,8 +14,10 @@ from tidemark.llm.shingling import blocks, word_hashes
 #: Words of a window, and by how many the next one starts later: every word but at the ends is in two windows.
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, GRAMS = 8, 8, 1 << 14
-#: Labelled rows of each label that training reads at most, and the longest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 1200, 200_000
+#: Labelled rows of each label that training reads at most, and their bytes together.
+SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32 << 20
+#: Windows that the network takes at once.
+AT_ONCE = 1024
 VOCABULARY = 8192
 #: Passes over the sample, and more on a small one until so many steps are made.
 EPOCHS, STEPS, BATCH = 6, 240, 128
@@ -158,6 +160,10 @@ class Network:
             keep |= {"tape": tape, "h": h, "weight": weight, "pooled": pooled}
         return pooled @ self.p["out"] + self.p["bias"][0]
 
+    def logits(self, x: np.ndarray, w: Windows) -> np.ndarray:
+        """The logits of any number of windows."""
+        return np.concatenate([self.forward(x, w.words[a : a + AT_ONCE], w.inside[a : a + AT_ONCE]) for a in range(0, len(w.words), AT_ONCE)])
+
     def gradients(self, x: np.ndarray, origin: tuple, words: np.ndarray, inside: np.ndarray, target: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
         keep: dict = {}
         slope = (_sigmoid(self.forward(x, words, inside, keep)) - target) * cost / len(target)
@@ -198,7 +204,7 @@ class Network:
             words = Words(texts[lo:hi])
             w = Windows(words)
             x, _ = self.inputs(words)
-            logits = np.concatenate([self.forward(x, w.words[a : a + 4096], w.inside[a : a + 4096]) for a in range(0, len(w.words), 4096)])
+            logits = self.logits(x, w)
             out[lo:hi] = np.maximum.reduceat(logits, w.firsts)
         scale, shift = self.p["scale"]
         return _sigmoid(scale * out + shift)
@@ -277,7 +283,7 @@ def train(texts: list[bytes], toxic: np.ndarray, of_all: tuple[int, int] | None
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         rate *= 0.1 ** (1 / epochs)
         x, _ = net.inputs(words)
-        logits = np.concatenate([net.forward(x, w.words[a : a + 4096], w.inside[a : a + 4096]) for a in range(0, len(w.words), 4096)])
+        logits = net.logits(x, w)
     drawn = np.bincount(toxic, minlength=2)
     weights = np.array(of_all if of_all and min(of_all) else drawn)[toxic] / drawn[toxic]
     _calibrate(net, np.maximum.reduceat(logits, w.firsts), toxic, weights / weights.mean())
@@ -306,18 +312,33 @@ def known_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return known.where(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
     """At most rows labelled texts of either label that are not held out, in the order of a hash: a bounded sample.
 
-    Texts beyond SAMPLE_BYTES are not drawn. Null labels and null keys are no labels.
+    Texts are whole and of any length, but a label's sample ends before the text with which it would pass most_bytes; so
+    only a text that is longer than that alone can't be in it. Null labels and null keys are no labels, null texts no
+    texts; rows that repeat a key are drawn each.
     """
     known = known_labels(labels, key).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
-    # twice the rows, for those that are too long or have no text
+    # twice the rows, for those that have no text
     picked = known.where("toxic = 1").orderBy("draw").limit(2 * rows).unionByName(known.where("toxic = 0").orderBy("draw").limit(2 * rows))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = texts.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= most_bytes)
     both = texts.join(F.broadcast(picked), "doc_id")
-    drawn = both.where("toxic = 1").orderBy("draw").limit(rows).unionByName(both.where("toxic = 0").orderBy("draw").limit(rows))
-    return drawn.select("doc_id", "text", "toxic", "draw").toPandas().sort_values(["draw", "doc_id", "text"])
+    sizes = both.select("draw", "doc_id", "toxic", "bytes")
+    # at most rows of either label from here on
+    drawn = sizes.where("toxic = 1").orderBy("draw", "bytes").limit(rows).unionByName(sizes.where("toxic = 0").orderBy("draw", "bytes").limit(rows))
+    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("draw", "bytes").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).groupBy("toxic").agg(F.max(F.struct("draw", "bytes")).alias("last"), F.count("*").alias("n"))
+    ends = {r["toxic"]: (r["last"]["draw"], r["last"]["bytes"], r["n"]) for r in fitting.collect()}
+    sample = None
+    for label, (draw, size, n) in sorted(ends.items()):
+        inside = both.where((F.col("toxic") == label) & (F.struct("draw", "bytes") <= F.struct(F.lit(draw), F.lit(size))))
+        inside = inside.orderBy("draw", "bytes").limit(n)
+        sample = inside if sample is None else sample.unionByName(inside)
+    if sample is None:
+        sample = both.limit(0)
+    return sample.select("doc_id", "text", "toxic", "draw").toPandas().sort_values(["draw", "doc_id", "text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Network:
@@ -350,5 +371,9 @@ def score_documents(docs: DataFrame, net: Network, key: str = "doc_id", text: st
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that a network fitted to labels scores below one half."""
+    """The rows of docs, all columns as they are, that a network fitted to labels scores below one half.
+
+    Null and empty texts are scored as one empty window, null keys and repeated rows like any other row. Without labels
+    nothing is rejected, as without rows nothing is; extra columns, whatever their names, stay as they are.
+    """
     return docs.where(score_column(docs, fit(docs, labels, key, text), text) < 0.5)
