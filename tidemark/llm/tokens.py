@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ REMEMBERED = 900_000
 MARK = b"\x01"
 #: Latin letters between ASCII marks other than the apostrophe: the letters are one token word, each run of marks another.
 PLAIN = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Words of several kinds and white space, to see whether a tokenizer takes words one by one.
+PROBES = ["word", "\u00c9a", "7", "'s", "...", "<|", "\u70ed", "\u00df", "\u0301x", "I'm", "a.b", "\U0001f4a1"]
+GAPS = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"]
 LETTERS = [*map(chr, range(97, 123)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
 
 
@@ -26,14 +31,16 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    Right for tokenizers that drop white space and never join characters across it, as word_bpe_49k does: there the
-    ids of a text are those of its words (runs without ASCII white space) one after the other.
+    Tokenizers that drop white space and never join characters across it, as word_bpe_49k does, get words (runs without
+    ASCII white space), whose ids are remembered; a text's ids are those of its words one after the other. All others
+    get whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = self._takes_words(path)
         self.known: dict[bytes, bytes] = {}
         marks = self._ids(MARK.decode())
         self.mark = int(marks[0]) if len(marks) == 1 else None
@@ -43,6 +50,16 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _takes_words(self, path: str) -> bool:
+        """Whether white space never matters between words of many kinds, nor before, after or in added tokens."""
+        for token in json.loads(Path(path).read_text()).get("added_tokens") or []:
+            if token.get("lstrip") or token.get("rstrip") or set(token["content"]) & set(" \t\n\r\x0b\x0c"):
+                return False
+        alone = {w: self._ids(w).tolist() for w in PROBES}
+        ids = self.tokenizer.encode_batch([f"{gap}{a}{gap}{b}{gap}" for gap in GAPS for a in PROBES for b in PROBES], add_special_tokens=False)
+        want = [alone[a] + alone[b] for _ in GAPS for a in PROBES for b in PROBES]
+        return [x.ids for x in ids] == want and not any(len(self._ids(gap)) for gap in GAPS)
+
     def _byte_level(self) -> dict[int, str] | None:
         """How the model wants Latin letters, if it takes a lower-cased word as one piece; None if it doesn't."""
         from tokenizers import pre_tokenizers
@@ -103,6 +120,9 @@ class WordEncoder:
             self._one(word)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_words:
+            yield from (self._ids(text.decode("utf-8", "replace")).tobytes() for text in texts)
+            return
         known = self.known
         for text in texts:
             words = text.split()

@@ -101,7 +101,7 @@ class _Window:
     """A file read in blocks from a place on."""
 
     def __init__(self, f, at: int):
-        self.f, self.at, self.data = f, at, b""
+        self.f, self.at, self.data = f, at, bytearray()
         f.seek(at)
 
     def fill(self, need: int) -> bool:
@@ -113,7 +113,8 @@ class _Window:
         return True
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _member(w: _Window) -> tuple[bytes, int] | None:
@@ -170,13 +171,18 @@ def records_in(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str,
 def read_warc(spark: SparkSession, files: list[str], split_bytes: int = 32 << 20) -> DataFrame:
     """The records of the files, with splits of split_bytes: a row for each response and revisit record.
 
-    payload is that of the record itself: null for a revisit. payload_bytes is the full payload's, from the HTTP
-    header; payload_digest is bare.
+    payload is that of the record itself: null for a revisit, empty for an empty one. payload_bytes is the full
+    payload's, from the HTTP header; payload_digest is bare. A record without a key or URL has null there; repeated
+    records come as often as they are stored; no files, or empty ones, give no rows. Tasks look up the files' sizes,
+    and a record of any length is read whole by the task in whose split it starts. Damaged members are passed over.
     """
-    splits = []
-    for path in files:
-        size = os.path.getsize(path)
-        splits += [(path, at, min(size, at + split_bytes)) for at in range(0, size, split_bytes)]
+    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                size = os.path.getsize(path)
+                found += [(path, at, min(size, at + split_bytes)) for at in range(0, size, split_bytes)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("file", "start", "stop"), x, strict=True)) for x in found], pa.schema({"file": pa.string(), "start": pa.int64(), "stop": pa.int64()}))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
@@ -206,5 +212,6 @@ def read_warc(spark: SparkSession, files: list[str], split_bytes: int = 32 << 20
         if out:
             yield flushed()
 
-    table = spark.createDataFrame(splits, "file string, start long, stop long").repartition(max(1, len(splits)))
-    return table.mapInArrow(scanned, READ_SCHEMA)
+    tasks = max(len(files), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    named = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    return named.mapInArrow(splits, "file string, start long, stop long").repartition(tasks).mapInArrow(scanned, READ_SCHEMA)
