@@ -1,9 +1,9 @@
-"""Queries over whole lines of documents, where no SQL holds them to first lines."""
+"""Queries over whole lines of documents."""
 
 import pytest
 
 from tidemark.queries import QUERIES
-from tidemark.queries.base import lines
+from tidemark.queries.base import titles
 
 LONG = "x" * 300 + " tail"
 TEXTS = [(1, f"first line\n\n  \n{LONG}\nThe and attion to thanedble the", "en", "src1"), (2, "", "en", "src2"), (3, None, "de", "src3")]
@@ -17,7 +17,7 @@ def few(spark, tmp_path_factory):
 
 
 def test_lines_are_whole(spark, few):
-    got = {(r["seq"] >> 32, r["seq"] & 0xFFFFFFFF, r["title"]) for r in lines(spark, few).collect()}
+    got = {(r["seq"] >> 32, r["seq"] & 0xFFFFFFFF, r["title"]) for r in titles(spark, few).collect()}
     assert got == {(1, 0, "first line"), (1, 3, LONG), (1, 4, "The and attion to thanedble the")}
 
 
@@ -31,5 +31,5 @@ def test_every_line_counts(spark, few, name, n):
     assert QUERIES[name](spark, few).count() == n
 
 
-def test_events_of_later_lines(spark, few):
+def test_events_of_later_titles(spark, few):
     assert {r["display_title"] for r in QUERIES["event_candidates"](spark, few).collect()} == {"first line", LONG, "The and attion to thanedble the"}

@@ -57,27 +57,12 @@ hist AS (SELECT source_id, item_id, batch, rank, seq FROM obs UNION ALL SELECT s
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles: first lines of documents, dealt over 30 days, with their words."""
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("seq"),
-        F.col("source").alias("source_id"),
-        "lang",
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200).alias("title"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"),
-        (F.col("doc_id") * 7 % 60 + 1).alias("rank"),
-    )
-    return rows.withColumn("words", F.filter(latin_words(F.col("title")), lambda w: F.length(w) >= 2))
-
+    """Titles: each line of a document that isn't blank, whole, dealt over 30 days, with its words.
 
-TITLES = """ti AS (SELECT doc_id AS seq, source AS source_id, lang, substr(split_part(text, chr(10), 1), 1, 200) AS title,
-    DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS day, doc_id * 7 % 60 + 1 AS rank FROM documents),
-ws AS (SELECT seq, source_id, day, title, unnest(list_filter(regexp_extract_all(lower(title), '\\p{L}+'), lambda w: length(w) >= 2)) AS word FROM ti)"""
-
-
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of whole texts: each line that isn't blank, uncut, as titles() has first lines; seq is of document and line."""
+    seq is unique to document and line.
+    """
     each = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), "lang", F.posexplode(F.split("text", "\n")).alias("line", "title"))
-    rows = each.where(r"rlike(title, '\\S')").select(
+    rows = each.where(r"rlike(title, '[^ \t\n\x0B\f\r]')").select(
         (F.shiftleft("doc_id", 32) + F.col("line")).alias("seq"),
         "source_id",
         "lang",
@@ -88,6 +73,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("words", F.filter(latin_words(F.col("title")), lambda w: F.length(w) >= 2))
 
 
+TITLES = """ln AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS title, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+ti AS (SELECT (doc_id << 32) + line AS seq, source AS source_id, lang, title,
+    DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS day, doc_id * 7 % 60 + 1 AS rank FROM ln WHERE regexp_matches(title, '[^ \\t\\n\\x0B\\f\\r]')),
+ws AS (SELECT seq, source_id, day, title, unnest(list_filter(regexp_extract_all(lower(title), '\\p{L}+'), lambda w: length(w) >= 2)) AS word FROM ti)"""
+
+
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in tiers by their number: 0-4 A, 5-9 B, 10-14 C, 15-19 D."""
     n = F.regexp_extract("id", r"(\d+)$", 1).cast("int")
