@@ -22,8 +22,8 @@ x
 x
 z
 
-!bad
 [C]
+!bad
 /q+w/ => Qs
 @2
 """
@@ -81,7 +81,13 @@ def test_overlap_is_by_the_smaller_set(spark):
         ("https://h/p?b=2&utm_source=x&a=1#f", "https://h/p?a=1&b=2"),
         ("https://h/p#f", "https://h/p#f"),
         ("https://h/p?ref=1", "https://h/p"),
-        ("https://s.weibo.com/w?q=1&band_rank=3&t=2", "https://s.weibo.com/w?q=1"),
+        ("https://h/p?a-b=1&a=2", "https://h/p?a=2&a-b=1"),
+        ("https://h/p?k=2&k=1&flag", "https://h/p?flag=&k=2&k=1"),
+        ("https://h/p?q=%e4%b8%ad+x&~=*", "https://h/p?q=%E4%B8%AD+x&~=%2A"),
+        ("https://h/p#f?x=1", "https://h/p#f?x=1"),
+        ("HTTPS://H/p?x=1", "https://H/p?x=1"),
+        ("https://h/p?UTM_Source=1#z", "https://h/p"),
+        ("", ""),
         ("https://h/p?t=2", "https://h/p?t=2"),
     ],
 )
@@ -89,6 +95,42 @@ def test_urls(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(X.normal_url(F.col("u"))).first()[0] == want
 
 
+def test_a_platforms_own_parameters(spark):
+    df = spark.createDataFrame([("https://s.weibo.com/w?q=test&band_rank=6&Refer=top&t=1", "weibo"), ("https://s.weibo.com/w?q=1&t=2", "other"), ("https://h/?t=1", None)], "u string, p string")
+    got = [r[0] for r in df.select(X.normal_url(F.col("u"), F.col("p"))).collect()]
+    assert got == ["https://s.weibo.com/w?q=test", "https://s.weibo.com/w?q=1&t=2", "https://h/?t=1"]
+
+
+def test_titles_and_urls_of_events(spark):
+    titles = [("ＡＩ　Chip，\tnews ", "ai chip,news"), ("Ａ_b  C", "a_b c"), (None, ""), ("  ", "")]
+    df = spark.createDataFrame([(a,) for a, _ in titles], "t string")
+    assert [r[0] for r in df.select(X.event_title(F.col("t"))).collect()] == ["ai chip, news", "a_b c", "", ""]
+    assert [r[0] for r in df.select(X.normal_title(F.col("t"))).collect()][:2] == ["ai chip news", "a_b c"]
+    urls = [(" HTTPS://Host.COM/Path?Q=A#frag ", "https://host.com/Path?Q=A"), ("bare Token", "bare Token"), ("", ""), (None, "")]
+    df = spark.createDataFrame([(a,) for a, _ in urls], "u string")
+    assert [r[0] for r in df.select(X.event_url(F.col("u"))).collect()] == [w for _, w in urls]
+    both = spark.createDataFrame([(["https://A/x#1", "https://a/x"], ["https://a/x", " ", None])], "a array<string>, b array<string>")
+    row = both.select(X.url_fingerprint(F.col("a")), X.url_fingerprint(F.col("b"))).first()
+    assert row[0] == row[1] and len(row[0]) == 16
+
+
+def test_secrets_go_and_long_texts_end_in_dots(spark):
+    texts = ["sk-abcdefgh Authorization: Bearer-xyz passwd='q w", "see\n\thttps://a.b/c  and 1234567 x12345678", "word " * 60, None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.redacted(F.col("t"))).collect()]
+    assert got[0] == "sk-abcdefgh [redacted] [redacted] w" and got[1] == "see [redacted] and 1234567 x12345678"
+    assert got[2] == ("word " * 60)[:177].rstrip() + "..." and got[3] == ""
+
+
+def test_rule_files(spark):
+    r = parse_rules("[global_filter]\nspam\n/x.*y/\n+not\n!this\n\n[Word_Groups]\n[Cars]\n# note\n/(?P<n>aud)i/ => Audi\n+red\n@2\n@x\n\nplain => Shown\nother\n[late]\n+need\n!bad\n\n@5")
+    assert [w.text for w in r.global_filters] == ["spam", "/x.*y/"] and [w.text for w in r.filters] == ["bad"]
+    assert [(g.name, g.most, len(g.normal), len(g.required)) for g in r.groups] == [("Cars", 2, 1, 1), ("Shown / other / [late] / need", 0, 3, 1)]
+    df = spark.createDataFrame([("red AUDI",), ("need other",), ("need other bad",), ("/x.*y/ red audi",), ("xay red audi",)], "t string")
+    assert [x[0] for x in df.select(r.first_group(F.col("t"))).collect()] == [0, 1, None, None, 0]
+    alone = parse_rules("[GLOBAL_FILTER]\nspam\n\n[WORD_GROUPS]\n!bad")
+    assert [x[0] for x in spark.createDataFrame([("bad",), ("spam",), (" ",)], "t string").select(alone.matches(F.col("t"))).collect()] == [True, False, False]
+
+
 def test_nfkc_ratio_and_redaction(spark):
     df = spark.createDataFrame([("ＡＢ①", "abcd", "bcde", "mail a.b@c.de and Jane Doe 123456789")], "a string, b string, c string, d string")
     row = df.select(X.nfkc(F.col("a")), X.sequence_ratio(F.col("b"), F.col("c")), X.redacted(F.col("d"))).first()

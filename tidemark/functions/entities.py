@@ -5,36 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import STOPWORDS
+#: Words with a capital that are no names.
+NO_NAMES = """
+live breaking video watch says said new update updates exclusive report reports opinion analysis latest news
+the and for with from after amid over what why how here this that more top into but not are was will has have amp
+january february march april may june july august september october november december
+monday tuesday wednesday thursday friday saturday sunday
+""".split()
 
-#: Kinds of entities in the order in which they are taken out of a text.
-PATTERNS = [
-    r"[$€£¥]\s?\d[\d,.]*\s?(?:[kKmMbB]n?|million|billion)?",
-    r"\b\d{1,3}\s?[-:]\s?\d{1,3}\b",
-    r"\b\d{2,}(?:\.\d+)?%",
-    r"\b(?=[A-Za-z0-9-]*\d)(?=[A-Za-z0-9-]*[A-Za-z])[A-Za-z0-9-]{2,}\b",
-    r"\b(?!(?:19|20)\d\d\b|2100\b)\d{3,}\b",
-    r"\b[A-Z][A-Za-z]+\b",
-]
+RUN = r"[A-Za-z0-9.\-]*"
+#: Amounts, results, percentages, models (runs with a letter and a digit), numbers and names. Python's digits are \p{Nd}.
+AMOUNT = r"\$\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
+RESULT = r"\p{Nd}{1,3}-\p{Nd}{1,3}"
+PERCENTAGE = r"\p{Nd}+%"
+MODEL = rf"(?={RUN}[A-Za-z])(?={RUN}[0-9])[A-Za-z0-9]{RUN}[A-Za-z0-9]"
+NUMBER = r"\p{Nd}{3,}"
+NAME = r"[A-Z][A-Za-z]{2,}"
 
 
-def entities(title: Column, dictionary: dict[str, str] | None = None, stop: list[str] = STOPWORDS) -> Column:
-    """Sorted distinct lower-cased entities: amounts, results, percentages, models, numbers but years, names.
+def entities(title: Column, dictionary: dict[str, str] | None = None, no_names: list[str] = NO_NAMES) -> Column:
+    """Sorted distinct entities of a title, each kind taken out before the next is looked for.
 
-    Names of the dictionary that occur in the title add their other-language form.
+    Amounts without their commas; results such as 4-2; percentages from 2; models such as glm-5.2; numbers of three
+    digits or more that aren't years from 1900 to 2100; names of three letters or more. All in lower case. Keys of the
+    dictionary that occur in the title add their values. A null title has none.
     """
-    rest, found = title, []
-    for pattern in PATTERNS:
-        found.append(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)))
-        rest = F.regexp_replace(rest, pattern, " ")
-    low = F.transform(F.flatten(F.array(*found)), lambda x: F.lower(F.trim(x)))
-    known = [F.when(title.contains(a), F.lit(b.lower())) for a, b in (dictionary or {}).items()]
+    each = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rest = F.coalesce(title, F.lit(""))
+    amounts = F.transform(each(rest, AMOUNT), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    rest = F.regexp_replace(rest, AMOUNT, " ")
+    results, rest = each(rest, RESULT), F.regexp_replace(rest, RESULT, " ")
+    shares, rest = F.filter(each(rest, PERCENTAGE), lambda x: ~x.rlike("^0*[01]?%$")), F.regexp_replace(rest, PERCENTAGE, " ")
+    models, rest = F.transform(each(rest, MODEL), F.lower), F.regexp_replace(rest, MODEL, " ")
+    numbers = F.filter(each(rest, NUMBER), lambda x: ~x.rlike("^0*(?:19[0-9]{2}|20[0-9]{2}|2100)$"))
+    names = F.filter(F.transform(each(rest, NAME), F.lower), lambda x: ~x.isin(no_names))
+    known = [F.when(F.contains(title, F.lit(a)), F.lit(b)) for a, b in (dictionary or {}).items()]
     extra = F.filter(F.array(*known), lambda x: x.isNotNull()) if known else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(F.filter(low, lambda x: (x != "") & ~x.isin(stop)), extra)))
+    return F.array_sort(F.array_distinct(F.concat(amounts, results, shares, models, numbers, names, extra)))
 
 
 def is_specific(entity: Column, common: list[str]) -> Column:
-    return entity.rlike(r"[0-9$%]") | ~entity.isin(common)
+    """Whether an entity is telling: it has a digit, is an amount or a percentage, or isn't a common name."""
+    return (entity != "") & (entity.rlike(r"\p{Nd}|^\$|%$") | ~entity.isin(common))
 
 
 def admitted_feed_items(feed: DataFrame, topics: DataFrame, now: Column, hours: int = 36, cap: int = 3) -> DataFrame:

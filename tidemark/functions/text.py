@@ -12,14 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-#: Query parameters that only track.
-TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content ref referrer source channel _t timestamp _ random share_token share_id share_from"
-).split()
-WEIBO_TRACKING = ["band_rank", "refer", "t"]
+#: Query parameters that only track, and those that a platform adds.
+TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content ref referrer source channel _t timestamp _ random share_token share_id share_from".split()
+PLATFORM_TRACKING = {"weibo": ["band_rank", "refer", "t"]}
 #: Words that say nothing about a title's topic.
 STOPWORDS = "the a an and or of in on at to for with by from is are was were be been it its this that as but not".split()
-CJK = r"一-鿿"
+#: Chinese characters: the basic block, extension A, and extensions B to E.
+CJK = r"一-鿿㐀-䶿\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{2b740}-\x{2b81f}\x{2b820}-\x{2ceaf}"
+#: White space of any kind, as a class.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
 
 @F.pandas_udf(StringType())
@@ -27,6 +28,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def compatible(text: Column) -> Column:
+    """text in NFKC. Only texts with characters that it may change go through Python."""
+    unsure = text.rlike(r"[^\x00-\x9f\xc0-\xff]")
+    return F.when(unsure, nfkc(F.when(unsure, text))).otherwise(text)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def nfkc_each(lists: pd.Series) -> pd.Series:
     return lists.map(lambda row: None if row is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in row])
@@ -44,17 +51,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
 
 def normal_title(text: Column) -> Column:
-    """Lower case, marks to spaces, one space between words. NFKC comes before, where texts need it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+    """NFKC, lower case, marks but the underscore to spaces, one space between words."""
+    return collapsed(F.regexp_replace(F.lower(compatible(text)), r"[^\p{L}\p{N}_\s]", " "))
 
 
 def topic_tokens(text: Column) -> Column:
-    """Distinct tokens: words, and of runs of Chinese characters the pairs of neighbours, or the one there is."""
-    parts = F.filter(F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0)), lambda p: p != "")
+    """Distinct tokens of the normal title: words, and of runs of Chinese characters the pairs of neighbours, or the one there is."""
+    parts = F.regexp_extract_all(normal_title(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}_&&[^{CJK}]]+"), F.lit(0))
     pairs = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substr(p, i, F.lit(2)))
     each = F.transform(parts, lambda p: F.when(p.rlike(rf"^[{CJK}]") & (F.length(p) > 1), pairs(p)).otherwise(F.array(p)))
     return F.array_distinct(F.flatten(each))
@@ -82,16 +89,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(whole > 0, F.size(F.array_intersect(a, b)) / whole).otherwise(F.lit(0.0))
 
 
-def normal_url(url: Column) -> Column:
-    """The URL without tracking parameters and fragment, its other parameters sorted. Without a query it stays."""
+def normal_url(url: Column, platform: Column | None = None) -> Column:
+    """The URL without tracking parameters and fragment, its other parameters in order of their names.
+
+    A URL without a query stays as it is, fragment and all. Names and values are decoded and encoded again; repeated
+    names keep the order of their values; a name alone gets an equals sign. The platform's own parameters go too.
+    """
     bare = F.regexp_replace(url, "#.*$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    weibo = F.regexp_extract(bare, r"^[a-z]+://([^/?]*)", 1).contains("weibo")
-    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING) & ~(weibo & name(p).isin(WEIBO_TRACKING)))
-    rest = F.array_join(F.array_sort(kept), "&")
-    base = F.regexp_extract(bare, r"^([^?]*)", 1)
-    return F.when(~url.contains("?"), url).when(rest == "", base).otherwise(F.concat(base, F.lit("?"), rest))
+    base, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
+    base = F.concat(F.lower(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)?", 1)), F.regexp_replace(base, "^[A-Za-z][A-Za-z0-9+.-]*:", ""))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
+    named = F.transform(pieces, lambda p, i: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("name"), i.alias("at"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value")))
+    drop = lambda n: F.lower(n).isin(TRACKING)
+    if platform is not None:
+        common = drop
+        own = F.create_map(*[x for k, v in PLATFORM_TRACKING.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[platform]
+        drop = lambda n: common(n) | F.coalesce(F.array_contains(own, F.lower(n)), F.lit(False))
+    kept = F.array_sort(F.filter(named, lambda x: ~drop(x["name"])))
+    rest = F.array_join(F.transform(kept, lambda x: F.concat(encoded(x["name"]), F.lit("="), encoded(x["value"]))), "&")
+    return F.when(query == "", url).when(F.size(kept) == 0, base).otherwise(F.concat(base, F.lit("?"), rest))
+
+
+def event_url(url: Column) -> Column:
+    """A URL as events compare it: trimmed, scheme and host in lower case, no fragment; path and query as they are."""
+    bare = F.regexp_replace(F.regexp_replace(url, rf"^{WHITE}+|{WHITE}+$", ""), "#.*$", "")
+    head = F.regexp_extract(bare, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?]*)?)", 1)
+    return F.coalesce(F.concat(F.lower(head), F.substr(bare, F.length(head) + 1)), F.lit(""))
 
 
 def url_host(url: Column) -> Column:
@@ -108,32 +133,48 @@ def excerpt(markup: Column, most: int = 600) -> Column:
 
 #: What is redacted, in this order.
 REDACTIONS = [
-    (r"sk-[A-Za-z0-9_-]{8,}", "[redacted]"),
-    (r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*\S+", "[redacted]"),
+    (r"sk-[A-Za-z0-9_-]{12,}", "[redacted]"),
+    (r"(?i)(api[_-]?key|token|secret|password|passwd|Authorization)\s*[:=]\s*['\"]?[^'\"\s,}]+", "[redacted]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[redacted]"),
     (r"https?://\S+", "[redacted]"),
-    (r"/(?:Users|home)/\S+", "[redacted]"),
-    (r"[A-Za-z0-9_-]{32,}", "[redacted]"),
-    (r"[0-9]{8,}", "[redacted]"),
-    (r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "[name]"),
+    (r"/Users/[^\s\"']+", "[redacted]"),
+    (r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{32,}(?![A-Za-z0-9])", "[redacted]"),
+    (r"(?<![\p{L}\p{N}_])\p{Nd}{8,}(?![\p{L}\p{N}_])", "[redacted]"),
+    (r"(?<![\p{L}\p{N}_])[A-Z][a-z]+ [A-Z][a-z]+(?![\p{L}\p{N}_])", "[name]"),
 ]
 
 
 def redacted(text: Column, most: int = 180) -> Column:
+    """text with single spaces and without secrets, addresses and names, cut to most characters with three dots."""
+    text = collapsed(F.coalesce(text, F.lit("")))
     for pattern, by in REDACTIONS:
         text = F.regexp_replace(text, pattern, by)
-    return F.substring(text, 1, most)
+    text = F.regexp_replace(text, r"[\x00-\x1f\x7f]", " ")
+    short = F.concat(F.rtrim(F.substring(text, 1, most - 3)), F.lit("..."))
+    return F.when(F.length(text) > most, short).otherwise(text)
+
+
+def event_title(title: Column) -> Column:
+    """A title as events compare it: NFKC, single spaces, lower case; marks stay."""
+    return F.lower(collapsed(compatible(F.coalesce(title, F.lit("")))))
 
 
 def event_key(title: Column, version: str = "v1") -> Column:
-    """Identity of an event: digest of its display title in lower case with single spaces; marks stay."""
-    return F.concat(F.lit(f"event-{version}:"), F.sha2(F.concat(F.lit(f"{version}\x1f"), F.lower(collapsed(title))), 256))
+    """Identity of an event: digest of its title as events compare it."""
+    return F.concat(F.lit(f"event-{version}:"), F.sha2(F.concat(F.lit(f"{version}\x1f"), event_title(title)), 256))
 
 
 def fingerprint_set(values: Column, digits: int = 16) -> Column:
-    """Digest of the sorted distinct lower-cased values."""
-    low = F.array_sort(F.array_distinct(F.transform(values, lambda v: F.lower(F.trim(v)))))
-    return F.substring(F.sha2(F.array_join(low, "\n"), 256), 1, digits)
+    """Digest of the sorted distinct lower-cased values that aren't blank."""
+    low = F.transform(values, lambda v: F.lower(F.regexp_replace(v, rf"^{WHITE}+|{WHITE}+$", "")))
+    kept = F.array_sort(F.array_distinct(F.filter(low, lambda v: F.coalesce(v, F.lit("")) != "")))
+    return F.substring(F.sha2(F.array_join(kept, "\n"), 256), 1, digits)
+
+
+def url_fingerprint(urls: Column, digits: int = 16) -> Column:
+    """Digest of the sorted distinct URLs, as events compare them, that aren't blank."""
+    kept = F.array_sort(F.array_distinct(F.filter(F.transform(urls, event_url), lambda v: v != "")))
+    return F.substring(F.sha2(F.array_join(kept, "\n"), 256), 1, digits)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

@@ -16,8 +16,11 @@ def pages(spark, sf_dir):
 
 
 URL = f"""u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
-v AS (SELECT *, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(regexp_extract(p, '^([^=]*)', 1)) NOT IN {SQL_TRACK}) AS kept FROM u),
-n AS (SELECT page_id, url, CASE WHEN NOT contains(url, '?') THEN url WHEN len(kept) = 0 THEN regexp_extract(bare, '^([^?]*)', 1) ELSE regexp_extract(bare, '^([^?]*)', 1) || '?' || array_to_string(list_sort(kept), '&') END AS normal FROM v)"""
+p AS (SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS base, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '') AS pieces FROM u),
+v AS (SELECT *, list_filter(list_transform(pieces, lambda p, i: {{'name': url_decode(replace(regexp_extract(p, '^([^=]*)', 1), '+', ' ')), 'at': i,
+    'value': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))}}), lambda x: lower(x.name) NOT IN {SQL_TRACK}) AS kept FROM p),
+n AS (SELECT page_id, url, CASE WHEN NOT regexp_matches(bare, '\\?.') THEN url WHEN len(kept) = 0 THEN base ELSE base || '?' ||
+    replace(array_to_string(list_transform(list_sort(kept), lambda x: url_encode(x.name) || '=' || url_encode(x.value)), '&'), '%20', '+') END AS normal FROM v)"""
 
 
 @query(f"WITH {URL} SELECT page_id, normal FROM n")
@@ -66,15 +69,21 @@ def pattern_stats(spark, sf_dir):
     return each.groupBy("category").agg(F.sum("n").alias("matches"), F.countDistinct(F.when(F.col("n") > 0, F.col("conv_id"))).alias("conversations"))
 
 
-REDACT = "text"
-for _p, _b in X.REDACTIONS[:-1]:
+#: Redactions without looking around: runs are found whole, and the edges of a number are put back, twice as two may share one.
+EDGE = r"[^\p{L}\p{N}_]"
+REDACT = r"trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x85\p{Z}]+', ' ', 'g'))"
+for _p, _b in [
+    *X.REDACTIONS[:5],
+    ("[A-Za-z0-9_-]{32,}", "[redacted]"),
+    *[(rf"(^|{EDGE})\p{{Nd}}{{8,}}($|{EDGE})", r"\1[redacted]\2")] * 2,
+    (rf"\b[A-Z][a-z]+ [A-Z][a-z]+($|{EDGE})", r"[name]\1"),
+    (r"[\x00-\x1f\x7f]", " "),
+]:
+    _p = _p.replace("'", "''")
     REDACT = f"regexp_replace({REDACT}, '{_p}', '{_b}', 'g')"
-# the end of the last word by what follows, as \b knows ASCII letters only there
-REDACT = f"regexp_replace({REDACT}, '\\b[A-Z][a-z]+ [A-Z][a-z]+($|[^\\p{{L}}\\p{{N}}_])', '[name]\\1', 'g')"
 
 
-
-@query(f"SELECT doc_id, substr({REDACT}, 1, 180) AS redacted FROM documents")
+@query(f"WITH r AS (SELECT doc_id, {REDACT} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 180 THEN rtrim(substr(t, 1, 177)) || '...' ELSE t END AS redacted FROM r")
 def redaction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.redacted(F.col("text")).alias("redacted"))
 
