@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normal_title, topic_tokens
@@ -10,32 +10,57 @@ from tidemark.operators.components import connected_components
 from tidemark.plans.scratch import cut
 
 
-def token_links(items: DataFrame, least_shared: int = 2, percent: int = 55) -> DataFrame:
-    """Pairs (a, b) of distinct token sets (set_id, tokens) that share enough of the smaller set.
+LEAST_SHARED, PERCENT = 2, 55
 
-    Tokens are ordered from rare to common. If two sets share at least need = max(2, ceil(.55 m)) tokens, m being the
-    smaller size, then one of the first m - need + 1 tokens of the smaller set is shared; those are joined with all
-    tokens of sets at least as large, and candidates are confirmed on the whole sets.
+
+def _similar(one: Column, other: Column) -> Column:
+    shared = F.size(F.array_intersect(one, other))
+    return (shared >= LEAST_SHARED) & (100 * shared >= PERCENT * F.least(F.size(one), F.size(other)))
+
+
+def _star_links(sets: DataFrame, each: DataFrame, stars: int = 2) -> DataFrame:
+    """Links (a, b) of similar sets, b being one of the smallest sets that have one of a's tokens: stars for each token."""
+    star = F.pmod(F.xxhash64("set_id"), F.lit(stars))
+    centres = each.where(F.col("m") >= LEAST_SHARED).groupBy("token", star.alias("star")).agg(F.min(F.struct("m", "set_id")).alias("c")).select("token", "c.set_id")
+    known = cut(centres.join(sets, "set_id").select("token", F.struct("set_id", "tokens").alias("centre")), "centres")
+    met = each.where(F.col("m") >= LEAST_SHARED).join(known, "token").groupBy("set_id").agg(F.collect_set("centre").alias("centres"))
+    near = sets.join(met, "set_id").select("set_id", F.explode(F.filter("centres", lambda c: _similar(c["tokens"], F.col("tokens")))["set_id"]).alias("b"))
+    return near.select(F.col("set_id").alias("a"), "b").where("a <> b")
+
+
+def token_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the token sets (set_id, tokens) as all links of similar ones would.
+
+    Sets are similar that share at least need = max(2, ceil(.55 m)) tokens, m being the smaller size. First each set meets
+    the smallest sets that have one of its tokens; in prose these connect nearly all. Then all pairs are looked at of
+    which not both are in the largest component: with tokens ordered from rare to common, the rarest shared one has
+    need - 1 tokens after it in both sets, so only tokens with that many after them are joined, and what they bring
+    together is confirmed on the whole sets. The most common tokens come last, so they bring few sets together.
     """
-    each = items.select("set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    each = cut(sets.select("set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token")), "each")
+    stars = cut(_star_links(sets, each).distinct(), "stars")
+    found = cut(connected_components(stars), "star-components")
+    main = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", "n").alias("main"))
+    inside = found.join(F.broadcast(main), F.col("component") == F.col("main"), "left_semi").select(F.col("node").alias("set_id"), F.lit(True).alias("inside"))
+
     often = each.groupBy("token").agg(F.count("*").alias("often"))
-    placed = each.join(often, "token").withColumn("place", F.row_number().over(Window.partitionBy("set_id").orderBy("often", "token")))
-    placed = cut(placed.select("set_id", "m", "token", "place"), "tokens")
-    need = F.greatest(F.lit(least_shared), F.expr(f"CAST(ceil({percent} * m / 100.0) AS INT)"))
-    heads = placed.where((F.col("place") <= F.col("m") - need + 1) & (F.col("m") >= least_shared)).select(F.col("set_id").alias("a"), F.col("m").alias("m_a"), "token")
-    others = placed.select(F.col("set_id").alias("b"), F.col("m").alias("m_b"), "token")
-    close = heads.join(others, "token").where((F.col("m_a") < F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("a") != F.col("b"))))
-    pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = items.select(F.col("set_id").alias("a"), F.col("tokens").alias("t_a")), items.select(F.col("set_id").alias("b"), F.col("tokens").alias("t_b"))
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    full = pairs.join(one, "a").join(two, "b")
-    return full.where((shared >= least_shared) & (100 * shared >= percent * F.least(F.size("t_a"), F.size("t_b")))).select("a", "b")
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("often", "token"))
+    need = F.greatest(F.lit(LEAST_SHARED), F.expr(f"CAST(ceil({PERCENT} * m / 100.0) AS INT)"))
+    placed = each.join(often, "token").withColumn("after", F.col("m") - place).where(F.col("after") >= LEAST_SHARED - 1).withColumn("need", need)
+    placed = cut(placed.join(inside, "set_id", "left").select("set_id", "m", "token", "after", "need", F.coalesce("inside", F.lit(False)).alias("inside")), "tokens")
+    heads = placed.where("after >= need - 1").select(F.col("set_id").alias("a"), F.col("m").alias("m_a"), "token", "need", F.col("inside").alias("in_a"))
+    others = placed.select(F.col("set_id").alias("b"), F.col("m").alias("m_b"), "token", "after", F.col("inside").alias("in_b"))
+    open_ = heads.where("NOT in_a").join(others, "token").unionByName(heads.where("in_a").join(others.where("NOT in_b"), "token"))
+    close = open_.where("after >= need - 1 AND (m_a < m_b OR m_a = m_b AND a <> b)").select("a", "b").distinct()
+    one, two = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("t_a")), sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t_b"))
+    rest = close.join(one, "a").join(two, "b").where(_similar(F.col("t_a"), F.col("t_b"))).select("a", "b")
+    return stars.unionByName(rest)
 
 
 def clustered(items: DataFrame) -> DataFrame:
     """items (seq, title, url) with cluster: the smallest seq of the items linked, in any number of steps.
 
-    Items are linked by equal normal titles, by equal links that aren't empty, or by tokens as in token_links. Equal
+    Items are linked by equal normal titles, by equal links that aren't empty, or by similar tokens. Equal
     titles are one node from the start, so copies don't multiply the pairs.
     """
     rows = cut(items.select("seq", "url", normal_title(F.col("title")).alias("norm"), topic_tokens(F.col("title")).alias("tokens")), "items")
