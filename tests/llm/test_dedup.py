@@ -141,6 +141,17 @@ def test_dropping_near_copies(clashing_docs, no_docs):
     assert drop_near_copies(no_docs).count() == 0
 
 
+def test_documents_without_keys_are_no_copies_of_each_other(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words), (None, words + " more"), (None, "quite another text that has some words"), (None, None), (None, None), (7, "a b c d e f g"), (8, "h i j k l m n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    for docs in (spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame(rows, "doc_id long, text string")):
+        left = [tuple(r) for r in drop_near_copies(docs).collect()]
+        assert Counter(left) - Counter({(None, words): 1, (None, words + " more"): 1}) == Counter({rows[2]: 1, (None, None): 2, rows[5]: 1, rows[6]: 1})
+        assert len(left) == 6
+        assert Counter(tuple(r) for r in drop_exact_copies(docs).collect()) == Counter({x: 1 for x in rows})
+
+
 def brute_removed(docs, window):
     first, out = {}, []
     words = [WORD.findall(d["text"] or "") for d in docs]

@@ -73,10 +73,29 @@ def spare(name: str, docs: DataFrame) -> str:
     return name
 
 
-def with_row_id(docs: DataFrame) -> tuple[DataFrame, str]:
-    """A table of docs with a column more, and its name, which tells rows apart that are equal in all others."""
-    name = spare("row_id", docs)
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+def with_row_id(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """docs with a column more, and its name: together with the key it tells rows apart that are equal in all others.
+
+    It is 0 for rows whose key no other row has. Only rows with repeated or null keys are copied to a table, where they
+    get numbers, unless docs isn't a table itself: then all are, so that it is computed once.
+    """
+    name, repeated = spare("row_id", docs), spare("repeated_key", docs)
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = cut(docs, "rows")
+    keys = docs.select(F.col(key).cast("long").alias(repeated)).groupBy(repeated).agg(F.count("*").alias("_n")).where(F.col(repeated).isNull() | (F.col("_n") > 1))
+    keys = cut(keys.select(repeated), "repeated-keys")
+    if keys.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long")), name
+    same = F.col(key).cast("long").eqNullSafe(F.col(repeated))
+    some = cut(docs.join(keys, same, "left_semi").withColumn(name, F.monotonically_increasing_id() + 1), "repeated-rows")
+    return docs.join(keys, same, "left_anti").withColumn(name, F.lit(0).cast("long")).unionByName(some), name
+
+
+def of_rows(rows: DataFrame, key: str, name: str, picked: DataFrame, how: str) -> DataFrame:
+    """Join rows from with_row_id to a table picked, (doc_id, row_id) and more, whose columns mustn't clash."""
+    doc, row = spare("picked_doc", rows), spare("picked_row", rows)
+    picked = picked.withColumnsRenamed({"doc_id": doc, "row_id": row})
+    return rows.join(picked, F.col(key).cast("long").eqNullSafe(F.col(doc)) & (F.col(name) == F.col(row)), how)
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_id: str | None = None, hash_bits: int = 64) -> DataFrame:
@@ -122,7 +141,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row_i
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("first.row_id") == F.col("row_id"))).alias("kept"),
+        (alone | (F.col("first.row_id") == F.col("row_id")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
         "text_sha256",
         "row_id",
     )
@@ -134,6 +153,6 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Null and empty texts are copies of each other. Null keys count as the largest; of rows with the same key and text
     one stays, whichever. Columns may have any names; no rows give none.
     """
-    rows, name = with_row_id(docs)
-    gone = exact_groups(rows, key, text, row_id=name).where("NOT kept").select(F.col("row_id").alias(name))
-    return rows.join(cut(gone, "gone"), name, "left_anti").select(*docs.columns)
+    rows, name = with_row_id(docs, key)
+    gone = exact_groups(rows, key, text, row_id=name).where("NOT kept").select("doc_id", "row_id")
+    return of_rows(rows, key, name, cut(gone, "gone"), "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import spare, with_row_id
+from tidemark.llm.exact_dedup import of_rows, spare, with_row_id
 from tidemark.plans.prefix_sums import running_totals
 from tidemark.plans.scratch import cut
 
@@ -85,11 +85,11 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     source of its own; null keys and repeated rows are documents like any other. n_chars, where it is a column, follows
     the text; other columns may have any names. No rows give none.
     """
-    rows, row = with_row_id(docs)
+    rows, row = with_row_id(docs, key)
     size, taken, some = (spare(x, rows) for x in ("size", "taken", "words"))
     plan = mix_documents(rows, key=key, text=text, source=source, row_id=row, **how).where("taken > 0")
-    plan = cut(plan.select(F.col("row_id").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)), "plan")
-    joined = rows.join(plan, row)
+    plan = cut(plan.select("doc_id", "row_id", F.col("size").alias(size), F.col("taken").alias(taken)), "plan")
+    joined = of_rows(rows, key, row, plan, "inner")
     copies = joined.withColumn(some, F.explode(F.expr(f"transform(sequence(0L, (`{taken}` - 1) div `{size}`), i -> least(`{size}`, `{taken}` - i * `{size}`))")))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col(some).cast("int")), " ")

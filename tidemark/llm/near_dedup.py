@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.exact_dedup import of_rows, with_row_id
 from tidemark.llm.shingling import each_text, mixed, shingle_set
 from tidemark.llm.tokens import utf8
 from tidemark.operators.components import connected_components
@@ -253,7 +254,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     group.
 
     Returns key as doc_id, n_shingles, component_id (smallest key reachable; null only where no key is), kept
-    (doc_id = component_id) and row_id. Texts without words are linked with nothing. Null keys come last; rows that
+    (doc_id = component_id), row_id and component (a number of its own, for components that no key names). Texts without words are linked with nothing. Null keys come last; rows that
     share a key and a set are kept or not together. Other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(row_id) if row_id else F.lit(None)).cast("long").alias("row_id"))
@@ -306,11 +307,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     whole = classes.select("class", *same_set, "first_id").join(components.withColumnRenamed("node", "class"), "class", "left")
     whole = cut(whole.withColumn("component", F.coalesce("component", "class")), "whole")
     firsts = cut(whole.groupBy("component").agg(F.min("first_id").alias("component_id")), "firsts")
-    known = cut(whole.join(firsts, "component").select(*same_set, "component_id"), "known")
+    known = cut(whole.join(firsts, "component").select(*same_set, "component", "component_id"), "known")
     release(classes, buckets, members, pairs, sets, links, labelled, opened, left, alive, more, whole, firsts)
     out = sketched.select("doc_id", "row_id", *same_set).join(known, same_set, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "row_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "row_id", "component").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -319,12 +320,8 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     Of rows that share that key and the group, one stays. Texts without words, null ones too, all stay, as do repeated
     rows of them. Null keys count as the largest. Columns may have any names; no rows give none.
     """
-    from tidemark.llm.exact_dedup import with_row_id
-
-    rows, name = with_row_id(docs)
-    groups = near_groups(rows, key, text, row_id=name, **how)
-    alone = F.col("n_shingles") == 0
-    group = F.struct(alone.alias("alone"), F.when(alone, F.col("row_id")).otherwise(F.col("component_id")).alias("of"))
-    groups = groups.withColumn("group", group)
-    stay = groups.where("kept").groupBy("group").agg(F.min("row_id").alias("row_id")).select(F.col("row_id").alias(name))
-    return rows.join(cut(stay, "stay"), name, "left_semi").select(*docs.columns)
+    rows, name = with_row_id(docs, key)
+    kept = near_groups(rows, key, text, row_id=name, **how).where("kept")
+    linked = kept.where("n_shingles > 0").groupBy("doc_id", "component").agg(F.min("row_id").alias("row_id")).select("doc_id", "row_id")
+    stay = kept.where("n_shingles = 0").select("doc_id", "row_id").unionByName(linked)
+    return of_rows(rows, key, name, cut(stay.distinct(), "stay"), "left_semi").select(*docs.columns)

@@ -31,7 +31,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_documents(spark, sf_dir), shingle_words=4, percent=80).drop("row_id")
+    return near_dedup.near_groups(_documents(spark, sf_dir), shingle_words=4, percent=80).drop("row_id", "component")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
