@@ -89,7 +89,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     size, taken, some = (spare(x, rows) for x in ("size", "taken", "words"))
     plan = mix_documents(rows, key=key, text=text, source=source, row_id=row, **how).where("taken > 0")
     plan = cut(plan.select("doc_id", "row_id", F.col("size").alias(size), F.col("taken").alias(taken)), "plan")
-    joined = of_rows(rows, key, row, plan, "inner")
+    # the plan has a row for nearly each document, so both sides are sorted at any size
+    joined = of_rows(rows.hint("merge"), key, row, plan, "inner")
     copies = joined.withColumn(some, F.explode(F.expr(f"transform(sequence(0L, (`{taken}` - 1) div `{size}`), i -> least(`{size}`, `{taken}` - i * `{size}`))")))
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col(some).cast("int")), " ")

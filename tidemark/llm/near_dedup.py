@@ -250,12 +250,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     pairs that are surely below; what is left is confirmed on full sets. At similarity 0.8 the 32 bands of 4 miss a
     link once in 2 * 10**7. The sketches of a bucket meet in one task, or in blocks if it is large. First each class
     is tried with its smallest and its closest mate only; when those links are confirmed and connected, classes that
-    have close mates in other components meet once more, with their full sets, and give the links that are left. So components are those of all pairs, without forming those inside a
-    group.
+    have close mates in other components meet once more, with their full sets, and give the links that are left. So
+    components are those of all pairs, without forming those inside a group.
 
     Returns key as doc_id, n_shingles, component_id (smallest key reachable; null only where no key is), kept
-    (doc_id = component_id), row_id and component (a number of its own, for components that no key names). Texts without words are linked with nothing. Null keys come last; rows that
-    share a key and a set are kept or not together. Other columns are not read.
+    (doc_id = component_id), row_id and component (a number of its own, for components that no key names). Texts without
+    words are linked with nothing. Null keys come last; rows that share a key and a set are kept or not together. Other
+    columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (F.col(row_id) if row_id else F.lit(None)).cast("long").alias("row_id"))
     packed = rows.select(F.struct("doc_id", "row_id").alias("doc_id"), "text")
