@@ -154,6 +154,37 @@ def redacted(text: Column, most: int = 180) -> Column:
     return F.when(F.length(text) > most, short).otherwise(text)
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}+|{WHITE}+$", "")
+
+
+def item_identity(kind: Column, source_id: Column, feed_id: Column, title: Column, url: Column) -> Column:
+    """Identity of an observed item: kind, owner, and the title, or the link of a feed item that has one."""
+    low = F.lower(trimmed(F.when(F.coalesce(kind, F.lit("")) == "", F.lit("unknown")).otherwise(kind)))
+    owner = F.when(low == "hotlist", source_id).otherwise(feed_id)
+    value = F.when((low == "rss") & (F.coalesce(url, F.lit("")) != ""), url).otherwise(title)
+    return F.concat_ws("\x1f", low, trimmed(owner), trimmed(value))
+
+
+def account_name(url: Column, kind: str) -> Column:
+    """The account that an address without query, fragment, port or user names; null if it isn't one of that kind."""
+    if kind == "telegram_html":
+        return F.nullif(F.regexp_extract(url, r"^(?i:https://t\.me)/s/([A-Za-z][A-Za-z0-9_]{3,31})/*$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"^(?i:https://(?:www\.)?(?:x|twitter)\.com)/([A-Za-z0-9_]{1,15})/*$", 1), F.lit(""))
+
+
+def word_runs(title: Column, stopwords: list[str], least: int = 2) -> Column:
+    """Words of a title for topics without rules: runs of Chinese characters, or of Latin letters and then digits.
+
+    Links, [labels] and Chinese quotation marks and dots are taken out before; case and repeats stay.
+    """
+    bare = F.regexp_replace(F.regexp_replace(title, r"https?://\S+", ""), r"\[.*?\]", "")
+    bare = F.regexp_replace(bare, "[【】《》「」『』\"'・·•]", "")
+    runs = F.regexp_extract_all(bare, F.lit(r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{2,}[a-zA-Z0-9]*"), F.lit(0))
+    return F.filter(runs, lambda w: (F.length(w) >= least) & ~F.lower(w).isin(stopwords) & ~w.isin(stopwords))
+
+
 def event_title(title: Column) -> Column:
     """A title as events compare it: NFKC, single spaces, lower case; marks stay."""
     return F.lower(collapsed(compatible(F.coalesce(title, F.lit("")))))

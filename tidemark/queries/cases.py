@@ -1,0 +1,163 @@
+"""Queries over literal rows, whose results are stated as rows too: columns whose SQL would be the same code again."""
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.functions.entities import entities, is_specific
+from tidemark.plans.rules import parse_rules
+from tidemark.queries.base import query
+
+
+def _quoted(value) -> str:
+    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def stated(columns: str, rows: list[tuple]) -> str:
+    """SQL of the rows themselves."""
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+def _numbered(spark, inputs: list[tuple], schema: str):
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(inputs)], f"no int, {schema}")
+
+
+ENTITIES = [
+    ("GDP up 5% as AI bets $1,200 million", "$1200 5% gdp"),
+    ("GLM-5.2 beats F-35, G7 and HBM4E", "f-35 g7 glm-5.2 hbm4e"),
+    ("NO deal: US up", ""),
+    ("City 4-2 Rovers, 1% and 49% of 12,345 in 1999 or 2101", "2101 345 4-2 49% city rovers"),
+    ("Breaking: Monday News from Paris about \u82f9\u679c", "Apple paris"),
+    (None, ""),
+]
+
+
+@query(stated("no, entities", [(i, e) for i, (_, e) in enumerate(ENTITIES)]))
+def entity_cases(spark, sf_dir):
+    rows = _numbered(spark, [(t,) for t, _ in ENTITIES], "title string")
+    return rows.select("no", F.array_join(entities(F.col("title"), {"\u82f9\u679c": "Apple"}), " ").alias("entities"))
+
+
+SPECIFIC = [("glm-5.2", True), ("$5", True), ("49%", True), ("paris", True), ("china", False), ("", False)]
+
+
+@query(stated("no, telling", [(i, w) for i, (_, w) in enumerate(SPECIFIC)]))
+def specific_entity_cases(spark, sf_dir):
+    return _numbered(spark, [(e,) for e, _ in SPECIFIC], "entity string").select("no", is_specific(F.col("entity"), ["china", "trump"]).alias("telling"))
+
+
+URLS = [
+    ("https://s.weibo.com/weibo?q=test&band_rank=6&Refer=top", "weibo", "https://s.weibo.com/weibo?q=test"),
+    ("https://s.weibo.com/weibo?q=test&t=31", None, "https://s.weibo.com/weibo?q=test&t=31"),
+    ("https://example.com/page?id=1&utm_source=twitter", "", "https://example.com/page?id=1"),
+    ("https://h/p?a-b=1&a=2", "", "https://h/p?a=2&a-b=1"),
+    ("https://h/p?k=2&k=1&flag", "", "https://h/p?flag=&k=2&k=1"),
+    ("https://h/p?q=%e4%b8%ad+x", "", "https://h/p?q=%E4%B8%AD+x"),
+    ("https://h/p#f?x=1", "", "https://h/p#f?x=1"),
+    ("https://h/p?ref=1#z", "", "https://h/p"),
+]
+
+
+@query(stated("no, normal", [(i, w) for i, (_, _, w) in enumerate(URLS)]))
+def platform_url_cases(spark, sf_dir):
+    return _numbered(spark, [x[:2] for x in URLS], "url string, platform string").select("no", X.normal_url(F.col("url"), F.col("platform")).alias("normal"))
+
+
+EVENT_URLS = [(" HTTPS://Host.COM/Path?Q=A#frag ", "https://host.com/Path?Q=A"), ("bare Token", "bare Token"), ("", ""), (None, "")]
+
+
+@query(stated("no, normal", [(i, w) for i, (_, w) in enumerate(EVENT_URLS)]))
+def event_url_cases(spark, sf_dir):
+    return _numbered(spark, [(u,) for u, _ in EVENT_URLS], "url string").select("no", X.event_url(F.col("url")).alias("normal"))
+
+
+@query("SELECT substr(sha256('https://a/x' || chr(10) || 'https://b/y'), 1, 16) AS one, substr(sha256(''), 1, 16) AS none")
+def url_fingerprint_cases(spark, sf_dir):
+    rows = spark.createDataFrame([(["https://B/y#1", "https://a/x", "https://A/x"], [" ", None])], "a array<string>, b array<string>")
+    return rows.select(X.url_fingerprint(F.col("a")).alias("one"), X.url_fingerprint(F.col("b")).alias("none"))
+
+
+TITLES = [
+    ("\uff21\uff29\u3000Chip\uff0c\tnews ", "ai chip, news", "ai chip news"),
+    ("Snake_Case  Title!", "snake_case title!", "snake_case title"),
+    ("\u4e2d\u6587AI\u70ed\u641c x1", "\u4e2d\u6587ai\u70ed\u641c x1", "\u4e2d\u6587ai\u70ed\u641c x1"),
+    (None, "", None),
+]
+
+
+@query(stated("no, event_title, topic_title", [(i, *w) for i, (_, *w) in enumerate(TITLES)]))
+def folded_title_cases(spark, sf_dir):
+    rows = _numbered(spark, [(t,) for t, *_ in TITLES], "title string")
+    return rows.select("no", X.event_title(F.col("title")).alias("event_title"), X.normal_title(F.col("title")).alias("topic_title"))
+
+
+TOKENS = [("\u4e2d\u6587AI\u70ed\u641c x1", "ai x1 \u4e2d\u6587 \u70ed\u641c"), ("\u70ed a", "a \u70ed"), ("\U00020000\U00020001\U00020002", "\U00020000\U00020001 \U00020001\U00020002"), ("a_b a_b", "a_b")]
+
+
+@query(stated("no, tokens", [(i, w) for i, (_, w) in enumerate(TOKENS)]))
+def topic_token_cases(spark, sf_dir):
+    rows = _numbered(spark, [(t,) for t, _ in TOKENS], "title string")
+    return rows.select("no", F.array_join(F.array_sort(X.topic_tokens(F.col("title"))), " ").alias("tokens"))
+
+
+IDENTITIES = [
+    ((" HotList ", " s1 ", "f", " T ", "u"), "hotlist\x1fs1\x1fT"),
+    (("rss", "s", "f1", "T", "http://u"), "rss\x1ff1\x1fhttp://u"),
+    (("rss", "s", None, "T", None), "rss\x1f\x1fT"),
+    ((None, "s", "f", None, "u"), "unknown\x1ff\x1f"),
+]
+
+
+@query(stated("no, identity", [(i, w) for i, (_, w) in enumerate(IDENTITIES)]))
+def item_identity_cases(spark, sf_dir):
+    rows = _numbered(spark, [x for x, _ in IDENTITIES], "kind string, source_id string, feed_id string, title string, url string")
+    return rows.select("no", X.item_identity(*[F.col(c) for c in ("kind", "source_id", "feed_id", "title", "url")]).alias("identity"))
+
+
+ACCOUNTS = [
+    ("https://t.me/s/some_channel/", "some_channel", None),
+    ("https://t.me/some_channel", None, None),
+    ("https://www.x.com/name1", None, "name1"),
+    ("https://twitter.com/name1?lang=en", None, None),
+    ("http://x.com/name1", None, None),
+    ("https://x.com:443/name1", None, None),
+]
+
+
+@query(stated("no, telegram, x", [(i, *w) for i, (_, *w) in enumerate(ACCOUNTS)]))
+def account_name_cases(spark, sf_dir):
+    rows = _numbered(spark, [(u,) for u, *_ in ACCOUNTS], "url string")
+    return rows.select("no", X.account_name(F.col("url"), "telegram_html").alias("telegram"), X.account_name(F.col("url"), "x_public").alias("x"))
+
+
+RUNS = [("[Live] GPT4 \u4eba\u5de5\u667a\u80fd\u300a\u62a5\u544a\u300b the News http://a/b", "GPT4|\u4eba\u5de5\u667a\u80fd\u62a5\u544a|News"), ("a \u4e2d x1 OK ok", "OK|ok")]
+
+
+@query(stated("no, words", [(i, w) for i, (_, w) in enumerate(RUNS)]))
+def word_run_cases(spark, sf_dir):
+    rows = _numbered(spark, [(t,) for t, _ in RUNS], "title string")
+    return rows.select("no", F.array_join(X.word_runs(F.col("title"), ["the"]), "|").alias("words"))
+
+
+FILE = "[global_filter]\nspam\n/x.*y/\n+not\n\n[Word_Groups]\n[Cars]\n/(?P<n>aud)i/ => Audi\n+red\n@2\n\nplain => Shown\nother\n[late]\n+need\n!bad"
+MATCHES = [("red AUDI", "Cars"), ("need other", "Shown / other / [late] / need"), ("need other bad", None), ("/x.*y/ red audi", None), ("xay red audi", "Cars")]
+
+
+@query(stated("no, group_name", [(i, w) for i, (_, w) in enumerate(MATCHES)]))
+def rule_file_cases(spark, sf_dir):
+    rules = parse_rules(FILE)
+    names = F.array(*[F.lit(g.name) for g in rules.groups])
+    rows = _numbered(spark, [(t,) for t, _ in MATCHES], "title string")
+    return rows.select("no", F.get(names, rules.first_group(F.col("title"))).alias("group_name"))
+
+
+SECRETS = [
+    ("sk-abcdefgh Authorization: Bearer-xyz passwd='q w", "sk-abcdefgh [redacted] [redacted] w"),
+    ("see\n\thttps://a.b/c  and 1234567 x12345678", "see [redacted] and 1234567 x12345678"),
+    ("word " * 60, ("word " * 60)[:177].rstrip() + "..."),
+    (None, ""),
+]
+
+
+@query(stated("no, redacted", [(i, w) for i, (_, w) in enumerate(SECRETS)]))
+def redaction_cases(spark, sf_dir):
+    return _numbered(spark, [(t,) for t, _ in SECRETS], "text string").select("no", X.redacted(F.col("text")).alias("redacted"))

@@ -116,7 +116,7 @@ def bound_events(spark, sf_dir):
     return E.bound_events(proposed, known).select("place", "topic", "event_id")
 
 
-@query(f"WITH {TITLES} SELECT seq, CASE WHEN regexp_replace(title, 'https?://[^ ]+', '', 'gi') = '' THEN 0 ELSE 1 END AS shown FROM ti WHERE title IS NOT NULL AND NOT regexp_matches(title, '\\s$|^\\s')")
+@query(f"""WITH {TITLES}, r AS (SELECT seq, trim(regexp_replace(title, '(?i)https?://[^ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS raw FROM ti),
+b AS (SELECT seq, raw, trim(regexp_replace(raw, '^(?:高热未归类|未归类)\\s*[·:：|｜-]\\s*', '')) AS bare FROM r) SELECT seq, CASE WHEN bare = '' THEN raw ELSE bare END AS topic FROM b""")
 def display_topics(spark, sf_dir):
-    rows = titles(spark, sf_dir).where(r"title IS NOT NULL AND NOT rlike(title, '\\s$|^\\s')")
-    return rows.select("seq", F.when(D.display_topic(F.col("title")) == "", 0).otherwise(1).alias("shown"))
+    return titles(spark, sf_dir).select("seq", D.display_topic(F.col("title")).alias("topic"))

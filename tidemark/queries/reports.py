@@ -58,12 +58,12 @@ def raw_appendix(spark, sf_dir):
     return out.select("group_no", F.element_at(G.names_of(R), F.col("group_no")).alias("group_name"), "seq", F.col("place").cast("long").alias("place"), "truncated")
 
 
-@query("""WITH r AS (SELECT source AS tag, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 3 AS priority, quality + toxic / 2.0::DOUBLE AS score, substr(text, 1, 20) AS title, l.doc_id AS seq FROM labels l JOIN documents USING (doc_id)),
+@query("""WITH r AS (SELECT source AS tag, CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 3 AS priority, quality + toxic / 2.0::DOUBLE AS score, sha256(text) AS title, l.doc_id AS seq FROM labels l JOIN documents USING (doc_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY tag, title ORDER BY seq) AS k FROM r WHERE score >= 0.5), c AS (SELECT tag, min(priority) AS priority, count(*) AS n, max(score) AS best FROM f WHERE k = 1 GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY priority, n DESC, tag) AS place FROM c""")
 def filter_report(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    rows = rows.select(F.col("source").alias("tag"), (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 3).alias("priority"), (F.col("quality") + F.col("toxic") / 2.0).alias("score"), F.substring("text", 1, 20).alias("title"), F.col("doc_id").alias("seq"))
+    rows = rows.select(F.col("source").alias("tag"), (F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 3).alias("priority"), (F.col("quality") + F.col("toxic") / 2.0).alias("score"), F.sha2("text", 256).alias("title"), F.col("doc_id").alias("seq"))
     return P.tagged(rows, 0.5).withColumn("place", F.col("place").cast("long"))
 
 
