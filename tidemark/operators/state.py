@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import cooldown_action, level_number, phase, repeat_status
+from tidemark.plans.prefix_sums import positions
 
 
 def highest_of_each(updates: DataFrame) -> DataFrame:
@@ -94,6 +95,11 @@ def budgeted(rows: DataFrame, order: list[Column], size: str, budget: int, block
 
 
 def chunked(rows: DataFrame, order: list[Column], most: int, block: str) -> DataFrame:
-    """Rows of each block in chunks of at most so many, numbered from 0."""
-    at = F.row_number().over(Window.partitionBy(block).orderBy(*order)) - 1
-    return rows.withColumn("chunk", F.floor(at / most).cast("long"))
+    """Rows of each block in chunks of at most so many, numbered from 0, in an order that ends in a unique column.
+
+    Places come from one range sort by block and order, so a block may hold most of the rows.
+    """
+    placed = positions(rows, [F.col(block), *order], "_place")
+    first = placed.groupBy(block).agg(F.min("_place").alias("_first")).withColumnRenamed(block, "_block")
+    at = F.col("_place") - F.col("_first")
+    return placed.join(first, F.col(block).eqNullSafe(F.col("_block"))).withColumn("chunk", F.floor(at / most).cast("long")).drop("_place", "_first", "_block")

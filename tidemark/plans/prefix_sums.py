@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.scratch import cut
+
 HASH_SPACE = 1 << 60
 
 
@@ -36,3 +38,17 @@ def running_totals(df: DataFrame, group: str, key: str, ties: list[str], amount:
     local = df.withColumn("_local", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     joined = local.join(bases, (local[group] == bases["_g"]) & (local["_bucket"] == bases["_b"]))
     return joined.withColumn(out, (F.col("_base") + F.col("_local")).cast("long")).drop("_bucket", "_local", "_g", "_b", "_base")
+
+
+def positions(df: DataFrame, order: list[Column], out: str, per_task: int = 200_000) -> DataFrame:
+    """Add out: the row's place, from 0, in an order of all rows; the order should end in a unique column.
+
+    The rows are parted by ranges of that order and written once, so places inside a part come from one sort of at
+    most some multiple of per_task rows, and the parts' sizes from a prefix sum over one row a part.
+    """
+    parts = max(1, -(-df.count() // per_task))
+    table = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = table.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return table.withColumn("_at", inside).join(bases, "_part").withColumn(out, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
