@@ -81,3 +81,18 @@ def comparison_period(name: str, today: date) -> tuple[date, date]:
     if name in spans:
         return today - timedelta(days=spans[name]), today - timedelta(days=1)
     return named_range(name, today)
+
+
+def time_for_reader(text: Column, zone: str = "Asia/Shanghai", with_date: bool = True) -> Column:
+    """MM-DD HH:MM, or HH:MM, of an ISO time in a zone; one without offset is UTC, whatever the session's zone.
+
+    Of text that is no time, the parts at their places are taken if it has one T, else it stays; null is empty.
+    """
+    bare = ~text.rlike(r"(Z|\+\d{2}:?\d{2}|-\d{2}:\d{2})$")
+    at = F.try_to_timestamp(F.when(bare, F.concat(F.regexp_replace(text, r"\..*", ""), F.lit("Z"))).otherwise(text))
+    here = F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz"))
+    shown = F.date_format(here, "MM-dd HH:mm" if with_date else "HH:mm")
+    parts = F.split(text, "T")
+    clock = F.substring(F.get(parts, F.lit(1)), 1, 5)
+    raw = F.concat_ws(" ", F.substr(F.get(parts, F.lit(0)), F.lit(6)), clock) if with_date else clock
+    return F.coalesce(shown, F.when(F.size(parts) == 2, raw).otherwise(text), F.lit(""))

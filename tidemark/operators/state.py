@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scores import cooldown_action, level_number, phase, repeat_status
+from tidemark.functions.scores import LEVELS, cooldown_action, level_number, phase, repeat_status
 from tidemark.plans.prefix_sums import positions
 
 
@@ -103,3 +103,34 @@ def chunked(rows: DataFrame, order: list[Column], most: int, block: str) -> Data
     first = placed.groupBy(block).agg(F.min("_place").alias("_first")).withColumnRenamed(block, "_block")
     at = F.col("_place") - F.col("_first")
     return placed.join(first, F.col(block).eqNullSafe(F.col("_block"))).withColumn("chunk", F.floor(at / most).cast("long")).drop("_place", "_first", "_block")
+
+
+def active_tags(tags: DataFrame, interests: str) -> DataFrame:
+    """Active tags (tag_id, interests, status, priority, version, prompt_hash, ...) of a file of interests, by priority."""
+    return tags.where((F.col("status") == "active") & (F.col("interests") == interests)).orderBy("priority", "tag_id")
+
+
+def newest_prompt(tags: DataFrame, interests: str) -> DataFrame:
+    """One row: the prompt_hash of the newest active version of a file of interests, of equal versions that of the least tag_id; null without any."""
+    rows = tags.where((F.col("status") == "active") & (F.col("interests") == interests))
+    return rows.agg(F.max_by("prompt_hash", F.struct("version", (-F.col("tag_id")).alias("before"))).alias("prompt_hash"))
+
+
+def newest_version(tags: DataFrame) -> DataFrame:
+    """One row: the highest version of all tags, 0 without any."""
+    return tags.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def to_be_tried_again(analyzed: DataFrame, interests: str) -> DataFrame:
+    """What is analyzed (news_id, interests, matched) without the rows of a file of interests that matched nothing."""
+    return analyzed.where(~F.coalesce((F.col("interests") == interests) & ~F.col("matched"), F.lit(False)))
+
+
+def removed(queue: DataFrame, keys: DataFrame) -> DataFrame:
+    """A queue without the entries of keys (event_key)."""
+    return queue.join(keys, "event_key", "left_anti")
+
+
+def time_to_live(cooldown_minutes: int = 240, floor_seconds: int = 7 * 86400) -> dict[str, int]:
+    """Seconds that state of each level lives: never less than its cooldown."""
+    return dict.fromkeys(LEVELS, max(cooldown_minutes * 60, int(floor_seconds)))

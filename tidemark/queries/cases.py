@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions.entities import entities, is_specific
+from tidemark.functions.moments import time_for_reader
 from tidemark.plans.rules import parse_rules
 from tidemark.queries.base import query
 
@@ -161,3 +162,22 @@ SECRETS = [
 @query(stated("no, redacted", [(i, w) for i, (_, w) in enumerate(SECRETS)]))
 def redaction_cases(spark, sf_dir):
     return _numbered(spark, [(t,) for t, _ in SECRETS], "text string").select("no", X.redacted(F.col("text")).alias("redacted"))
+
+
+TIMES = [
+    ("2025-12-29T00:20:00", "12-29 08:20"),
+    ("2025-12-29T00:20:00+00:00", "12-29 08:20"),
+    ("2025-12-29T20:20:00Z", "12-30 04:20"),
+    ("2025-12-29T00:20:00.123", "12-29 08:20"),
+    ("2025-12-29 10:00:00", "12-29 18:00"),
+    ("2025-12-29T10:00:00+08:00", "12-29 10:00"),
+    ("2025-99-29T10:00:00", "99-29 10:00"),
+    ("soon", "soon"),
+    ("", ""),
+    (None, ""),
+]
+
+
+@query(stated("no, shown", [(i, s) for i, (_, s) in enumerate(TIMES)]))
+def reader_time_cases(spark, sf_dir):
+    return _numbered(spark, [(t,) for t, _ in TIMES], "at string").select("no", time_for_reader(F.col("at")).alias("shown"))

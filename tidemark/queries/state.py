@@ -100,3 +100,36 @@ def count_by_level(spark, sf_dir):
     rows = updates(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
     levels = spark.createDataFrame([(x,) for x in S.LEVELS], "level string")
     return levels.join(rows, "level", "left").na.fill(0, ["n"])
+
+
+TG = "tg AS (SELECT doc_id AS tag_id, source AS interests, CASE WHEN doc_id % 4 = 0 THEN 'deprecated' ELSE 'active' END AS status, doc_id % 5 AS priority, doc_id % 7 AS version, concat('h', doc_id) AS prompt_hash FROM documents)"
+
+
+def tags(spark, sf_dir):
+    """Documents as tags, their source as the file of interests."""
+    status = F.when(F.col("doc_id") % 4 == 0, "deprecated").otherwise("active")
+    number = lambda n: F.col("doc_id") % n
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("tag_id"), F.col("source").alias("interests"), status.alias("status"), number(5).alias("priority"), number(7).alias("version"), F.concat(F.lit("h"), "doc_id").alias("prompt_hash"))
+
+
+@query(f"WITH {TG} SELECT tag_id, priority, version FROM tg WHERE status = 'active' AND interests = 'src3' ORDER BY priority, tag_id")
+def active_tags(spark, sf_dir):
+    return K.active_tags(tags(spark, sf_dir), "src3").select("tag_id", "priority", "version")
+
+
+@query(f"WITH {TG}, p AS (SELECT prompt_hash FROM tg WHERE status = 'active' AND interests = 'src3' ORDER BY version DESC, tag_id LIMIT 1) SELECT (SELECT prompt_hash FROM p) AS prompt_hash, (SELECT max(version) FROM tg) AS version")
+def newest_tags(spark, sf_dir):
+    rows = tags(spark, sf_dir)
+    return K.newest_prompt(rows, "src3").join(F.broadcast(K.newest_version(rows)))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d JOIN labels l USING (doc_id) WHERE NOT (d.source = 'src3' AND l.toxic = 0)")
+def tried_again(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("source").alias("interests"), (F.col("toxic") != 0).alias("matched"))
+    return K.to_be_tried_again(rows, "src3").select("doc_id", F.col("interests").alias("source"))
+
+
+@query(f"WITH {UPDATES}, {STATE} SELECT event_key, level FROM st WHERE event_key NOT IN (SELECT event_key FROM nw)")
+def deferred_removed(spark, sf_dir):
+    before, after = before_and_after(spark, sf_dir)
+    return K.removed(K.highest_of_each(before), after.select("event_key")).select("event_key", "level")
