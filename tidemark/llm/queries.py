@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, warc
+from tidemark.llm import bpe, exact_dedup, fingerprints, lexical, mixing, near_dedup, packing, sharding, substring_dedup, token_files, toxicity, warc, whitening
 from tidemark.plans.scratch import new_path, tidy
 from tidemark.session import ship
 
@@ -64,6 +64,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir)).drop("row_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = whitening.whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode_documents(bpe.encode_documents(_documents(spark, sf_dir)))
+    digest = lambda c: F.sha2(c, 256)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("text").alias("decoded_sha256"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -88,6 +104,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": _tidied(op8_token_files),
     "op9_warc": _tidied(op9_warc),
     "op10_mixing": _tidied(op10_mixing),
+    "op11_whitening": _tidied(op11_whitening),
+    "op12_lexical_search": _tidied(op12_lexical_search),
+    "op13_bpe": _tidied(op13_bpe),
 }
 
 ORACLES: dict[str, str] = {
@@ -124,4 +143,21 @@ ORACLES: dict[str, str] = {
                CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
         FROM b
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        sizes AS (SELECT row, doc_id, CAST(len(words) AS HUGEINT) AS n FROM d),
+        total AS (SELECT count(*) FILTER (n > 0) AS docs, CAST(sum(n) AS HUGEINT) AS terms FROM sizes),
+        tf AS (SELECT row, term, CAST(count(*) AS HUGEINT) AS tf FROM (SELECT row, unnest(words) AS term FROM d) GROUP BY row, term),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        w AS (SELECT item_id, term, CAST(count(*) AS HUGEINT) * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS HUGEINT) AS weight
+              FROM q JOIN df USING (term), total GROUP BY item_id, term, docs, df),
+        s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS score
+              FROM w JOIN tf USING (term) JOIN sizes USING (row), total GROUP BY item_id, row, doc_id)
+        SELECT item_id, CAST(row_number() OVER p AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score
+        FROM s WHERE score > 0 WINDOW p AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER p <= 20
+    """,
 }
