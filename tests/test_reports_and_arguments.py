@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import pytest
@@ -76,8 +77,29 @@ def test_feed_items_join_the_topic_with_most_entities(spark):
 
 
 def test_digest_leaves_out_what_is_alike(spark):
-    rows = [("market crash in europe", 400), ("Market crash in Europe today", 390), ("new phone", 300), ("quake hits coast", 200)]
-    assert P.digest(spark.createDataFrame(rows, "topic string, score int"), 2)["topic"].tolist() == ["market crash in europe", "new phone"]
+    rows = [("market crash in europe", 400), ("Market crash in Europe today", 390), ("new phone", 300), ("quake hits coast", 200), ("!!", 999)]
+    topics = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, topic string, score int")
+    assert [(r["place"], r["topic"]) for r in P.digest(topics, 2).collect()] == [(1, "market crash in europe"), (2, "new phone")]
+    assert P.digest(topics.limit(0)).columns == ["place", "seq", "topic", "score"] and P.digest(topics.limit(0)).count() == 0
+
+
+def test_digest_looks_at_all_topics(spark):
+    """Hundreds alike before the second that isn't, and ties, as a greedy loop over all has it."""
+    rnd = random.Random(5)
+    names = [f"market crash in europe {i}" for i in range(400)] + ["".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 14))) for _ in range(60)]
+    rows = [(i, t, 500 - i // 3) for i, t in enumerate(names)]
+
+    def share(x, y):
+        if x in y or y in x:
+            return 1.0
+        a, b = ({z[i : i + 2] for i in range(max(1, len(z) - 1))} for z in (x, y))
+        return len(a & b) / min(len(a), len(b)) if min(len(x), len(y)) >= 8 else 0.0
+
+    want = []
+    for _, t, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if len(want) < 5 and all(share(t.replace(" ", ""), w.replace(" ", "")) < 0.72 for w in want):
+            want.append(t)
+    assert [r["topic"] for r in P.digest(spark.createDataFrame(rows, "seq long, topic string, score int")).orderBy("place").collect()] == want
 
 
 def test_answers_of_a_classifier(spark):

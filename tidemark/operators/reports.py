@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tidemark.functions.text import WHITE, compatible
+from tidemark.plans.scratch import cut
 
 #: Fixed values.
 BUCKET_SCORES = {"cross_layer_verified": 400, "chinese_only_hot": 320, "high_heat_unverified": 240, "silence_gap": 160}
@@ -17,32 +20,41 @@ def digest_score(bucket: Column, has_summary: Column, platforms: Column) -> Colu
     return value + F.when(has_summary, 12).otherwise(0) + F.least(platforms, F.lit(8))
 
 
-def _pairs(text: str) -> set[str]:
-    low = "".join(c for c in text.lower() if c.isalnum())
-    return {low[i : i + 2] for i in range(len(low) - 1)}
+def topic_key(topic: Column) -> Column:
+    """A topic's name as digests compare it: in compatibility form and lower case, without white space, marks and symbols."""
+    return F.regexp_replace(F.lower(compatible(F.coalesce(topic, F.lit("")))), rf"{WHITE}|[\p{{P}}\p{{S}}]", "")
+
+
+def letter_pairs(key: Column) -> Column:
+    """Distinct pairs of neighbouring letters; of a single letter that one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2))))
 
 
-def alike(one: str, other: str) -> float:
-    """Shared letter pairs by the smaller set; 1 where one name contains the other, 0 for short names."""
-    a, b = ("".join(c for c in x.lower() if c.isalnum()) for x in (one, other))
-    if a and b and (a in b or b in a):
-        return 1.0
-    if min(len(a), len(b)) < 8:
-        return 0.0
-    x, y = _pairs(one), _pairs(other)
-    return len(x & y) / max(1, min(len(x), len(y)))
+def alike(key: Column, pairs: Column, other: Column, other_pairs: Column) -> Column:
+    """Shared letter pairs by the smaller set; 1 where one key contains the other, 0 for short ones."""
+    share = F.size(F.array_intersect(pairs, other_pairs)) / F.least(F.size(pairs), F.size(other_pairs))
+    return F.when(F.contains(key, other) | F.contains(other, key), 1.0).when(F.least(F.length(key), F.length(other)) < 8, 0.0).otherwise(share)
 
 
-def digest(topics: DataFrame, most: int = 5, limit: float = 0.72, pool: int = 200) -> pd.DataFrame:
-    """The topics (topic, score) of a digest: best first, without any too like one already there.
+def digest(topics: DataFrame, most: int = 5, limit: float = 0.72) -> DataFrame:
+    """The topics (topic, score, seq, ...) of a digest with their place: best first, none too like one before it.
 
-    Only as many of the best as pool are looked at, and the result has most rows, so it is made on the driver.
+    In each of most rounds the best topic is taken (highest score, then least seq) and all that are like it leave, so
+    every topic counts however many there are, and one row a round comes to the driver. Topics without letters or digits
+    are left out.
     """
-    best, chosen = topics.orderBy(F.desc("score"), "topic").limit(pool).toPandas(), []
-    for row in best.itertuples(index=False):
-        if len(chosen) < most and all(alike(row.topic, c.topic) < limit for c in chosen):
-            chosen.append(row)
-    return pd.DataFrame(chosen, columns=best.columns)
+    rows = topics.withColumn("_key", topic_key(F.col("topic"))).where("_key <> ''")
+    rows = cut(rows, "topics")
+    rest, chosen, own = rows, [], letter_pairs(F.col("_key"))
+    for _ in range(most):
+        best = rest.orderBy(F.desc("score"), "seq").limit(1).collect()
+        if not best:
+            break
+        chosen.append(best[0])
+        key = F.lit(best[0]["_key"])
+        rest = rest.where(alike(F.col("_key"), own, key, letter_pairs(key)) < limit)
+    out = [(place, *[r[c] for c in topics.columns]) for place, r in enumerate(chosen, 1)]
+    return topics.sparkSession.createDataFrame(out, StructType([StructField("place", IntegerType()), *topics.schema.fields]))
 
 
 def sections(events: DataFrame, examples: int = 3) -> DataFrame:
@@ -89,11 +101,13 @@ def returned_ids(expected: DataFrame, returned: DataFrame) -> DataFrame:
     return out.withColumn("accepted", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0))
 
 
-def dashboard(**parts: DataFrame) -> DataFrame:
-    """One row with a JSON document of small tables by name, each sorted."""
+def dashboard(most: int = 10_000, **parts: DataFrame) -> DataFrame:
+    """One row with a JSON document of small tables by name, each sorted; one with more than most rows is an error."""
     out = None
     for name, rows in sorted(parts.items()):
-        one = rows.agg(F.array_sort(F.collect_list(F.struct(*sorted(rows.columns)))).alias(name))
+        listed = rows.select(F.struct(*sorted(rows.columns)).alias("x")).limit(most + 1)
+        fits = F.when(F.count("*") > most, F.raise_error(F.lit(f"{name} has more than {most} rows")).cast("boolean")).otherwise(True)
+        one = listed.agg(F.array_sort(F.collect_list("x")).alias(name), fits.alias("_fits")).where("_fits").drop("_fits")
         out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
     return out.select(F.to_json(F.struct("*")).alias("document"))
 
