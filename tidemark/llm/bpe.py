@@ -265,17 +265,31 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     return out.select("doc_id", "ids")
 
 
-def _decoded(path: str):
+_TABLES: dict[str, list[bytes]] = {}
+
+
+def _tokens(path: str) -> list[bytes]:
+    """The tokens of a file without a decoder by their ids, once for each Python worker, which needs no more of the file."""
+    if path not in _TABLES:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _TABLES[path] = [tokenizer.id_to_token(i).encode() for i in range(tokenizer.get_vocab_size())]
+    return _TABLES[path]
+
+
+def _decoded(path: str, by_table: bool):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path).tokenizer
-        joined = tokenizer.decoder is None
-        table = [tokenizer.id_to_token(i).encode() for i in range(tokenizer.get_vocab_size())] if joined else []
+        table = _tokens(path) if by_table else []
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():
                 ids = np.frombuffer(ids or b"", "<u4")
+                if not by_table:
+                    texts.append(encoder(path).tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode())
+                    continue
                 runs = (ids[at : at + RUN].tolist() for at in range(0, len(ids), RUN))
-                texts.append(b" ".join([b" ".join([table[i] for i in run]) for run in runs]) if joined else tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode())
+                texts.append(b" ".join([b" ".join([table[i] for i in run]) for run in runs]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
 
     return decoded
@@ -286,5 +300,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
 
     A tokenizer file without a decoder has its tokens joined by spaces. Null ids are none and decode to an empty text.
     """
+    path = tokenizer or default_tokenizer()
+    by_table = encoder(path).tokenizer.decoder is None
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    return rows.mapInArrow(_decoded(tokenizer or default_tokenizer()), "doc_id long, ids binary, text string")
+    return rows.mapInArrow(_decoded(path, by_table), "doc_id long, ids binary, text string")
