@@ -75,23 +75,3 @@ def clustered(items: DataFrame) -> DataFrame:
     out = items.join(found.withColumnRenamed("node", "seq"), "seq", "left")
     return out.withColumn("cluster", F.coalesce("component", "seq")).drop("component")
 
-
-def candidates(items: DataFrame) -> DataFrame:
-    """One row for each cluster: identity from all its titles and links, what it consists of, and its display title.
-
-    items are (cluster, seq, title, url, source_id, kind, rank); kind is hotlist or rss, and only hot-list ranks count.
-    """
-    visible = F.when((F.col("kind") == "hotlist") & (F.col("rank") > 0) & (F.col("rank") != 99), F.col("rank"))
-    key = F.struct((F.col("kind") != "hotlist").alias("a"), F.coalesce(visible, F.lit(1 << 30)).alias("b"), F.col("source_id"), F.col("seq"))
-    grouped = items.withColumn("norm", normal_title(F.col("title"))).groupBy("cluster").agg(
-        F.array_sort(F.collect_set("norm")).alias("norms"),
-        F.array_sort(F.collect_set(F.when(F.col("url") != "", F.col("url")))).alias("urls"),
-        F.array_sort(F.collect_set("source_id")).alias("sources"),
-        F.count("*").alias("items"),
-        F.min(visible).alias("best_rank"),
-        F.bool_or(F.col("kind") == "hotlist").alias("has_hotlist"),
-        F.bool_or(F.col("kind") == "rss").alias("has_rss"),
-        F.min_by("title", key).alias("display_title"),
-    )
-    identity = F.concat_ws("||", F.array_join("norms", "||"), F.array_join("urls", "||"))
-    return grouped.withColumn("candidate_id", F.substring(F.sha1(F.concat(F.lit("candidate:"), identity)), 1, 12))

@@ -105,20 +105,16 @@ def decision_level(spark, sf_dir):
     return topics.scored(rows).select("candidate_id", "growth", "heat", "cross", "score", "level")
 
 
-@query(f"""WITH RECURSIVE {TITLES}, nt AS (SELECT seq, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM ti),
+#: Clusters of titles: cl (seq, cluster), and nt, the titles in normal form.
+CLUSTERS = f"""WITH RECURSIVE {TITLES}, nt AS (SELECT seq, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM ti),
 d AS (SELECT norm, min(seq) AS seq, any_value(tok) AS tok FROM nt GROUP BY 1), ex AS (SELECT seq, len(tok) AS m, unnest(tok) AS w FROM d),
 sh AS (SELECT x.seq AS a, y.seq AS b, count(*) AS k, any_value(least(x.m, y.m)) AS m FROM ex x JOIN ex y ON x.w = y.w AND x.seq < y.seq GROUP BY 1, 2),
 one AS MATERIALIZED (SELECT a, b FROM sh WHERE k >= 2 AND 100 * k >= 55 * m),
 ed AS MATERIALIZED (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
-cc(n, c) USING KEY (n) AS (SELECT seq, seq FROM d UNION (SELECT ed.b, min(cc.c) FROM cc JOIN ed ON ed.a = cc.n JOIN recurring.cc AS o ON o.n = ed.b WHERE cc.c < o.c GROUP BY ed.b))
-SELECT nt.seq, cc.c AS cluster FROM nt JOIN d ON nt.norm = d.norm JOIN cc ON cc.n = d.seq""")
-def title_clusters(spark, sf_dir):
-    return cluster.clustered(titles(spark, sf_dir).select("seq", F.lit("").alias("url"), "title")).select("seq", "cluster")
+cc(n, c) USING KEY (n) AS (SELECT seq, seq FROM d UNION (SELECT ed.b, min(cc.c) FROM cc JOIN ed ON ed.a = cc.n JOIN recurring.cc AS o ON o.n = ed.b WHERE cc.c < o.c GROUP BY ed.b)),
+cl AS (SELECT nt.seq, cc.c AS cluster FROM nt JOIN d ON nt.norm = d.norm JOIN cc ON cc.n = d.seq)"""
 
 
-@query()
-def event_candidates(spark, sf_dir):
-    rows = titles(spark, sf_dir).withColumn("url", F.lit(""))
-    kind = F.when(F.col("source_id").isin("src0", "src1", "src2"), "rss").otherwise("hotlist")
-    found = cluster.candidates(cluster.clustered(rows.select("seq", "url", "title", "source_id", "rank", kind.alias("kind"))))
-    return found.select("candidate_id", "display_title", "items", "best_rank", "has_hotlist", "has_rss", F.size("sources").alias("sources"))
+@query(f"{CLUSTERS} SELECT seq, cluster FROM cl")
+def title_clusters(spark, sf_dir):
+    return cluster.clustered(titles(spark, sf_dir).select("seq", F.lit("").alias("url"), "title")).select("seq", "cluster")
