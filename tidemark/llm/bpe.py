@@ -35,23 +35,26 @@ def chunks(data: bytes) -> list[bytes]:
     return out
 
 
-def _named(data: bytes) -> tuple[bytes, int]:
-    """A chunk's 128-bit name and its bit in the map."""
+def _named(data: bytes, bits: int) -> tuple[bytes, int]:
+    """A chunk's 128-bit name and its bit in a map."""
     name = xxhash.xxh3_128_digest(data)
-    return name, int.from_bytes(name[:8], "little") % MAP_BITS
+    return name, int.from_bytes(name[:8], "little") % bits
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        named = [_named(c) for text in utf8(batch.column(0)) for c in chunks(text)]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in named], pa.binary()), pa.array([b + 1 for _, b in named], pa.int64())], ["chunk", "bit"])
+def _names(bits: int):
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = [_named(c, bits) for text in utf8(batch.column(0)) for c in chunks(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in named], pa.binary()), pa.array([b + 1 for _, b in named], pa.int64())], ["chunk", "bit"])
+
+    return names
 
 
-def _map_of_shared(texts: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits, set where a chunk occurs twice or more in all texts."""
-    shared = texts.mapInArrow(_names, "chunk binary, bit long").groupBy("chunk", "bit").agg(F.count("*").alias("times")).where("times > 1")
+def _map_of_shared(texts: DataFrame, bits: int) -> np.ndarray:
+    """A map of so many bits, set where a chunk occurs twice or more in all texts."""
+    shared = texts.mapInArrow(_names(bits), "chunk binary, bit long").groupBy("chunk", "bit").agg(F.count("*").alias("times")).where("times > 1")
     parts = shared.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(MAP_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in parts.toLocalIterator():
         own = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["part"] - 1) * 4096
@@ -63,7 +66,7 @@ def _cut_up(data: bytes, shared: np.ndarray) -> list[tuple[bytes | None, bytes]]
     """Runs of chunks that aren't shared as (None, text), and each chunk that is, by the map, as (name, text)."""
     out: list[tuple[bytes | None, bytes]] = []
     for chunk in chunks(data):
-        name, bit = _named(chunk)
+        name, bit = _named(chunk, 8 * len(shared))
         if shared[bit >> 3] >> (bit & 7) & 1:
             out.append((name, chunk))
         elif out and out[-1][0] is None:
@@ -116,8 +119,36 @@ def _chunk_pieces(path: str, margin: int):
     return encoded
 
 
-def _whole(path: str, shared: np.ndarray | None):
-    """(doc_id, row_id, text) to ids, of documents without shared chunks only where shared is given."""
+_TABLES: dict[str, list[bytes]] = {}
+
+
+def _tokens(path: str) -> list[bytes]:
+    """The tokens of a file without a decoder by their ids, once for each Python worker, which needs no more of the file."""
+    if path not in _TABLES:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _TABLES[path] = [tokenizer.id_to_token(i).encode() for i in range(tokenizer.get_vocab_size())]
+    return _TABLES[path]
+
+
+def _decodes(path: str):
+    """How a list of ids as bytes decodes, to bytes: without a decoder in the file its tokens are joined by spaces."""
+    by_table = encoder(path).tokenizer.decoder is None
+
+    def decode(ids: bytes | None) -> bytes:
+        numbers = np.frombuffer(ids or b"", "<u4")
+        if not by_table:
+            return encoder(path).tokenizer.decode(numbers.tolist(), skip_special_tokens=False).encode()
+        table = _tokens(path)
+        return b" ".join([b" ".join([table[i] for i in numbers[at : at + RUN].tolist()]) for at in range(0, len(numbers), RUN)])
+
+    return decode
+
+
+def _whole(path: str, shared: np.ndarray | None, decode):
+    """(doc_id, row_id, text) to ids, and with decode what they decode to; of documents without shared chunks only where
+    shared is given."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -126,7 +157,10 @@ def _whole(path: str, shared: np.ndarray | None):
             keep = [shared is None or not any(name for name, _ in _cut_up(x, shared)) for x in texts]
             batch = batch.filter(pa.array(keep, pa.bool_()))
             ids = list(coder.encode([x for x, k in zip(texts, keep, strict=True) if k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "row_id", "ids"])
+            columns = [batch.column(0), batch.column(1), pa.array(ids, pa.binary())]
+            if decode:
+                columns.append(pa.array([decode(x) for x in ids], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_id", "ids", "text"][: len(columns)])
 
     return encoded
 
@@ -228,28 +262,18 @@ def _stitched(path: str):
 IDS = "doc_id long, row_id long, ids binary"
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, margin: int = MARGIN) -> DataFrame:
-    """(doc_id, ids) of every row: the ids of its whole text, little-endian unsigned 32-bit integers.
-
-    They equal Tokenizer.encode(text, add_special_tokens=False) of the tokenizers library. Texts are cut into chunks
-    where a rolling hash says so. Only the chunks' 128-bit names are shuffled to find those that occur more than once;
-    a bit map of fixed size tells tasks of them. Each of those chunks is moved and encoded once, by name. A document
-    without one is encoded where it is. The other documents are put together from ids of shared chunks and of the
-    text between them; at each join the words there are encoded again, until the ids around agree.
-
-    A tokenizer that doesn't take words (runs without ASCII white space) one by one gets whole texts, and so does a
-    document with a join without agreement within margin words. Null texts are empty and have no ids; null keys and
-    repeated rows are rows like any other, of equal texts with equal ids. No rows give none. Other columns are not read.
-    """
-    path = tokenizer or default_tokenizer()
+def _coded(docs: DataFrame, key: str, text: str, path: str, margin: int, map_bits: int, with_text: bool) -> DataFrame:
+    """(doc_id, ids) of encode_documents, and with_text also what the ids decode to, from the task that made them."""
+    decode = _decodes(path) if with_text else None
+    schema, out = (f"{IDS}, text string", ["doc_id", "ids", "text"]) if with_text else (IDS, ["doc_id", "ids"])
     rows, name = with_row_id(docs, key)
     texts = rows.select(F.col(key).cast("long").alias("doc_id"), F.col(name).alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     if not encoder(path).by_words:
-        return texts.mapInArrow(_whole(path, None), IDS).select("doc_id", "ids")
-    shared = _map_of_shared(texts.select("text"))
-    alone = texts.mapInArrow(_whole(path, shared), IDS)
+        return texts.mapInArrow(_whole(path, None, decode), schema).select(*out)
+    shared = _map_of_shared(texts.select("text"), map_bits)
+    alone = texts.mapInArrow(_whole(path, shared, decode), schema).select(*out)
     if not shared.any():
-        return alone.select("doc_id", "ids")
+        return alone
     contents = texts.select("text").mapInArrow(_chunk_texts(shared), "chunk binary, data binary").groupBy("chunk").agg(F.first("data").alias("data"))
     encoded = cut(contents.mapInArrow(_chunk_pieces(path, margin), f"chunk binary, {PIECE}"), "chunks", codec="zstd")
     parts = cut(texts.mapInArrow(_parts(path, shared, margin), f"doc_id long, row_id long, at int, chunk binary, {PIECE}"), "parts", codec="zstd")
@@ -257,42 +281,29 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     reused = parts.where("chunk IS NOT NULL").select(*place, "chunk").join(encoded, "chunk").drop("chunk")
     ordered = reused.unionByName(pieces).repartition("doc_id", "row_id").sortWithinPartitions(*place)
     put = cut(ordered.mapInArrow(_stitched(path), IDS), "joined", codec="zstd")
-    unsettled = put.where("ids IS NULL").select("doc_id", "row_id")
-    out = alone.unionByName(put.where("ids IS NOT NULL"))
+    settled, unsettled = put.where("ids IS NOT NULL").select("doc_id", "ids"), put.where("ids IS NULL").select("doc_id", "row_id")
+    whole = alone.unionByName(decode_documents(settled, path) if with_text else settled)
     if not unsettled.isEmpty():
         again = of_rows(texts, "doc_id", "row_id", unsettled, "left_semi")
-        out = out.unionByName(again.mapInArrow(_whole(path, None), IDS))
-    return out.select("doc_id", "ids")
+        whole = whole.unionByName(again.mapInArrow(_whole(path, None, decode), schema).select(*out))
+    return whole
 
 
-_TABLES: dict[str, list[bytes]] = {}
-
-
-def _tokens(path: str) -> list[bytes]:
-    """The tokens of a file without a decoder by their ids, once for each Python worker, which needs no more of the file."""
-    if path not in _TABLES:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        _TABLES[path] = [tokenizer.id_to_token(i).encode() for i in range(tokenizer.get_vocab_size())]
-    return _TABLES[path]
-
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, margin: int = MARGIN, map_bits: int = MAP_BITS) -> DataFrame:
+    """(doc_id, ids) of every row: the ids of its whole text, little-endian unsigned 32-bit integers.
 
-def _decoded(path: str, by_table: bool):
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tokens(path) if by_table else []
-        for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                ids = np.frombuffer(ids or b"", "<u4")
-                if not by_table:
-                    texts.append(encoder(path).tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode())
-                    continue
-                runs = (ids[at : at + RUN].tolist() for at in range(0, len(ids), RUN))
-                texts.append(b" ".join([b" ".join([table[i] for i in run]) for run in runs]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
+    They equal Tokenizer.encode(text, add_special_tokens=False) of the tokenizers library. Texts are cut into chunks
+    where a rolling hash says so. Only the chunks' 128-bit names are shuffled to find those that occur more than once;
+    a bit map of fixed size, map_bits (a multiple of 32768), tells tasks of them. Each of those chunks is moved and
+    encoded once, by name. A document without one is encoded where it is. The other documents are put together from ids
+    of shared chunks and of the text between them; at each join the words there are encoded again, until the ids around
+    agree.
 
-    return decoded
+    A tokenizer that doesn't take words (runs without ASCII white space) one by one gets whole texts, and so does a
+    document with a join without agreement within margin words. Null texts are empty and have no ids; null keys and
+    repeated rows are rows like any other, of equal texts with equal ids. No rows give none. Other columns are not read.
+    """
+    return _coded(docs, key, text, tokenizer or default_tokenizer(), margin, map_bits, with_text=False)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -300,7 +311,17 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
 
     A tokenizer file without a decoder has its tokens joined by spaces. Null ids are none and decode to an empty text.
     """
-    path = tokenizer or default_tokenizer()
-    by_table = encoder(path).tokenizer.decoder is None
+    decode = _decodes(tokenizer or default_tokenizer())
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([decode(ids) for ids in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["doc_id", "ids", "text"])
+
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    return rows.mapInArrow(_decoded(path, by_table), "doc_id long, ids binary, text string")
+    return rows.mapInArrow(decoded, "doc_id long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, margin: int = MARGIN, map_bits: int = MAP_BITS) -> DataFrame:
+    """(doc_id, ids, text): decode_documents of encode_documents, but with one Python worker a task for both."""
+    return _coded(docs, key, text, tokenizer or default_tokenizer(), margin, map_bits, with_text=True)

@@ -75,7 +75,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode_documents(bpe.encode_documents(_documents(spark, sf_dir)))
+    decoded = bpe.round_trip(_documents(spark, sf_dir))
     digest = lambda c: F.sha2(c, 256)
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("text").alias("decoded_sha256"))
 
