@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import near_dedup
+from tidemark.llm import near_dedup, substring_dedup
 from tidemark.llm.exact_dedup import chunk_ends, drop_exact_copies, exact_groups
 from tidemark.llm.near_dedup import drop_near_copies, minhashes, near_groups, odd_sketch, sketch_similarity
 from tidemark.llm.shingling import sequence_hashes
@@ -174,8 +174,8 @@ def check_substrings(docs, **how):
     assert Counter(got) == Counter(brute_removed(docs.collect(), how.get("window", 50)))
 
 
-@pytest.mark.parametrize("tree_runs", [1_000, 20, 3, 0])
-def test_repeats_equal_brute_force(null_key_docs, no_docs, spark, tree_runs):
+@pytest.mark.parametrize("tree_words", [100_000, 2_000, 300, 0])
+def test_repeats_equal_brute_force(null_key_docs, no_docs, spark, tree_words):
     r = random.Random(2)
     passage = [f"p{i}" for i in range(70)]
     rows = []
@@ -186,7 +186,24 @@ def test_repeats_equal_brute_force(null_key_docs, no_docs, spark, tree_runs):
         rows.append((d, " ".join([*w[:at], *passage[70 - cut :], *w[at:]])))
     rows += [(100, " ".join(passage * 3)), (101, " ".join(["a"] * 300)), (102, " ".join(["a"] * 120)), (103, "\n".join(passage))]
     for docs in (null_key_docs, no_docs, spark.createDataFrame(rows, "doc_id long, text string")):
-        check_substrings(docs, tree_runs=tree_runs)
+        check_substrings(docs, tree_words=tree_words)
+
+
+@pytest.mark.parametrize("tree_words", [100_000, 0])
+def test_long_periodic_texts(spark, monkeypatch, tree_words):
+    """Texts of one word or a few, of many lengths, beside others: one run of thousands of windows each."""
+    rows = [(d, " ".join(["ha"] * n)) for d, n in enumerate([10_000, 3_000, 49, 50, 7_001, 12_345, 3_000])]
+    rows += [(20 + d, " ".join(f"{'abc'[k % (2 + d)]}" for k in range(4_000 + d))) for d in range(2)]
+    rows += [(30, " ".join(f"w{k}" for k in range(5_000))), (31, " ".join(f"w{k}" for k in range(2_100, 4_900))), (32, "x " * 60 + " ".join(["ha"] * 60))]
+    check_substrings(spark.createDataFrame(rows, "doc_id long, text string"), tree_words=tree_words)
+
+
+def test_groups_are_bounded_in_words():
+    words = np.full(30_000, 7, np.uint64)
+    parts = list(substring_dedup._split(words[:29_951].view(np.int64), substring_dedup.RUN_WINDOWS))
+    assert parts[0][0] == 0 and parts[-1][1] == 29_951 and max(b - a for a, b in parts) == substring_dedup.RUN_WINDOWS
+    assert all(b == c for (_, b), (c, _) in zip(parts, parts[1:], strict=False))
+    assert list(substring_dedup._split(np.array([1, 1, 2, 2, 2, 1]), 2)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
 
 
 def test_kept_words_and_clashing_columns(clashing_docs):

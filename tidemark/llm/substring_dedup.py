@@ -16,10 +16,12 @@ from tidemark.plans.scratch import cut
 
 #: Words of the shortest prefix, with which a suffix's group begins.
 PREFIX = 10
-#: Suffix runs of one prefix that a subtree holds (some 100,000 words); the prefixes of groups beyond it are lengthened.
-TREE_RUNS = 1_000
-#: Words that a task's trees hold at once; whole groups are put together up to it.
-TREE_WORDS = 1_000_000
+#: Windows of a run; longer ones are cut, as the windows are what is compared.
+RUN_WINDOWS = 2_000
+#: Words of all runs of one prefix that a subtree holds; the prefixes of groups beyond it are lengthened.
+TREE_WORDS = 100_000
+#: Words of the trees that a task holds at once; whole groups are put together up to it.
+TASK_WORDS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -78,10 +80,12 @@ def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _split(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of equal values."""
+def _split(values: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of equal values, none longer than most."""
     edges = (np.flatnonzero(np.diff(values)) + 1).tolist()
-    yield from zip([0, *edges], [*edges, len(values)], strict=True)
+    for a, b in zip([0, *edges], [*edges, len(values)], strict=True):
+        step = most or b - a
+        yield from ((c, min(c + step, b)) for c in range(a, b, step)) if b > a else [(a, b)]
 
 
 def _runs(window: int):
@@ -96,7 +100,7 @@ def _runs(window: int):
                 if not len(low):
                     continue
                 hit = np.isin(low, hits[k].values.to_numpy(zero_copy_only=False))
-                for a, b in _split(low):
+                for a, b in _split(low, RUN_WINDOWS):
                     if hit[a]:
                         part = data[int(starts[a]) : int(ends[b - 1 + window - 1])]
                         out.append((int(low[a]), int(low[a]), ids[k], ids[k], rows[k], a, 0, b - a, part))
@@ -134,7 +138,7 @@ def _lengthened(window: int, length: int):
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             for (_, sample, low, high, at, of, start, windows, data), (starts, ends, words) in zip(rows, each_text([r[8] for r in rows]), strict=True):
                 prefix = shared_words(words, sample, windows, window, length)
-                for a, b in _split(prefix):
+                for a, b in _split(prefix, RUN_WINDOWS):
                     part = data[int(starts[a]) : int(ends[b - 1 + window - 1])]
                     out.append((int(prefix[a]), sample, low, high, at, of, start + a, b - a, part))
                     held += len(part)
@@ -202,7 +206,7 @@ def _tree_marks(window: int):
         held, size, kinds, names = [], 0, [pa.int64()] * 5, [x.split()[0] for x in MARKS.split(", ")]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= TREE_WORDS and row[0] != held[-1][0]:
+                if size >= TASK_WORDS and row[0] != held[-1][0]:
                     yield _batch(marks(held), kinds, names)
                     held, size = [], 0
                 held.append(row)
@@ -219,8 +223,8 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for lo in range(0, len(rows), 2000):
-                some = rows[lo : lo + 2000]
+            for lo in range(0, len(rows), 100):  # at most 100 * RUN_WINDOWS windows
+                some = rows[lo : lo + 100]
                 names, again = [], []
                 for _, _, words in each_text([r[8] for r in some]):
                     names.append(sequence_hashes(words, window).view(np.int64))
@@ -235,15 +239,15 @@ def _windows(window: int):
     return run
 
 
-def _repeated_windows(runs: DataFrame, window: int, tree_runs: int) -> DataFrame:
+def _repeated_windows(runs: DataFrame, window: int, tree_words: int) -> DataFrame:
     """MARKS of runs: from subtrees where few share a prefix, else with prefixes of more words, at last of whole windows."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = runs.columns
 
     def parted(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        groups = some.groupBy("prefix").agg(F.count("*").alias("n"), F.min("low").alias("_low"), F.max("high").alias("_high"))
+        groups = some.groupBy("prefix").agg(F.sum(F.col("windows") + window - 1).alias("n"), F.min("low").alias("_low"), F.max("high").alias("_high"))
         groups = cut(groups.where("_low < _high").select("prefix", "n"), "groups")
-        few, many = (groups.where(x).select("prefix") for x in (F.col("n") <= tree_runs, F.col("n") > tree_runs))
+        few, many = (groups.where(x).select("prefix") for x in (F.col("n") <= tree_words, F.col("n") > tree_words))
         dealt = some.join(few, "prefix").select(*names).repartition(parts, "prefix").sortWithinPartitions("prefix")
         return dealt.mapInArrow(_tree_marks(window), MARKS), some.join(many, "prefix").select(*names)
 
@@ -289,7 +293,7 @@ def _cut_texts(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", tree_runs: int = TREE_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", tree_words: int = TREE_WORDS) -> DataFrame:
     """Documents without the words of any window of words that also starts in a document with a smaller key.
 
     1. Each text gets its word count, a digest, and the prefixes of its windows' sampled suffixes. Texts with the
@@ -298,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
        of windows around the sampled suffixes are dealt by prefix to tasks, which build the suffix trees of whole
        groups, a bounded number of words at a time. The highest internal nodes as deep as a window know the smallest
        key below them; a maximal repeat is the union of such windows that follow each other.
-    3. A prefix with more runs than tree_runs, such as that of a passage in very many texts, is lengthened: equal runs
+    3. A prefix whose runs have more words than tree_words, such as that of a passage in very many texts, is lengthened: equal runs
        become one; where that isn't enough, from 10 words to 40 (window - 10), the runs being parted by how far into
        the window the sample begins; and at last to the whole window, where a group is one node and needs only its
        smallest key, combined before the shuffle.
@@ -323,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     texts = cut(rows.join(hits, "doc_id").withColumn("row_id", F.monotonically_increasing_id()), "texts")
 
     runs = cut(texts.select("doc_id", "row_id", "text", "hits").mapInArrow(_runs(window), RUNS), "runs")
-    marks = _repeated_windows(runs, window, tree_runs).groupBy(F.col("at").alias("row_id")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    marks = _repeated_windows(runs, window, tree_words).groupBy(F.col("at").alias("row_id")).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     marked = texts.select("doc_id", "text", "row_id").join(cut(marks, "marks"), "row_id").select("doc_id", "text", "marks")
     changed = cut(marked.mapInArrow(_cut_texts(window), "_doc long, _sha string, n_removed long, kept binary"), "changed")
     changed = changed.dropDuplicates(["_doc", "_sha"])
