@@ -24,7 +24,7 @@ def test_two_runs_at_once(spark, sf_dir):
     assert one == other and one
 
 
-def test_the_sample_ends_before_it_is_too_large_but_drops_no_long_text_as_such(spark):
+def test_the_sample_drops_no_long_text(spark):
     kept = range(1, 200)
     texts = [(d, "x" * (400_000 if d % 7 == 0 else 100)) for d in kept]
     docs = spark.createDataFrame([*texts, (900, None)], "doc_id long, text string")
@@ -32,9 +32,16 @@ def test_the_sample_ends_before_it_is_too_large_but_drops_no_long_text_as_such(s
     sample = toxicity.training_rows(docs, labels)
     assert (sample["text"].str.len() == 400_000).sum() > 5
     small = toxicity.training_rows(docs, labels, most_bytes=1_000_000)
-    assert small.groupby("toxic")["text"].apply(lambda t: t.str.len().sum()).max() <= 1_000_000
-    first = sample[sample["toxic"] == 1].head(len(small[small["toxic"] == 1]))
-    assert first["doc_id"].tolist() == small[small["toxic"] == 1]["doc_id"].tolist()
+    assert small["doc_id"].tolist() == sample["doc_id"].tolist() and small["text"].str.len().min() == 100
+    assert 900_000 < small.groupby("toxic")["text"].apply(lambda t: t.str.len().sum()).max() <= 1_000_000
+
+
+def test_long_texts_share_what_there_is():
+    assert toxicity.fair_share([5, 100, 100], 105) == 50 and toxicity.fair_share([5, 6], 100) == 6 and toxicity.fair_share([], 9) == 0
+    text = " ".join(f"w{k}" for k in range(20_000)).encode()
+    part = toxicity.spread(text, 20_000)
+    assert 16_000 < len(part) <= 20_000 and part.startswith(b"w0 w1 ") and part.endswith(b" w19999") and any(f" w{k} ".encode() in part for k in range(9_000, 11_000))
+    assert toxicity.spread(text, len(text)) == text and len(toxicity.spread(text, 100)) == 100
 
 
 def test_tokenizers_that_keep_spaces_get_whole_texts():

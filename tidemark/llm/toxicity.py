@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingling import blocks, word_hashes
+from tidemark.llm.tokens import utf8
+from tidemark.plans.scratch import cut, release
 
 #: Words of a window, and by how many the next one starts later: every word but at the ends is in two windows.
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH, GRAMS = 8, 8, 1 << 14
-#: Labelled rows of each label that training reads at most, and their bytes together.
-SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32 << 20
+#: Labelled rows of each label that training reads at most, their bytes together, and those of a piece of a long text.
+SAMPLE_ROWS, SAMPLE_BYTES, SEGMENT = 1200, 32 << 20, 2048
 #: Windows that the network takes at once.
 AT_ONCE = 1024
 VOCABULARY = 8192
@@ -312,39 +315,61 @@ def known_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return known.where(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
 
 
+def fair_share(sizes: list[int], most: int) -> int:
+    """The greatest share of bytes with which texts of these sizes, none taking more than it, come to most together."""
+    rest, left = most, sorted(sizes)
+    while left and left[0] * len(left) <= rest:
+        rest -= left.pop(0)
+    return rest // len(left) if left else max(sizes, default=0)
+
+
+def spread(data: bytes, share: int) -> bytes:
+    """data, or of one longer than share at most so many bytes: pieces of SEGMENT bytes, evenly from start to end."""
+    if len(data) <= share:
+        return data
+    size = min(SEGMENT, share)
+    pieces = max(1, share // (size + 1))
+    starts = [(len(data) - size) * k // max(1, pieces - 1) for k in range(pieces)]
+    return b" ".join([data[at : at + size] for at in starts])
+
+
+def _spread_texts(shares: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True)
+            cut_up = pa.array([spread(t, shares[label]) for t, label in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), cut_up, batch.column(2), batch.column(3)], ["doc_id", "text", "toxic", "draw"])
+
+    return run
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
     """At most rows labelled texts of either label that are not held out, in the order of a hash: a bounded sample.
 
-    Texts are whole and of any length, but a label's sample ends before the text with which it would pass most_bytes; so
-    only a text that is longer than that alone can't be in it. Null labels and null keys are no labels, null texts no
-    texts; rows that repeat a key are drawn each.
+    Each of them is in it, of any length. Where a label's texts have more than most_bytes together, the longest are
+    represented by pieces of them, evenly spread over the whole text, all by as many bytes. Null labels and null keys are
+    no labels, null texts no texts; rows that repeat a key are drawn each. Texts are bytes.
     """
     known = known_labels(labels, key).withColumn("draw", F.xxhash64("doc_id", F.lit(7)))
     # twice the rows, for those that have no text
     picked = known.where("toxic = 1").orderBy("draw").limit(2 * rows).unionByName(known.where("toxic = 0").orderBy("draw").limit(2 * rows))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    texts = texts.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= most_bytes)
-    both = texts.join(F.broadcast(picked), "doc_id")
-    sizes = both.select("draw", "doc_id", "toxic", "bytes")
-    # at most rows of either label from here on
-    drawn = sizes.where("toxic = 1").orderBy("draw", "bytes").limit(rows).unionByName(sizes.where("toxic = 0").orderBy("draw", "bytes").limit(rows))
-    so_far = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("draw", "bytes").rowsBetween(Window.unboundedPreceding, 0))
-    fitting = drawn.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).groupBy("toxic").agg(F.max(F.struct("draw", "bytes")).alias("last"), F.count("*").alias("n"))
-    ends = {r["toxic"]: (r["last"]["draw"], r["last"]["bytes"], r["n"]) for r in fitting.collect()}
-    sample = None
-    for label, (draw, size, n) in sorted(ends.items()):
-        inside = both.where((F.col("toxic") == label) & (F.struct("draw", "bytes") <= F.struct(F.lit(draw), F.lit(size))))
-        inside = inside.orderBy("draw", "bytes").limit(n)
-        sample = inside if sample is None else sample.unionByName(inside)
-    if sample is None:
-        sample = both.limit(0)
-    return sample.select("doc_id", "text", "toxic", "draw").toPandas().sort_values(["draw", "doc_id", "text"])
+    both = cut(texts.withColumn("bytes", F.octet_length("text")).join(F.broadcast(picked), "doc_id"), "labelled")  # read once
+    sample, sizes = None, {}
+    for label in (0, 1):
+        drawn = both.where(F.col("toxic") == label).orderBy("draw", "bytes", "text").limit(rows)
+        sizes[label] = [r["bytes"] for r in drawn.select("draw", "bytes").collect()]
+        sample = drawn if sample is None else sample.unionByName(drawn)
+    shares = {label: fair_share(of, most_bytes) for label, of in sizes.items()}
+    out = sample.select("doc_id", "text", "toxic", "draw").mapInArrow(_spread_texts(shares), "doc_id long, text binary, toxic int, draw long").toPandas()
+    release(both)
+    return out.sort_values(["draw", "doc_id", "text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Network:
     counts = {r["toxic"]: r["n"] for r in known_labels(labels, key).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = training_rows(docs, labels, key, text, rows)
-    return train([t.encode() for t in sample["text"]], sample["toxic"].to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
+    return train([bytes(t) for t in sample["text"]], sample["toxic"].to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score_column(docs: DataFrame, net: Network, text: str = "text") -> F.Column:
