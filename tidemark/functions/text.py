@@ -92,13 +92,15 @@ def jaccard(a: Column, b: Column) -> Column:
 def normal_url(url: Column, platform: Column | None = None) -> Column:
     """The URL without tracking parameters and fragment, its other parameters in order of their names.
 
-    A URL without a query stays as it is, fragment and all. Names and values are decoded and encoded again; repeated
-    names keep the order of their values; a name alone gets an equals sign. The platform's own parameters go too.
+    A URL without a query stays as it is, fragment and all. Names and values are decoded and encoded again, an escape
+    that is none being text; repeated names keep the order of their values; a name alone gets an equals sign. The
+    platform's own parameters go too.
     """
     bare = F.regexp_replace(url, "#.*$", "")
     base, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
     base = F.concat(F.lower(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)?", 1)), F.regexp_replace(base, "^[A-Za-z][A-Za-z0-9+.-]*:", ""))
-    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    escaped = lambda x: F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = lambda x: F.coalesce(F.try_url_decode(escaped(x)), F.replace(x, F.lit("+"), F.lit(" ")))
     encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     pieces = F.filter(F.split(query, "&"), lambda p: p != "")
     named = F.transform(pieces, lambda p, i: F.struct(decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("name"), i.alias("at"), decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value")))

@@ -135,7 +135,8 @@ def decide(items: DataFrame, settings: Settings | None = None) -> DataFrame:
 
     items are (seq, title, url, tier, cross_admitted, ...) with the columns that adapters.list_items and feed_items give.
     They are clustered by titles, links and tokens, and if asked feed items attach by entities; each cluster gets its
-    identity, what to display, its scores and its level. Candidates only of feed items that were admitted for support
+    identity, what to display, its scores and its level, and fresh: whether this run observed one of its items (column
+    observed; without it all count as observed). Candidates only of feed items that were admitted for support
     leave, if asked, where they support nothing; those about games, if the reader wants none, are suppressed.
 
     The items with their clusters are one table, written once, which identities, display and scores read.
@@ -148,6 +149,10 @@ def decide(items: DataFrame, settings: Settings | None = None) -> DataFrame:
     scored = scoring.candidate_scores(rows, "cluster", settings.coverage, settings.trusted, settings.first_crawl)
     named = identities(rows, listed_first=settings.attach_feeds)
     out = scored.join(named, "cluster").join(displayed(rows), "cluster")
+    if "observed" in items.columns:
+        out = out.join(rows.groupBy("cluster").agg(F.bool_or(F.coalesce("observed", F.lit(False))).alias("fresh")), "cluster")
+    else:
+        out = out.withColumn("fresh", F.lit(True))
     if settings.drop_unmerged_feeds:
         support = rows.groupBy("cluster").agg((F.bool_and(F.col("kind") == "rss") & F.bool_and(F.coalesce("cross_admitted", F.lit(False)))).alias("_support"))
         out = out.join(support, "cluster").where("NOT _support").drop("_support")

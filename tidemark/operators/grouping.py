@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import is_visible
+from tidemark.operators.adapters import titles_for_mode
 from tidemark.plans.rules import Rules
 
 
@@ -29,6 +31,22 @@ def group_counts(titles: DataFrame, rules: Rules, title: str = "title") -> DataF
     return out.select("group_no", F.element_at(names_of(rules), F.col("group_no")).alias("group_name"), "n", (F.col("n") * 100.0 / F.col("whole")).alias("percentage"))
 
 
+def counts_for_mode(folded: DataFrame, new: DataFrame, rules: Rules, mode: str, first_crawl: bool = False, title: str = "title") -> DataFrame:
+    """group_counts of the titles that a run mode looks at (adapters.titles_for_mode), with how many are new and the best rank.
+
+    folded are titles with their ranks over the day (source_id, item_id, title, ranks, last_time, ...). Without groups
+    all titles are one, and only global filters rule any out. The share is of all titles that the mode looks at; on a
+    mode's empty titles there are no groups.
+    """
+    rows = titles_for_mode(folded, new, mode, first_crawl)
+    group = rules.first_group(F.col(title)) if rules.groups else F.when(rules.passes(F.col(title)), F.lit(0))
+    best = F.array_min(F.filter("ranks", is_visible))
+    rows = rows.select(group.alias("group_no"), "is_new", best.alias("best"))
+    whole = rows.agg(F.count("*").alias("whole"))
+    counts = rows.where("group_no IS NOT NULL").groupBy("group_no").agg(F.count("*").alias("n"), F.count_if("is_new").alias("n_new"), F.min("best").alias("best"))
+    return counts.join(F.broadcast(whole)).select("group_no", "n", "n_new", "best", (F.col("n") * 100.0 / F.col("whole")).alias("percentage"))
+
+
 def capped(titles: DataFrame, rules: Rules, order: list[Column], cap: int = 0, title: str = "title") -> DataFrame:
     """The first titles of each group in an order that ends in a sequence number; @N of a group before the general cap.
 

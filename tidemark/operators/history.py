@@ -25,7 +25,7 @@ def off_list(observations: DataFrame) -> DataFrame:
     A source without any row in a batch has failed there, which says nothing about its items.
     """
     order = batches_in_order(observations).where("previous IS NOT NULL")
-    before = observations.select(*ITEM, F.col("batch").alias("previous")).join(F.broadcast(order), "previous")
+    before = observations.select(*ITEM, F.col("batch").alias("previous")).join(order, "previous")
     present = observations.select(*ITEM, "batch")
     succeeded = observations.select("source_id", "batch").distinct()
     gone = before.select(*ITEM, "batch").distinct().join(succeeded, ["source_id", "batch"], "left_semi").join(present, [*ITEM, "batch"], "left_anti")

@@ -44,15 +44,14 @@ def digest(topics: DataFrame, most: int = 5, limit: float = 0.72) -> DataFrame:
     are left out.
     """
     rows = topics.withColumn("_key", topic_key(F.col("topic"))).where("_key <> ''")
-    rows = cut(rows, "topics")
-    rest, chosen, own = rows, [], letter_pairs(F.col("_key"))
+    rest, chosen = cut(rows.withColumn("_pairs", letter_pairs(F.col("_key"))), "topics"), []
     for _ in range(most):
         best = rest.orderBy(F.desc("score"), "seq").limit(1).collect()
         if not best:
             break
         chosen.append(best[0])
-        key = F.lit(best[0]["_key"])
-        rest = rest.where(alike(F.col("_key"), own, key, letter_pairs(key)) < limit)
+        key, pairs = F.lit(best[0]["_key"]), F.array(*map(F.lit, best[0]["_pairs"]))
+        rest = rest.where(alike(F.col("_key"), F.col("_pairs"), key, pairs) < limit)
     out = [(place, *[r[c] for c in topics.columns]) for place, r in enumerate(chosen, 1)]
     return topics.sparkSession.createDataFrame(out, StructType([StructField("place", IntegerType()), *topics.schema.fields]))
 

@@ -17,22 +17,33 @@ def with_tier(items: DataFrame, tiers: DataFrame) -> DataFrame:
     return both.withColumn("tier", F.coalesce("_t1", "_t2", F.lit("unknown"))).withColumn("role", F.coalesce("_r1", "_r2", F.lit(""))).drop("_t1", "_t2", "_r1", "_r2")
 
 
-def evidence(items: DataFrame, feeling: str = r"(?i)(panic|outrage|shock|愤怒|震惊)") -> DataFrame:
-    """One row for each topic of (topic, source_id, tier, rank, title): presence of tiers, heat in D, and the label."""
-    has = lambda t: F.bool_or(F.col("tier") == t)
-    d = F.col("tier") == "D"
-    rows = items.groupBy("topic").agg(
-        has("A").alias("a"),
-        has("B").alias("b"),
-        has("C").alias("c"),
-        has("D").alias("d"),
-        F.countDistinct("source_id").alias("platforms"),
-        F.countDistinct(F.when(d, F.col("source_id"))).alias("d_platforms"),
-        F.min(F.when(d & (F.col("rank") > 0), F.col("rank"))).alias("best_d_rank"),
-        F.bool_or(F.col("title").rlike(feeling)).alias("feeling"),
+FEELING = r"(?i)(panic|outrage|shock|愤怒|震惊)"
+
+
+def evidence(items: DataFrame) -> DataFrame:
+    """One row for each topic of (topic, source_id, tier, rank, feeling): presence of tiers, heat in D, and the label.
+
+    feeling says whether an item's title has a word of strong feeling (FEELING). Items are first summed up by topic and
+    source, before the shuffle, so sources are counted as rows.
+    """
+    has = lambda t: F.bool_or(F.col("tier") == t).alias(t.lower())
+    of_source = items.groupBy("topic", "source_id").agg(
+        *map(has, "ABCD"),
+        F.min(F.when((F.col("tier") == "D") & (F.col("rank") > 0), F.col("rank"))).alias("best_d_rank"),
+        F.bool_or("feeling").alias("feeling"),
         F.count_if(F.col("tier").isin("A", "B")).alias("ab_items"),
         F.count("*").alias("items"),
     )
+    named = F.col("source_id").isNotNull()
+    rows = of_source.groupBy("topic").agg(
+        *[F.bool_or(t).alias(t) for t in "abcd"],
+        F.count_if(named).alias("platforms"),
+        F.count_if(named & F.col("d")).alias("d_platforms"),
+        F.min("best_d_rank").alias("best_d_rank"),
+        F.bool_or("feeling").alias("feeling"),
+        F.sum("ab_items").alias("ab_items"),
+        F.sum("items").alias("items"),
+    )
     rows = rows.withColumn("high_d", (F.col("d_platforms") >= 2) | F.coalesce(F.col("best_d_rank") <= 10, F.lit(False)))
     label = scores.evidence_label(*[F.col(x) for x in ("a", "b", "c", "d", "high_d", "feeling")])
     return rows.withColumn("label", label)

@@ -6,7 +6,6 @@ from tidemark.operators import adapters as A
 from tidemark.operators import history as H
 from tidemark.operators import search as S
 from tidemark.queries.base import TITLES, query, titles
-from tidemark.queries.cases import stated
 from tidemark.queries.history import FOLD, full_history, observed
 
 NEWS = "nw AS (SELECT DISTINCT source_id, item_id FROM obs WHERE batch >= TIMESTAMP '2024-01-29')"
@@ -58,39 +57,6 @@ def list_items(spark, sf_dir):
     return A.list_items(rows).drop("ranks", "timeline", "first_time", "last_time", "count", "is_new", "kind")
 
 
-CASES = [
-    ([], None, None, None, "missing", None, False, 0, False, None, "unknown", "unknown"),
-    ([0, 99], [], 0, False, "off_list", None, False, 0, False, None, "unknown", "unknown"),
-    ([99], [None], 2, True, "no_rank", None, False, 0, False, None, "crawl_count", "incremental_first_crawl"),
-    ([50, 10], [50, None, 10], 2, True, "visible", 10, True, 2, False, None, "crawl_count", "incremental_first_crawl"),
-    ([30, 10], [30, 10], 2, False, "visible", 10, True, 2, True, 20, "crawl_count", "unknown"),
-    ([7], [7, None], 1, None, "visible", None, True, 1, True, None, "crawl_count", "unknown"),
-    ([5, 3], [5, 99], 1, None, "visible", None, True, 1, True, None, "crawl_count", "unknown"),
-    ([4], None, 1, None, "visible", 4, False, 0, False, None, "crawl_count", "unknown"),
-]
-OUT = "kind_of_rank, rank, reliable, times_visible, before_visible, rank_delta, count_meaning, new_meaning"
-
-
-@query(stated(f"no, {OUT}", [(i, *r[4:]) for i, r in enumerate(CASES)]))
-def list_item_cases(spark, sf_dir):
-    schema = "no int, ranks array<long>, timeline array<long>, count int, is_new boolean, first_time string, last_time string"
-    rows = spark.createDataFrame([(i, *r[:4], None, None) for i, r in enumerate(CASES)], schema)
-    return A.list_items(rows, "daily", True).selectExpr("no", *OUT.split(", "))
-
-
-FEED_CASES = [
-    ("2024-01-01", None, None, 1, True, True, False, "rss_item_count", "new_titles_detection"),
-    (None, None, None, 0, None, False, False, "unknown", "unknown"),
-    (None, "09-00", "09-00", 1, True, True, True, "rss_item_count", "new_titles_detection"),
-]
-
-
-@query(stated("no, has_times, times_made_up, count_meaning, new_meaning", [(i, *r[5:]) for i, r in enumerate(FEED_CASES)]))
-def feed_item_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(FEED_CASES)], "no int, published_at string, first_time string, last_time string, count int, is_new boolean")
-    return A.feed_items(rows, "incremental", False).select("no", "has_times", "times_made_up", "count_meaning", "new_meaning")
-
-
 @query(f"""WITH {TITLES}, m AS (SELECT source_id, title, count(*) AS n, min(rank) AS best, min((day, seq)) AS first,
  6.0::DOUBLE * sum(11 - least(rank, 10)) / count(*) + 3.0::DOUBLE * least(count(*), 10) + 10.0::DOUBLE * count(*) FILTER (rank <= 5) / count(*) AS weight FROM ti
  WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND contains(lower(title), 'the') GROUP BY 1, 2)

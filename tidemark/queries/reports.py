@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.entities import entities
 from tidemark.operators import reports as P
 from tidemark.queries.base import TITLES, query, table, titles
 from tidemark.queries.rules import ASSIGNED, NAMES, R
@@ -67,6 +66,28 @@ def filter_report(spark, sf_dir):
     return P.tagged(rows, 0.5).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
-def title_entities(spark, sf_dir):
-    return titles(spark, sf_dir).select("seq", entities(F.col("title")).alias("entities"))
+def _alike(x: str, y: str) -> str:
+    """SQL of how alike two keys are."""
+    pairs = lambda k: f"list_distinct(list_transform(range(1, greatest(length({k}), 2)), lambda i: substr({k}, CAST(i AS INT), 2)))"
+    share = f"len(list_intersect({pairs(x)}, {pairs(y)})) / CAST(least(len({pairs(x)}), len({pairs(y)})) AS DOUBLE)"
+    return f"CASE WHEN contains({x}, {y}) OR contains({y}, {x}) THEN 1.0 WHEN least(length({x}), length({y})) < 8 THEN 0.0 ELSE {share} END"
+
+
+def _rounds(most: int) -> str:
+    """SQL of the digest: each round's best of what isn't like the best before."""
+    out, rest = [], "k"
+    for i in range(1, most + 1):
+        out.append(f"b{i} AS (SELECT * FROM {rest} ORDER BY score DESC, seq LIMIT 1)")
+        out.append(f"r{i} AS (SELECT {rest}.* FROM {rest}, b{i} WHERE {_alike(f'{rest}.key', f'b{i}.key')} < 0.72)")
+        rest = f"r{i}"
+    return ", ".join(out)
+
+
+@query(f"""WITH {TITLES}, t AS (SELECT title AS topic, min(seq) AS seq, CAST(100 * least(count(DISTINCT source_id), 8) + least(count(*), 50) AS BIGINT) AS score FROM ti GROUP BY 1),
+k AS (SELECT *, regexp_replace(lower(topic), '[\\s\\x0B\\p{{P}}\\p{{S}}]', '', 'g') AS key FROM t WHERE regexp_replace(lower(topic), '[\\s\\x0B\\p{{P}}\\p{{S}}]', '', 'g') <> ''),
+{_rounds(5)} SELECT row_number() OVER (ORDER BY score DESC, seq) AS place, topic, seq, score FROM (""" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, 6)) + ")")
+def digest_topics(spark, sf_dir):
+    """The five best of all titles, by sources and copies, none like another."""
+    score = 100 * F.least(F.countDistinct("source_id"), F.lit(8)) + F.least(F.count("*"), F.lit(50))
+    rows = titles(spark, sf_dir).groupBy(F.col("title").alias("topic")).agg(F.min("seq").alias("seq"), score.cast("long").alias("score"))
+    return P.digest(rows).withColumn("place", F.col("place").cast("long"))

@@ -95,7 +95,7 @@ def event_identity(spark, sf_dir):
 
 @query(f"WITH {TITLES} SELECT day, substr(sha256(array_to_string(list_sort(list_distinct(list(lower(trim(source_id))))), chr(10))), 1, 16) AS fingerprint FROM ti GROUP BY 1")
 def platform_fingerprint(spark, sf_dir):
-    return titles(spark, sf_dir).groupBy("day").agg(F.collect_list("source_id").alias("sources")).select("day", X.fingerprint_set(F.col("sources")).alias("fingerprint"))
+    return titles(spark, sf_dir).groupBy("day").agg(F.collect_set("source_id").alias("sources")).select("day", X.fingerprint_set(F.col("sources")).alias("fingerprint"))
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"

@@ -22,7 +22,10 @@ def items(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    return topics.evidence(items(spark, sf_dir), r"(?i)(panic|outrage|shock|that)")
+    feeling = F.col("title").rlike(r"(?i)(panic|outrage|shock|that)")  # once a title, before its words part
+    rows = titles(spark, sf_dir).select("source_id", "rank", feeling.alias("feeling"), "words")
+    each = rows.select("source_id", "rank", "feeling", F.explode("words").alias("topic")).where(F.length("topic") >= 5)
+    return topics.evidence(topics.with_tier(each, tiers(spark, sf_dir)))
 
 
 @query(f"WITH {TITLES} SELECT seq, source_id, {TIER} AS tier, CASE WHEN CAST(regexp_extract(source_id, '(\\d+)$', 1) AS INT) % 2 = 0 THEN 'lead' ELSE 'follow' END AS role FROM ti")
