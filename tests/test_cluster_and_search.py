@@ -70,3 +70,40 @@ def test_links_are_kept_once_by_the_newest_day(spark):
 def test_batched_callable(spark):
     out = search.batched(spark.range(5), lambda rows: [{"id": r["id"], "tag": "x"} for r in rows], "id long, tag string", 2)
     assert out.count() == 5
+
+
+def test_ratios_only_where_they_may_meet_the_threshold(spark):
+    """Searches equal plain ratios of all titles, and most titles never meet a ratio."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.text import ratio_bound
+
+    rnd = random.Random(8)
+    query = "quake hits northern coast"
+    titles = ["".join(rnd.choice("abcdefghij klmn") for _ in range(rnd.randrange(0, 60))) for _ in range(300)]
+    titles += [query, query.upper() + " again", "quakes hit the northern coasts", "northern", "coast quake", "x" * 250, (query + " ") * 12, "", None]
+    df = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    bounds = {r["seq"]: r["b"] for r in df.where("title IS NOT NULL").select("seq", ratio_bound(F.col("title"), query).alias("b")).collect()}
+    assert all(bounds[i] >= ratio(query, t) - 1e-12 for i, t in enumerate(titles) if t is not None)
+    assert sum(b >= 0.6 for b in bounds.values()) < 60
+    found = {r["seq"]: r["score"] for r in search.by_fuzzy(df, query, 0.6).collect()}
+    for i, t in enumerate(titles):
+        if t is None:
+            assert i not in found
+        elif query in t.lower():
+            assert found[i] == 1.0
+        elif ratio(query, t.lower()) >= 0.6:
+            assert found[i] == pytest.approx(ratio(query, t.lower()))
+    related = {r["seq"]: r["score"] for r in search.related_by_text(df, query, 0.45).collect()}
+    want = {}
+    for i, t in enumerate(titles):
+        if t is not None and t != query:
+            words = lambda x: {w for w in x.lower().split() if len(w) >= 2 and w not in {"the", "at", "in", "on", "by", "of", "an", "and"}}
+            whole = words(t) | words(query)
+            score = 0.3 * len(words(t) & words(query)) / len(whole) + 0.7 * ratio(query, t)
+            if score >= 0.45:
+                want[i] = score
+    assert set(related) >= {i for i in want if i >= 300} and all(related[i] == pytest.approx(want[i]) for i in want if i in related)

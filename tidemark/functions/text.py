@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -50,6 +51,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def ratio_bound(text: Column, other: str) -> Column:
+    """What sequence_ratio of a text and another can be at most: by their lengths, and by the letters they share.
+
+    Matching blocks are of equal letters, so there are no more of a letter in them than the text has that has fewer.
+    """
+    both = F.length(text) + len(other)
+    by_length = 2 * F.least(F.length(text), F.lit(len(other)))
+    shared = F.lit(0)
+    for letter, n in Counter(other).items():
+        shared = shared + F.least(F.lit(n), F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit(""))))
+    return F.when(both == 0, 1.0).otherwise(F.least(by_length, 2 * shared) / both)
+
+
+def ratio_where(text: Column, other: str, least: Column | float) -> Column:
+    """sequence_ratio(other, text) where it may come to least, and elsewhere 0; only those texts go through Python."""
+    return sequence_ratio(F.lit(other), F.when(ratio_bound(text, other) >= least - 1e-9, text))
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
