@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import latin_words
+from tidemark.plans.scratch import tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,10 +16,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query under its function's name, with the same query in SQL."""
+    """Register a query under its function's name, with the same query in SQL.
+
+    When it is called, tables that it wrote and its result doesn't read are deleted.
+    """
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(lambda: f(spark, sf_dir))[0]
         if sql:
             ORACLES[f.__name__] = sql
         return f

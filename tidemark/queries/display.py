@@ -1,9 +1,12 @@
 """Queries of statuses, reasons, records, events and merged feeds."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import display as D
 from tidemark.functions import reader, records
+from tidemark.functions.names import BESIDE, GAMES
 from tidemark.operators import events as E
 from tidemark.queries.base import TITLES, events, query, table, titles
 from tidemark.queries.topics import EVIDENCE, evidence
@@ -45,7 +48,24 @@ def structural_reason(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", reader.first_word(F.col("text"), WORDS).alias("reason"))
 
 
-@query()
+def _named_sql(text: str) -> str:
+    """SQL of whether a text has a name of competitive games, by the same table of names."""
+    groups: dict[tuple, list[str]] = {}
+    for row in GAMES:
+        before = f"(^|[^{row.not_before}])" if row.not_before else ""
+        after = {"": "", "[a-z]": "($|[^a-z])"}.get(row.not_after, "($|[^a-z0-9-]|-($|[^0-9]))")
+        names = "|".join(n.replace(".", "\\.") for n in row.names.split())
+        groups.setdefault(row.beside, []).append(f"regexp_matches({text}, '{'' if row.exact else '(?i)'}{before}{row.lead}({names}){after}')")
+    beside = {word: f"regexp_matches({text}, '{pattern}')" for word, pattern in BESIDE.items()}
+    return " OR ".join(f"(({' OR '.join(found)}) AND ({' OR '.join(beside[w] for w in words) or 'true'}))" for words, found in groups.items())
+
+
+def _keywords_sql(text: str, words: list[str]) -> str:
+    of = lambda w: f"regexp_matches({text}, '(?i)(^|[^A-Za-z0-9]){w}($|[^A-Za-z0-9])')" if re.fullmatch("[A-Za-z0-9]+", w) else f"contains(lower({text}), '{w.lower()}')"
+    return "(" + " OR ".join(map(of, words)) + ")"
+
+
+@query(f"WITH {TITLES} SELECT seq, {_named_sql('title')} OR ({_keywords_sql('title', [w for words in reader.CATEGORIES.values() for w in words])} AND NOT {_keywords_sql('title', reader.STRUCTURAL)}) AS noise FROM ti")
 def reader_noise(spark, sf_dir):
     rows = titles(spark, sf_dir)
     return rows.select("seq", reader.is_noise(F.col("title"), F.array("title"), F.lit(False), no_games=True).alias("noise"))

@@ -60,17 +60,27 @@ def latest_batch(spark, sf_dir):
     return H.latest_batch(observed(spark, sf_dir))
 
 
-@query(f"""WITH {OBS}, n AS (SELECT max(batch) AS m FROM obs)
-SELECT source_id, item_id, batch, rank FROM obs, n WHERE batch = m AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.batch < m AND o.source_id = obs.source_id AND o.item_id = obs.item_id)""")
+def _since(days: int) -> str:
+    """SQL of the observations of the first days, and of what the last of them brought."""
+    return f"""WITH {OBS}, first AS (SELECT * FROM obs WHERE batch < (SELECT min(batch) FROM obs) + INTERVAL {days} DAY), n AS (SELECT max(batch) AS m FROM first)
+SELECT source_id, item_id, batch, rank FROM first, n WHERE batch = m AND NOT EXISTS (SELECT 1 FROM first o WHERE o.batch < m AND o.source_id = first.source_id AND o.item_id = first.item_id)"""
+
+
+def first_days(spark, sf_dir, days):
+    rows = observed(spark, sf_dir)
+    start = rows.agg(F.min("batch").alias("start"))
+    return rows.join(start, F.col("batch") < F.col("start") + F.make_interval(days=F.lit(days))).drop("start")
+
+
+@query(_since(4))
 def new_items(spark, sf_dir):
-    return H.new_items(observed(spark, sf_dir))
+    return H.new_items(first_days(spark, sf_dir, 4))
 
 
-@query(f"WITH {OBS}, one AS (SELECT * FROM obs WHERE batch = (SELECT min(batch) FROM obs)) SELECT source_id, item_id, batch, rank FROM one WHERE batch > (SELECT min(batch) FROM one)")
+@query(_since(2))
 def new_items_without_history(spark, sf_dir):
-    obs = observed(spark, sf_dir)
-    first = obs.agg(F.min("batch").alias("first"))
-    return H.new_items(obs.join(F.broadcast(first), F.col("batch") == F.col("first")).drop("first"), "none")
+    """Where there is no earlier day none would be new; here there is one."""
+    return H.new_items(first_days(spark, sf_dir, 2), "none")
 
 
 @query(f"WITH {OBS}, {OFF} SELECT source_id, item_id, batch, CAST(0 AS BIGINT) AS rank FROM gone")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
 from tidemark.operators import state as K
+from tidemark.plans.scratch import cut, delete, new_path
 from tidemark.queries.base import query, table
+from tidemark.streaming.ledger import Ledger
 
 LEVEL = "CASE event_type WHEN 'purchase' THEN 'urgent' WHEN 'signup' THEN 'alert' WHEN 'error' THEN 'suppress' ELSE 'watch' END"
 NO = "CASE level WHEN 'suppress' THEN 0 WHEN 'watch' THEN 1 WHEN 'alert' THEN 2 ELSE 3 END"
@@ -66,9 +68,27 @@ def input_health(spark, sf_dir):
     return K.health(sources, F.lit(30))
 
 
-@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def _ledger_of_labels(spark, sf_dir, find):
+    """What find gives of a ledger that has the labels as answers: a tag each, and none where neither label is set."""
+    root = new_path(spark, "ledger")
+    ledger, hit = Ledger(spark, root), (F.col("quality") == 1) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels")
+    ledger.add(labels.select(F.col("doc_id").alias("news_id"), F.lit("doc").alias("kind"), F.lit("interests").alias("interests"), F.lit(1).cast("long").alias("version"), F.when(hit, F.lit(1).cast("long")).alias("tag_id"), F.when(hit, 1.0).alias("score"), hit.alias("matched")))
+    items = table(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("news_id"), F.col("text").alias("title"))
+    out = cut(find(ledger, items).select(F.col("news_id").alias("doc_id")), "pending")
+    delete(spark, [root])
+    return out
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def pending_items(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return _ledger_of_labels(spark, sf_dir, lambda ledger, items: ledger.pending(items, "interests", 1))
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND (quality = 1 OR toxic = 1))")
+def pending_again(spark, sf_dir):
+    """With those whose answer matched nothing."""
+    return _ledger_of_labels(spark, sf_dir, lambda ledger, items: ledger.pending(items, "interests", 1, again=True))
 
 
 @query("SELECT d.source, l.quality, l.toxic, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2, 3")

@@ -8,7 +8,7 @@ from tidemark.operators import history as H
 from tidemark.queries.base import OBS, OFF, TIER, TITLES, query, tiers, titles
 from tidemark.queries.history import full_history
 
-ITEMS = f"{TITLES}, it AS (SELECT ws.word AS topic, ti.source_id, {TIER.replace('source_id', 'ti.source_id')} AS tier, ti.rank, ti.title, ti.seq FROM ws JOIN ti USING (seq) WHERE length(word) >= 5)"
+ITEMS = f"{TITLES}, it AS (SELECT ws.word AS topic, ti.source_id, {TIER.replace('source_id', 'ti.source_id')} AS tier, ti.rank, ti.title, ti.seq FROM ws JOIN ti USING (seq))"
 EVIDENCE = f"""WITH {ITEMS}, g AS (SELECT topic, bool_or(tier = 'A') AS a, bool_or(tier = 'B') AS b, bool_or(tier = 'C') AS c, bool_or(tier = 'D') AS d, count(DISTINCT source_id) AS platforms,
  count(DISTINCT source_id) FILTER (tier = 'D') AS d_platforms, min(rank) FILTER (tier = 'D') AS best_d_rank, bool_or(regexp_matches(title, '(?i)(panic|outrage|shock|that)')) AS feeling,
  count(*) FILTER (tier IN ('A', 'B')) AS ab_items, count(*) AS items FROM it GROUP BY 1),
@@ -17,14 +17,14 @@ e AS (SELECT *, CASE WHEN d AND (a OR b) THEN 'cross_layer_verified' WHEN d AND
 
 
 def items(spark, sf_dir):
-    each = titles(spark, sf_dir).select("seq", "source_id", "rank", "title", F.explode("words").alias("topic")).where(F.length("topic") >= 5)
+    each = titles(spark, sf_dir).select("seq", "source_id", "rank", "title", F.explode("words").alias("topic"))
     return topics.with_tier(each, tiers(spark, sf_dir))
 
 
 def evidence(spark, sf_dir):
     feeling = F.col("title").rlike(r"(?i)(panic|outrage|shock|that)")  # once a title, before its words part
     rows = titles(spark, sf_dir).select("source_id", "rank", feeling.alias("feeling"), "words")
-    each = rows.select("source_id", "rank", "feeling", F.explode("words").alias("topic")).where(F.length("topic") >= 5)
+    each = rows.select("source_id", "rank", "feeling", F.explode("words").alias("topic"))
     return topics.evidence(topics.with_tier(each, tiers(spark, sf_dir)))
 
 
