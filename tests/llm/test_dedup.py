@@ -263,3 +263,13 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, long_text(60_000)), (2, "x " + long_text(60_000))], "doc_id long, text string")
     check_substrings(docs)
     check_near(docs, 5)
+
+
+def test_texts_of_a_million_words(spark):
+    """Exact copies among them, and substrings that they share, are found as in any other."""
+    words = [f"w{(i * 7919) % 400_009}" for i in range(1_000_000)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words)), (3, " ".join(words[:-1])), (4, "x " + " ".join(words[500_000:500_070]) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_groups(docs).collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(docs).collect()}
+    assert got == {1: (1_000_000, 0), 2: (1_000_000, 1_000_000), 3: (999_999, 999_999), 4: (72, 70)}

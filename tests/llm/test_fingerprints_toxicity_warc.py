@@ -175,6 +175,8 @@ def test_archives_round_trip(spark, tmp_path, sf_dir):
     assert b"".join(gzip.open(f).read() for f in files).count(b"WARC-Type: ") == len(rows)
     check_warc(spark, pages, tmp_path / "b", least=5)
     check_warc(spark, pages.limit(0), tmp_path / "c")
+    clash = "body refers again digest best n payload records file record_type payload_bytes payload_digest refers_to".split()
+    check_warc(spark, pages.withColumns({c: pages["url"] for c in clash}), tmp_path / "e")
     check_warc(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("page", pages.sparkSession.range(1).selectExpr("1 AS x").first()[0] + __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0)), tmp_path / "d", split=9000)
 
 

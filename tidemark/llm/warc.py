@@ -71,8 +71,9 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
 
     Of pages with equal payloads (the html in UTF-8, null: empty) of at least least_bytes, that with the largest key
     is a response and the others revisit it; all smaller ones are responses. Groups are found by SHA-256. Rows that
-    repeat a key and payload are records of the same type each; null keys revisit if the group has a key. folder must be
-    mounted on the driver and all executors; tasks write under names of their own and rename.
+    repeat a key and payload are records of the same type each; null keys revisit if the group has a key; no rows give no
+    files. Other columns, whatever their names, are not read. folder must be mounted on the driver and all executors; tasks
+    write under names of their own and rename.
     """
     place = mounted(folder)
     os.makedirs(place, exist_ok=True)
