@@ -78,14 +78,19 @@ def normal_title(text: Column) -> Column:
     return collapsed(F.regexp_replace(F.lower(compatible(text)), r"[^\p{L}\p{N}_\s]", " "))
 
 
-def topic_tokens(text: Column) -> Column:
-    """Distinct tokens of the normal title: words, and of runs of Chinese characters the pairs of neighbours, or the one there is."""
-    parts = F.regexp_extract_all(normal_title(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}_&&[^{CJK}]]+"), F.lit(0))
+def tokens_of_normal(title: Column) -> Column:
+    """Distinct tokens of a normal title: words, and of runs of Chinese characters the pairs of neighbours, or the one there is."""
+    parts = F.regexp_extract_all(title, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}_&&[^{CJK}]]+"), F.lit(0))
     pairs = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substr(p, i, F.lit(2)))
     each = F.transform(parts, lambda p: F.when(p.rlike(rf"^[{CJK}]") & (F.length(p) > 1), pairs(p)).otherwise(F.array(p)))
     return F.array_distinct(F.flatten(each))
 
 
+def topic_tokens(text: Column) -> Column:
+    """Distinct tokens of a title in normal form."""
+    return tokens_of_normal(normal_title(text))
+
+
 def latin_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import normal_title, topic_tokens
+from tidemark.functions.text import normal_title, tokens_of_normal
 from tidemark.operators.components import connected_components
 from tidemark.plans.scratch import cut
 
@@ -18,14 +18,19 @@ def _similar(one: Column, other: Column) -> Column:
     return (shared >= LEAST_SHARED) & (100 * shared >= PERCENT * F.least(F.size(one), F.size(other)))
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that are similar; tokens join them only here."""
+    one, two = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("t_a")), sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t_b"))
+    return pairs.join(two, "b").join(one, "a").where(_similar(F.col("t_a"), F.col("t_b"))).select("a", "b")
+
+
 def _star_links(sets: DataFrame, each: DataFrame, stars: int = 2) -> DataFrame:
     """Links (a, b) of similar sets, b being one of the smallest sets that have one of a's tokens: stars for each token."""
     star = F.pmod(F.xxhash64("set_id"), F.lit(stars))
-    centres = each.where(F.col("m") >= LEAST_SHARED).groupBy("token", star.alias("star")).agg(F.min(F.struct("m", "set_id")).alias("c")).select("token", "c.set_id")
-    known = cut(centres.join(sets, "set_id").select("token", F.struct("set_id", "tokens").alias("centre")), "centres")
-    met = each.where(F.col("m") >= LEAST_SHARED).join(known, "token").groupBy("set_id").agg(F.collect_set("centre").alias("centres"))
-    near = sets.join(met, "set_id").select("set_id", F.explode(F.filter("centres", lambda c: _similar(c["tokens"], F.col("tokens")))["set_id"]).alias("b"))
-    return near.select(F.col("set_id").alias("a"), "b").where("a <> b")
+    able = each.where(F.col("m") >= LEAST_SHARED)
+    centres = cut(able.groupBy("token", star.alias("star")).agg(F.min(F.struct("m", "set_id")).alias("c")).select("token", F.col("c.set_id").alias("b")), "centres")
+    met = able.join(centres, "token").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
+    return _confirmed(met, sets)
 
 
 def token_links(sets: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def token_links(sets: DataFrame) -> DataFrame:
     together is confirmed on the whole sets. The most common tokens come last, so they bring few sets together.
     """
     each = cut(sets.select("set_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token")), "each")
-    stars = cut(_star_links(sets, each).distinct(), "stars")
+    stars = cut(_star_links(sets, each), "stars")
     found = cut(connected_components(stars), "star-components")
     main = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", "n").alias("main"))
     inside = found.join(F.broadcast(main), F.col("component") == F.col("main"), "left_semi").select(F.col("node").alias("set_id"), F.lit(True).alias("inside"))
@@ -52,9 +57,7 @@ def token_links(sets: DataFrame) -> DataFrame:
     others = placed.select(F.col("set_id").alias("b"), F.col("m").alias("m_b"), "token", "after", F.col("inside").alias("in_b"))
     open_ = heads.where("NOT in_a").join(others, "token").unionByName(heads.where("in_a").join(others.where("NOT in_b"), "token"))
     close = open_.where("after >= need - 1 AND (m_a < m_b OR m_a = m_b AND a <> b)").select("a", "b").distinct()
-    one, two = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("t_a")), sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t_b"))
-    rest = close.join(one, "a").join(two, "b").where(_similar(F.col("t_a"), F.col("t_b"))).select("a", "b")
-    return stars.unionByName(rest)
+    return stars.unionByName(_confirmed(close, sets))
 
 
 def clustered(items: DataFrame) -> DataFrame:
@@ -63,7 +66,8 @@ def clustered(items: DataFrame) -> DataFrame:
     Items are linked by equal normal titles, by equal links that aren't empty, or by similar tokens. Equal
     titles are one node from the start, so copies don't multiply the pairs.
     """
-    rows = cut(items.select("seq", "url", normal_title(F.col("title")).alias("norm"), topic_tokens(F.col("title")).alias("tokens")), "items")
+    normal = items.select("seq", "url", normal_title(F.col("title")).alias("norm"))
+    rows = cut(normal.withColumn("tokens", tokens_of_normal(F.col("norm"))), "items")
     titled = rows.where("norm <> ''").groupBy("norm").agg(F.min("seq").alias("node"), F.first("tokens").alias("tokens"))
     nodes = cut(rows.where("norm <> ''").join(cut(titled, "titles").select("norm", "node"), "norm").select("seq", "node"), "nodes")
     sets = cut(titled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("node").alias("set_id")).where("size(tokens) > 0"), "sets")

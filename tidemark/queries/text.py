@@ -142,6 +142,17 @@ def search_fuzzy(spark, sf_dir):
     return S.by_fuzzy(titles(spark, sf_dir), "the and attion to", 0.5).select("seq", "score")
 
 
+REFERENCE = "The and attion to thanedble the, anea."
+WORDS_OF = lambda text: f"list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({text}, 'https?://\\S+', '', 'g'), '\\[[^\\]]*\\]', '', 'g')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN {STOP}))"
+
+
+@query(f"""WITH {TITLES}, w AS (SELECT seq, {WORDS_OF('title')} AS words, {WORDS_OF(f"'{REFERENCE}'")} AS wanted FROM ti WHERE title <> '{REFERENCE}'),
+j AS (SELECT seq, len(list_intersect(words, wanted)) AS shared, len(list_distinct(list_concat(words, wanted))) AS whole FROM w) SELECT seq, shared / CAST(whole AS DOUBLE) AS score FROM j WHERE shared / CAST(whole AS DOUBLE) >= 0.1""")
+def related_by_words(spark, sf_dir):
+    """Titles by the Jaccard measure of keywords alone."""
+    return S.related_by_keywords(titles(spark, sf_dir), REFERENCE, 0.1, 0.0).select("seq", "score")
+
+
 @query()
 def related_titles(spark, sf_dir):
     return S.related_by_keywords(titles(spark, sf_dir), "The and attion to thanedble the, anea.", 0.2).select("seq", "score")
