@@ -1,16 +1,21 @@
 """Queries of candidates: identity, display, scores with their gates, and decisions."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import event_key
 from tidemark.operators import adapters as A
 from tidemark.operators import candidates as C
-from tidemark.operators import scoring
+from tidemark.operators import scoring, topics
 from tidemark.operators.cluster import clustered
-from tidemark.plans.scratch import cut
+from tidemark.operators.run import EVENTS, QUEUE, States, run_once
+from tidemark.operators.runs import SOURCES, end_run
+from tidemark.plans.scratch import cut, delete, new_path
+from tidemark.plans.state_folder import StateFolder
 from tidemark.queries.adapters import MARK, SPANS, VISIBLE, folded_and_new
 from tidemark.queries.base import TIER, query, tiers, titles
 from tidemark.queries.topics import CLUSTERS, CROSS, STRENGTH
-from tidemark.operators import topics
 
 ENTRY = "CASE WHEN rank <= 3 THEN 30.0 WHEN rank <= 10 THEN 27.0 WHEN rank <= 20 THEN 23.0 WHEN rank <= 50 THEN 15.0 WHEN rank <= 100 THEN 8.0 ELSE 3.0 END"
 BURST = "CASE WHEN rank <= 3 THEN 13.0 WHEN rank <= 10 THEN 12.0 WHEN rank <= 20 THEN 10.0 WHEN rank <= 50 THEN 7.0 WHEN rank <= 100 THEN 4.0 ELSE 2.0 END"
@@ -94,3 +99,33 @@ def candidate_pipeline(spark, sf_dir):
     """Titles to decisions in one plan; candidates of feed items alone leave."""
     out = C.decide(title_items(spark, sf_dir), C.Settings(drop_unmerged_feeds=True))
     return out.select("candidate_id", "display_title", "items", "sources", *COLUMNS)
+
+
+NOW = "2024-01-31 12:00:00"
+NUMBER = "CAST(regexp_extract(source_id, '(\\d+)$', 1) AS INT)"
+EVENT_KEY = "'event-v1:' || sha256('v1' || chr(31) || lower(trim(regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))))"
+
+
+@query(f"""{TITLE_ITEMS.replace('false AS after_gap', f'{NUMBER} % 5 = 0 AND {NUMBER} % 4 <> 3 AS after_gap, day')}, {SCORED.replace('FACTOR', '1.0::DOUBLE')},
+sn AS (SELECT {EVENT_KEY.format('title')} AS event_key, max(TIMESTAMP '{NOW}' - to_hours(CAST(seq % 8 AS INT))) AS seen_at FROM ti WHERE rank <= 10 GROUP BY 1),
+fr AS (SELECT id, bool_or(day >= DATE '2024-01-11') AS fresh FROM it GROUP BY id),
+de AS (SELECT candidate_id, display_title, score, fresh, {LEVEL}, {EVENT_KEY.format('display_title')} AS event_key FROM y JOIN id USING (id) JOIN dp USING (id) JOIN fr USING (id)),
+st AS (SELECT de.*, CASE WHEN seen_at IS NULL THEN 'new' WHEN level = 'alert' THEN 'same_level_repeat' WHEN level = 'urgent' THEN 'meaningful_escalation' ELSE 'deescalation' END AS repeat_status, epoch(TIMESTAMP '{NOW}') - epoch(seen_at) >= 240 * 60 AS over FROM de LEFT JOIN sn USING (event_key)),
+ou AS (SELECT *, CASE WHEN level = 'watch' THEN 'not_eligible' WHEN NOT fresh THEN 'not_fresh' WHEN repeat_status = 'same_level_repeat' AND NOT over THEN 'cooldown' WHEN level = 'alert' THEN 'deferred' END AS why FROM st),
+pl AS (SELECT *, row_number() OVER (PARTITION BY why ORDER BY score DESC, lower(display_title), candidate_id) AS place FROM ou)
+SELECT candidate_id, level, fresh, repeat_status, score, coalesce(why, CASE WHEN place <= 5 THEN 'sent' ELSE 'over_limit' END) AS outcome FROM pl""")
+def run_outcomes(spark, sf_dir):
+    """A whole run over titles in quiet hours: some sources just came back, some events were sent hours ago; five may be sent."""
+    at, n = datetime.fromisoformat(NOW), F.regexp_extract("source_id", r"(\d+)$", 1).cast("int")
+    items = title_items(spark, sf_dir).withColumn("observed", F.col("day") >= "2024-01-11")
+    names = titles(spark, sf_dir).select("source_id").distinct()
+    kind = F.when(F.col("source_id").isin("src0", "src1", "src2"), "rss").otherwise("hotlist").alias("kind")
+    root = new_path(spark, "run")
+    states = States(*[StateFolder(spark, f"{root}/{k}", s) for k, s in (("events", EVENTS), ("queue", QUEUE), ("sources", SOURCES))])
+    end_run(names.select(kind, "source_id", (n % 5 != 0).alias("succeeded")), states.sources, NOW)
+    ago = F.lit(at) - F.make_interval(hours=(F.col("seq") % 8).cast("int"))
+    seen = titles(spark, sf_dir).where("rank <= 10").groupBy(event_key(F.col("title")).alias("event_key")).agg(F.max(ago).alias("seen_at"))
+    states.events.save(seen.select("event_key", F.lit("alert").alias("level"), "seen_at", F.lit(0).cast("long").alias("seq")), NOW)
+    run = run_once(items, names.select(kind, "source_id", (n % 4 != 3).alias("succeeded")), states, at, lambda sent: True, quiet=("11:00", "13:00"), most=5)
+    delete(spark, [root])
+    return run.outcomes.select("candidate_id", "level", "fresh", "repeat_status", "score", "outcome")
