@@ -276,12 +276,11 @@ def _cut_texts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, shas, removed, kept = utf8(batch.column(1)), [], [], []
-            marks = batch.column(2).to_pylist()
-            for data, (starts, ends, _), gone in zip(texts, each_text(texts), marks, strict=True):
-                step = np.zeros(len(starts) + 1, np.int64)
-                for m in gone or ():
-                    step[m["start"]] += 1
-                    step[m["start"] + m["windows"] + window - 1] -= 1
+            at, marks = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            begins, counts = (marks.field(c).to_numpy() for c in ("start", "windows"))
+            for k, (data, (starts, ends, _)) in enumerate(zip(texts, each_text(texts), strict=True)):
+                begin, count = begins[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]
+                step = np.bincount(begin, minlength=len(starts) + 1) - np.bincount(begin + count + window - 1, minlength=len(starts) + 1)
                 keep = np.cumsum(step)[:-1] == 0
                 shas.append(hashlib.sha256(b" ".join(data.split())).hexdigest())
                 removed.append(int(len(keep) - keep.sum()))
