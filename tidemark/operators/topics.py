@@ -71,26 +71,3 @@ def samples(items: DataFrame, order: list[Column], most: int, distinct: list[str
     ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(*order)))
     return ranked.where(F.col("place") <= most) if most else ranked
 
-
-def scored(items: DataFrame) -> DataFrame:
-    """Scores and decision of each candidate of (candidate_id, source_id, tier, rank, row_before, visible_before, ...).
-
-    Per item the four growth rules are evaluated; of each rule the highest counts, their sum is clamped to 60.
-    """
-    sources = items.groupBy("candidate_id").agg(F.countDistinct("source_id").alias("sources"))
-    rows = items.join(sources, "candidate_id")
-    moved = scores.movement(
-        F.col("rank"), F.col("row_before"), F.col("row_before").isNotNull(), F.coalesce((F.col("row_before") > 0) & (F.col("row_before") != 99), F.lit(False)), F.col("times_visible"), F.col("count"), F.lit(True)
-    )
-    rows = rows.withColumn("movement", moved).withColumn("burst", scores.burst(F.col("rank"), F.col("is_new"), F.col("sources")))
-    rows = rows.withColumn("recency", scores.recency(F.col("is_new"), F.lit(True), F.lit(True), F.lit(False)))
-    rows = rows.withColumn("persistence", scores.persistence(F.col("times_visible"), F.col("rank"), F.col("count")))
-    has = lambda t: F.bool_or(F.col("tier") == t).alias(t.lower())
-    out = rows.groupBy("candidate_id").agg(
-        *[F.max(x).alias(x) for x in ("movement", "burst", "recency", "persistence")], F.min("rank").alias("best_rank"), F.max("sources").alias("sources"), F.count("*").alias("items"), has("A"), has("B"), has("C"), has("D")
-    )
-    tiers = [F.col(x) for x in "abcd"]
-    out = out.withColumn("growth", scores.clamp(F.col("movement") + F.col("burst") + F.col("recency") + F.col("persistence"), 60))
-    out = out.withColumn("heat", scores.heat(F.col("best_rank"), F.col("sources"), F.col("items"))).withColumn("cross", scores.cross_layer(*tiers))
-    out = out.withColumn("score", scores.total(F.col("growth"), F.col("heat"), F.col("cross"), scores.strength(*tiers)))
-    return out.withColumn("level", scores.decision(F.col("score"), F.lit(False)))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
-from tidemark.operators import cluster, topics
+from tidemark.operators import cluster, scoring, topics
 from tidemark.operators import history as H
 from tidemark.queries.base import OBS, OFF, TIER, TITLES, query, tiers, titles
 from tidemark.queries.history import full_history
@@ -104,8 +104,12 @@ SELECT candidate_id, growth, heat, "cross", score, CASE WHEN score >= 80 THEN 'u
 def decision_level(spark, sf_dir):
     rows = H.with_previous(full_history(spark, sf_dir)).where("visible AND batch = '2024-01-10'")
     tier = F.when(F.col("source_id") == "click", "A").when(F.col("source_id") == "view", "B").when(F.col("source_id") == "purchase", "C").otherwise("D")
-    rows = rows.withColumns({"candidate_id": F.col("item_id"), "tier": tier, "is_new": F.col("row_before").isNull(), "count": F.col("times_visible")})
-    return topics.scored(rows).select("candidate_id", "growth", "heat", "cross", "score", "level")
+    visible = F.coalesce((F.col("row_before") > 0) & (F.col("row_before") != 99), F.lit(False))
+    rows = rows.withColumns({"candidate_id": F.col("item_id"), "tier": tier, "is_new": F.col("row_before").isNull(), "count": F.col("times_visible"), "best_rank": F.col("rank"), "first_time": F.col("batch"), "last_time": F.col("batch")})
+    known = {"kind": F.lit("hotlist"), "reliable": F.col("times_visible") > 0, "has_before": ~F.col("is_new"), "before_visible": visible, "rank_delta": F.col("delta"), "has_count": F.col("count") > 0, "has_times": F.col("batch").isNotNull()}
+    unset = {c: F.lit(None).cast("string") for c in ("feed_id", "source_name")} | {c: F.lit(False) for c in ("times_made_up", "after_gap")}
+    rows = rows.withColumns(known | unset | {"new_meaning": F.when(F.col("is_new"), "new_titles_detection")})
+    return scoring.decided(scoring.candidate_scores(rows, "candidate_id")).select("candidate_id", "growth", "heat", "cross", "score", "level")
 
 
 #: Clusters of titles: cl (seq, cluster), and nt, the titles in normal form.
