@@ -1,10 +1,11 @@
 """Queries that do their whole job in bounded tables: what they give, and how their rows travel."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import topics
+from tidemark.operators import topics, trends
 from tidemark.plans.scratch import tables_read
 from tidemark.queries import QUERIES
 
@@ -40,3 +41,10 @@ def test_samples_meet_by_topic_without_their_titles(spark):
     got = {(r["topic"], r["place"]): (r["source_id"], r["title"]) for r in out.collect()}
     assert got == {("a", 1): ("s", "a"), ("a", 2): ("s", "a b a"), ("a", 3): ("t", "a b a"), ("b", 1): ("s", "a b a"), ("b", 2): ("t", "a b a"), ("c", 1): ("s", "a c")}
     assert any(name.startswith("first-items") for name in tables_read(out))
+
+
+def test_words_of_equal_titles_are_counted_once_and_multiplied(spark):
+    titles = spark.createDataFrame([("long word long",), ("long word long",), ("word of",)], "title string")
+    out = trends.words_of_titles(titles, F.split("title", " "), 4)
+    assert {tuple(r) for r in out.collect()} == {("long", 4, 1), ("word", 3, 2)}
+    assert not re.search(r"Exchange hashpartitioning\(word#\d+L?, title", plan_of(out))
