@@ -1,11 +1,13 @@
 """Queries that do their whole job in bounded tables: what they give, and how their rows travel."""
 
+import random
 import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import topics, trends
+from tidemark.operators import cluster, topics, trends
+from tidemark.operators.components import connected_components
 from tidemark.plans.scratch import tables_read
 from tidemark.queries import QUERIES
 
@@ -48,3 +50,14 @@ def test_words_of_equal_titles_are_counted_once_and_multiplied(spark):
     out = trends.words_of_titles(titles, F.split("title", " "), 4)
     assert {tuple(r) for r in out.collect()} == {("long", 4, 1), ("word", 3, 2)}
     assert not re.search(r"Exchange hashpartitioning\(word#\d+L?, title", plan_of(out))
+
+
+def test_sets_outside_the_largest_component_meet_all_sets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PART", 4)
+    monkeypatch.setattr(cluster, "HUBS", 2)
+    draw = random.Random(5)
+    sets = {k: sorted(draw.sample("abcdefghijklmnop", draw.randint(1, 9))) for k in range(60)}
+    pairs = [(x, y) for x in sets for y in sets if x < y and (n := len({*sets[x]} & {*sets[y]})) >= 2 and 100 * n >= 55 * min(len(sets[x]), len(sets[y]))]
+    links = cluster.token_links(spark.createDataFrame(list(sets.items()), "set_id long, tokens array<string>"))
+    groups = lambda df: {tuple(r) for r in connected_components(df).collect()}
+    assert groups(links) == groups(spark.createDataFrame(pairs, "a long, b long"))
