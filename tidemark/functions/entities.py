@@ -31,17 +31,24 @@ def entities(title: Column, dictionary: dict[str, str] | None = None, no_names:
     dictionary that occur in the title add their values. A null title has none.
     """
     each = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rest = F.coalesce(title, F.lit(""))
-    amounts = F.transform(each(rest, AMOUNT), lambda x: F.replace(x, F.lit(","), F.lit("")))
-    rest = F.regexp_replace(rest, AMOUNT, " ")
-    results, rest = each(rest, RESULT), F.regexp_replace(rest, RESULT, " ")
-    shares, rest = F.filter(each(rest, PERCENTAGE), lambda x: ~x.rlike("^0*[01]?%$")), F.regexp_replace(rest, PERCENTAGE, " ")
-    models, rest = F.transform(each(rest, MODEL), F.lower), F.regexp_replace(rest, MODEL, " ")
-    numbers = F.filter(each(rest, NUMBER), lambda x: ~x.rlike("^0*(?:19[0-9]{2}|20[0-9]{2}|2100)$"))
-    names = F.filter(F.transform(each(rest, NAME), F.lower), lambda x: ~x.isin(no_names))
+    text = F.coalesce(title, F.lit(""))
     known = [F.when(F.contains(title, F.lit(a)), F.lit(b)) for a, b in (dictionary or {}).items()]
     extra = F.filter(F.array(*known), lambda x: x.isNotNull()) if known else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(amounts, results, shares, models, numbers, names, extra)))
+    names_in = lambda rest: F.filter(F.transform(each(rest, NAME), F.lower), lambda x: ~x.isin(no_names))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  # value is computed once
+    taken = lambda rest, pattern, then: once(F.regexp_replace(rest, pattern, " "), then)
+
+    amounts = lambda rest: F.transform(each(rest, AMOUNT), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    shares = lambda rest: F.filter(each(rest, PERCENTAGE), lambda x: ~x.rlike("^0*[01]?%$"))
+    models = lambda rest: F.transform(each(rest, MODEL), F.lower)
+    numbers = lambda rest: F.filter(each(rest, NUMBER), lambda x: ~x.rlike("^0*(?:19[0-9]{2}|20[0-9]{2}|2100)$"))
+    after_models = lambda rest: F.concat(numbers(rest), names_in(rest))
+    after_shares = lambda rest: F.concat(models(rest), taken(rest, MODEL, after_models))
+    after_results = lambda rest: F.concat(shares(rest), taken(rest, PERCENTAGE, after_shares))
+    after_amounts = lambda rest: F.concat(each(rest, RESULT), taken(rest, RESULT, after_results))
+    whole = F.concat(amounts(text), taken(text, AMOUNT, after_amounts))
+    found = F.when(text.rlike(r"\p{Nd}"), whole).otherwise(names_in(text))  # all kinds but names have a digit
+    return F.array_sort(F.array_distinct(F.concat(found, extra)))
 
 
 def is_specific(entity: Column, common: list[str]) -> Column:
