@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.entities import entities
+from tidemark.operators import reports
 
 
 def plan_of(df):
@@ -14,3 +15,9 @@ def test_each_kind_of_entity_is_taken_out_once(spark):
     out = rows.select(entities(F.col("t")))
     assert [r[0] for r in out.collect()] == [["$1200", "4-2", "45%", "777", "glm-5.2", "paid", "paris"], ["only", "paris"], []]
     assert plan_of(out).count("regexp_replace") < 10  # those of one kind were repeated for each later kind
+
+
+def test_digest_looks_at_more_topics_only_if_the_first_do_not_yield_enough(spark):
+    rows = spark.createDataFrame([(t, s, k) for k, (t, s) in enumerate([("...", 9), ("river news", 8), ("river news!", 7), ("other thing", 6), ("River  news", 6), ("last one", 1)])], "topic string, score long, seq long")
+    for first in (1, 2, 4, 1000):
+        assert [(r["place"], r["topic"]) for r in reports.digest(rows, 3, first=first).collect()] == [(1, "river news"), (2, "other thing"), (3, "last one")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -36,15 +36,10 @@ def alike(key: Column, pairs: Column, other: Column, other_pairs: Column) -> Col
     return F.when(F.contains(key, other) | F.contains(other, key), 1.0).when(F.least(F.length(key), F.length(other)) < 8, 0.0).otherwise(share)
 
 
-def digest(topics: DataFrame, most: int = 5, limit: float = 0.72) -> DataFrame:
-    """The topics (topic, score, seq, ...) of a digest with their place: best first, none too like one before it.
-
-    In each of most rounds the best topic is taken (highest score, then least seq) and all that are like it leave, so
-    every topic counts however many there are, and one row a round comes to the driver. Topics without letters or digits
-    are left out.
-    """
-    rows = topics.withColumn("_key", topic_key(F.col("topic"))).where("_key <> ''")
-    rest, chosen = cut(rows.withColumn("_pairs", letter_pairs(F.col("_key"))), "topics"), []
+def _chosen(rows: DataFrame, most: int, limit: float) -> list[Row]:
+    """Of (topic, score, seq, ...) up to most, in rounds: the best, then the best that isn't like it, and so on."""
+    keyed = rows.withColumn("_key", topic_key(F.col("topic"))).where("_key <> ''")
+    rest, chosen = cut(keyed.withColumn("_pairs", letter_pairs(F.col("_key"))), "best-topics"), []
     for _ in range(most):
         best = rest.orderBy(F.desc("score"), "seq").limit(1).collect()
         if not best:
@@ -52,6 +47,25 @@ def digest(topics: DataFrame, most: int = 5, limit: float = 0.72) -> DataFrame:
         chosen.append(best[0])
         key, pairs = F.lit(best[0]["_key"]), F.array(*map(F.lit, best[0]["_pairs"]))
         rest = rest.where(alike(F.col("_key"), F.col("_pairs"), key, pairs) < limit)
+    return chosen
+
+
+def digest(topics: DataFrame, most: int = 5, limit: float = 0.72, first: int = 1000) -> DataFrame:
+    """The topics (topic, score, seq, ...) of a digest with their place: best first, none too like one before it.
+
+    In each of most rounds the best topic is taken (highest score, then least seq) and all that are like it leave; one
+    row a round comes to the driver. What is taken from the best so many topics is what would be taken from all, so the
+    first ones alone get keys, and many more only as long as they don't yield enough: every topic counts. Topics without
+    letters or digits are left out.
+    """
+    table, chosen = cut(topics, "topics"), []
+    n = table.count()
+    while True:
+        rows = table if first >= n else table.orderBy(F.desc("score"), "seq").limit(first)
+        chosen = _chosen(rows, most, limit)
+        if len(chosen) == most or first >= n:
+            break
+        first *= 100
     out = [(place, *[r[c] for c in topics.columns]) for place, r in enumerate(chosen, 1)]
     return topics.sparkSession.createDataFrame(out, StructType([StructField("place", IntegerType()), *topics.schema.fields]))
 
