@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions.entities import entities
 from tidemark.operators import reports
+from tidemark.operators import search as S
 
 
 def plan_of(df):
@@ -21,3 +23,33 @@ def test_digest_looks_at_more_topics_only_if_the_first_do_not_yield_enough(spark
     rows = spark.createDataFrame([(t, s, k) for k, (t, s) in enumerate([("...", 9), ("river news", 8), ("river news!", 7), ("other thing", 6), ("River  news", 6), ("last one", 1)])], "topic string, score long, seq long")
     for first in (1, 2, 4, 1000):
         assert [(r["place"], r["topic"]) for r in reports.digest(rows, 3, first=first).collect()] == [(1, "river news"), (2, "other thing"), (3, "last one")]
+
+
+REFERENCE = "The and attion to thanedble the, anea."
+
+
+def related_rows(spark):
+    titles = ["att[x]ion thanedble", "x" * 300, "attion " + "word " * 40, "thanehttp://a b", "anea", "Attion thanedble anea", "zzzz", REFERENCE]
+    return spark.createDataFrame([(k, t, "s") for k, t in enumerate(titles)], "seq long, title string, source_id string").withColumn("day", F.lit("2024-01-06").cast("date"))
+
+
+def score_of(rows, share):
+    similar = X.jaccard(F.array_distinct(X.keywords(F.col("title"))), F.array_distinct(X.keywords(F.lit(REFERENCE))))
+    return rows.withColumn("score", (1 - share) * similar + share * X.sequence_ratio(F.lit(REFERENCE), F.col("title")))
+
+
+def test_titles_without_a_chance_are_not_taken_apart(spark):
+    rows = related_rows(spark)
+    for share, threshold in ((0.3, 0.2), (0.7, 0.3), (0.0, 0.1)):
+        out = S.related_by_keywords(rows, REFERENCE, threshold, share)
+        want = score_of(rows, share).where(F.col("score") >= threshold).where(F.col("title") != REFERENCE)
+        assert sorted((r["seq"], round(r["score"], 9)) for r in out.collect()) == sorted((r["seq"], round(r["score"], 9)) for r in want.collect())
+        assert "contains(lower" in plan_of(out).lower()
+
+
+def test_ratios_of_days_are_only_taken_where_they_can_matter(spark):
+    rows = related_rows(spark)
+    out, _ = S.related_in_days(rows, REFERENCE, "2024-01-05", "2024-01-20", 0.2)
+    want = score_of(rows, 0.3).where("score >= 0.2")
+    assert sorted((r["seq"], round(r["score"], 9)) for r in out.collect()) == sorted((r["seq"], round(r["score"], 9)) for r in want.collect())
+    assert "contains(lower" in plan_of(out).lower()
