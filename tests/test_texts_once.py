@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import reader
 from tidemark.functions import text as X
 from tidemark.functions.entities import entities
 from tidemark.operators import reports
@@ -53,3 +54,14 @@ def test_ratios_of_days_are_only_taken_where_they_can_matter(spark):
     want = score_of(rows, 0.3).where("score >= 0.2")
     assert sorted((r["seq"], round(r["score"], 9)) for r in out.collect()) == sorted((r["seq"], round(r["score"], 9)) for r in want.collect())
     assert "contains(lower" in plan_of(out).lower()
+
+
+def test_noise_is_judged_by_few_patterns(spark):
+    texts = ["Watch NBA tonight", "xNBA NBA2", "C罗 scores", "c罗", "steam夏促", "T1", "at1", "S赛", "T1 2-1 官方通报", "LPL", "aLPL", "LPLx", "VCTLPL", "CS  major", "Ig vs x", "IG vs x", "xIG vs y", "XIG vs y", "viper", "viper 状态", "ＬＰＬ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = [w for ws in reader.CATEGORIES.values() for w in ws] + ["a-b"]
+    got = rows.select(X.any_keyword(F.col("t"), words), F.array(*[X.contains_keyword(F.col("t"), w) for w in words])).collect()
+    assert [r[0] for r in got] == [None if t is None else any(r[1]) for t, r in zip(texts, got, strict=True)]
+    out = rows.select("t", reader.about_games(F.col("t")).alias("games"), reader.is_noise(F.col("t"), F.array("t"), F.lit(False), no_games=True).alias("noise"))
+    assert {r["t"] for r in out.collect() if r["games"]} == {"T1", "S赛", "T1 2-1 官方通报", "LPL", "VCTLPL", "CS  major", "IG vs x", "XIG vs y", "viper 状态", "ＬＰＬ"} - {"VCTLPL"}
+    assert plan_of(out.select("noise")).count("RLIKE") < 30

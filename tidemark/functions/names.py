@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import IDEOGRAPH
+
 
 @dataclass(frozen=True)
 class Names:
@@ -24,8 +26,9 @@ class Names:
     def pattern(self) -> str:
         before = f"(?<![{self.not_before}])" if self.not_before else ""
         after = f"(?!{self.not_after})" if self.not_after else ""
-        each = "|".join(map(re.escape, self.names.split()))
-        return f"{'' if self.exact else '(?i)'}{before}{self.lead}(?:{each}){after}"
+        each = f"{self.lead}(?:{'|'.join(map(re.escape, self.names.split()))})"
+        first = "" if self.lead else f"(?=[{''.join(sorted({re.escape(n[0]) for n in self.names.split()}))}])"  # most places end here
+        return f"{'(?:' if self.exact else '(?i:'}{first}{before}{each}{after})"
 
 
 LETTERS, LETTERS_AND_DIGITS = "a-z", "a-z0-9"
@@ -60,14 +63,31 @@ BESIDE = {
 }
 
 
+def _parts(table: list[Names], ideographs: bool) -> list[Names]:
+    """The rows with those of their names that have Chinese characters, or with the others."""
+    kept = [(row, [n for n in row.names.split() if bool(re.search(IDEOGRAPH, n)) == ideographs]) for row in table]
+    return [replace(row, names=" ".join(names)) for row, names in kept if names]
+
+
+def _one_of(rows: list[Names]) -> str:
+    """The rows as one pattern. Those that no letter may stand before ask for that once, which most places of a text fail."""
+    bounded, free = ["|".join(r.pattern() for r in rows if r.not_before.startswith(LETTERS) == b) for b in (True, False)]
+    return "|".join(p for p in (bounded and f"(?<![{LETTERS}])(?:{bounded})", free) if p)
+
+
 def named(text: Column, table: list[Names] = GAMES, beside: dict[str, str] = BESIDE) -> Column:
-    """Whether a text has a name of the table. Names with the same words beside them are one condition."""
+    """Whether a text has a name of the table. Names with the same words beside them are one condition.
+
+    They are one pattern, and one for names with Chinese characters, which only texts with such characters are asked for.
+    """
     found = F.lit(False)
     for words in dict.fromkeys(row.beside for row in table):
+        rows = [row for row in table if row.beside == words]
         any_name = F.lit(False)
-        for row in table:
-            if row.beside == words:
-                any_name = any_name | text.rlike(row.pattern())
+        for ideographs in (False, True):
+            parts = _parts(rows, ideographs)
+            if pattern := _one_of(parts):
+                any_name = any_name | ((text.rlike(IDEOGRAPH) & text.rlike(pattern)) if ideographs else text.rlike(pattern))
         settled = F.lit(not words)
         for word in words:
             settled = settled | text.rlike(beside[word])
