@@ -65,3 +65,13 @@ def test_noise_is_judged_by_few_patterns(spark):
     out = rows.select("t", reader.about_games(F.col("t")).alias("games"), reader.is_noise(F.col("t"), F.array("t"), F.lit(False), no_games=True).alias("noise"))
     assert {r["t"] for r in out.collect() if r["games"]} == {"T1", "S赛", "T1 2-1 官方通报", "LPL", "VCTLPL", "CS  major", "IG vs x", "XIG vs y", "viper 状态", "ＬＰＬ"} - {"VCTLPL"}
     assert plan_of(out.select("noise")).count("RLIKE") < 30
+
+
+def test_normal_titles_and_tokens_take_one_pass(spark):
+    texts = ["  A,  b C_d! ", "x\x1cy\x85z", " \t", "AI热搜 中 x1", "É-é  ﬁ", "a b", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = rows.select(X.normal_title(F.col("t")).alias("n"), X.event_title(F.col("t")).alias("e"), F.array_sort(X.topic_tokens(F.col("t"))).alias("k"))
+    assert [r["n"] for r in out.collect()] == ["a b c_d", "x y z", "", "ai热搜 中 x1", "é é fi", "a b", "", None]
+    assert [r["e"] for r in out.collect()] == ["a, b c_d!", "x y z", "", "ai热搜 中 x1", "é-é fi", "a b", "", ""]
+    assert [r["k"] for r in out.collect()] == [["a", "b", "c_d"], ["x", "y", "z"], [], ["ai", "x1", "中", "热搜"], ["fi", "é"], ["a", "b"], [], None]
+    assert plan_of(rows.select(X.normal_title(F.col("t")).alias("n"))).count("regexp_replace(") == 1

@@ -89,7 +89,7 @@ def word_runs(spark, sf_dir):
  array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'))), ' ') AS tokens FROM ti""")
 def folded_titles(spark, sf_dir):
     title = F.col("title")
-    return titles(spark, sf_dir).select("seq", X.event_title(title).alias("event_title"), X.normal_title(title).alias("topic_title"), F.array_join(F.array_sort(X.topic_tokens(title)), " ").alias("tokens"))
+    return titles(spark, sf_dir).select("seq", X.event_title(title).alias("event_title"), X.normal_title(title).alias("topic_title"), F.array_join(F.sort_array(X.topic_tokens(title)), " ").alias("tokens"))
 
 
 #: A rule file with sections, aliases, named groups, caps, filters and a section that comes too late.
