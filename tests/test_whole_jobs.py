@@ -61,3 +61,19 @@ def test_sets_outside_the_largest_component_meet_all_sets_in_parts(spark, monkey
     links = cluster.token_links(spark.createDataFrame(list(sets.items()), "set_id long, tokens array<string>"))
     groups = lambda df: {tuple(r) for r in connected_components(df).collect()}
     assert groups(links) == groups(spark.createDataFrame(pairs, "a long, b long"))
+
+
+def test_clusters_are_made_without_moving_titles(spark, monkeypatch):
+    """Copies, sets of equal tokens, titles of one token, links and blanks; only a table of nodes holds tokens, and links are few."""
+    monkeypatch.setattr(cluster, "PART", 4)
+    made, cut = {}, cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda df, name, *codec: made.setdefault(name, cut(df, name, *codec)))
+    monkeypatch.setattr(cluster, "release", lambda *tables: None)
+    words = [f"w{k}" for k in range(6)]
+    titles = [*(" ".join(words[:k]) for k in range(2, 7)), "w1 W0!", "w0, w1", "lone", "lone lone", "Lone", "far away", "", None, "one two", "two three"]
+    urls = {7: "u", 10: "u", 13: "v", 14: "v"}
+    items = [(k, urls.get(k, ""), title) for k, title in enumerate(titles)]
+    got = {r["seq"]: r["cluster"] for r in cluster.clustered(spark.createDataFrame(items, "seq long, url string, title string")).collect()}
+    assert got == {**dict.fromkeys(range(7), 0), 7: 7, 8: 8, 9: 7, 10: 7, 11: 11, 12: 12, 13: 13, 14: 13}
+    assert "title" not in {c for df in made.values() for c in df.columns} and "norm" not in {c for df in made.values() for c in df.columns}
+    assert made["nodes"].where("text IS NOT NULL").count() == 8  # copies and orders of tokens are one

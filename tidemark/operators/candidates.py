@@ -110,7 +110,7 @@ def displayed(items: DataFrame) -> DataFrame:
     """(cluster, display_title, representative_url): the first title by display_key, and the least link of items with just
     that title, or else of all; null without links."""
     best = items.groupBy("cluster").agg(F.min_by("title", display_key()).alias("display_title"), F.min(F.nullif("url", F.lit(""))).alias("_any"))
-    own = items.select("cluster", "title", F.nullif("url", F.lit("")).alias("_url")).join(best, "cluster").where(F.col("title").eqNullSafe(F.col("display_title")))
+    own = items.select("cluster", "title", F.nullif("url", F.lit("")).alias("_url")).where("_url IS NOT NULL").join(best, "cluster").where(F.col("title").eqNullSafe(F.col("display_title")))
     least = own.groupBy("cluster").agg(F.min("_url").alias("_own"))
     return best.join(least, "cluster", "left").select("cluster", "display_title", F.coalesce("_own", "_any").alias("representative_url"))
 
@@ -145,7 +145,7 @@ def decide(items: DataFrame, settings: Settings | None = None) -> DataFrame:
     rows = clustered(items)
     if settings.attach_feeds:
         rows = with_feed_items(cut(rows, "clustered"), list(settings.common))
-    rows = cut(rows, "items-of-clusters")
+    rows = cut(rows, "items-of-clusters", "zstd")
     scored = scoring.candidate_scores(rows, "cluster", settings.coverage, settings.trusted, settings.first_crawl)
     named = identities(rows, listed_first=settings.attach_feeds)
     out = scored.join(named, "cluster").join(displayed(rows), "cluster")

@@ -87,7 +87,8 @@ dp AS (SELECT id, arg_min(title, (feed, coalesce(rank, 0), norm, source_id, titl
 FROM it JOIN id USING (id) JOIN dp USING (id) GROUP BY id, candidate_id, key_parts, display_title""")
 def event_candidates(spark, sf_dir):
     """Clusters with their identity, made without a row that holds a cluster."""
-    items = cut(clustered(title_items(spark, sf_dir)), "items-of-clusters")
+    read = ["seq", "title", "url", "kind", "source_id", "feed_id", "source_name", "keyword_group", "rank", "best_rank", "has_count", "count"]
+    items = cut(clustered(title_items(spark, sf_dir).select(read)), "items-of-clusters", "zstd")
     kinds = items.withColumn("_source", scoring.source_identity()).groupBy("cluster").agg(
         F.count("*").alias("items"), F.min("rank").alias("best_rank"), F.bool_or(F.col("kind") == "hotlist").alias("has_hotlist"), F.bool_or(F.col("kind") == "rss").alias("has_rss"), F.countDistinct("_source").alias("sources")
     )
