@@ -5,9 +5,11 @@ import math
 import re
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -239,3 +241,11 @@ def test_bpe_of_the_table(spark, sf_dir):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = Counter((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, ids, t in library(texts).elements())
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op13_bpe(spark, sf_dir).collect()) == want
+
+
+def test_no_task_holds_many_blocks_of_the_index(spark):
+    docs = spark.range(0, 14, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda i: F.substring(F.sha2(F.concat_ws("-", i, "id"), 256), 1, 60))).alias("text"))
+    index = lexical.build_index(docs)
+    path = index.blocks._tidemark_path.removeprefix("file:")
+    groups = [g for f in Path(path).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(k) for k in range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 14 and max(g.num_rows for g in groups) <= 3 and max(g.total_byte_size for g in groups) <= lexical.HELD + (8 << 20)

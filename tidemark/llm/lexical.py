@@ -16,6 +16,8 @@ from tidemark.plans.scratch import cut
 
 #: A block of the index has at most so many documents and, but for its last document, bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Bytes of blocks that a task holds at a time, besides a block that is larger.
+HELD = 8 << 20
 #: Queries that one pass over the index serves; more queries are taken in groups of about this size.
 QUERY_BLOCK = 512
 #: An exact impact is below MILLION; a byte b stands for impacts in (STEP * (b - 1), STEP * b].
@@ -122,7 +124,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = rows.select("text").mapInArrow(_sizes, "documents long, terms long").agg(F.sum("documents").alias("n"), F.sum("terms").alias("l")).first()
     n, terms = int(total["n"] or 0), int(total["l"] or 0)
-    return Index(cut(rows.mapInArrow(_blocks(n, max(1, terms)), INDEX), "index", codec="zstd"), n, terms)
+    return Index(cut(rows.mapInArrow(_blocks(n, max(1, terms)), INDEX), "index", codec="zstd", group=HELD), n, terms)
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
