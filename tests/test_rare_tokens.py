@@ -73,3 +73,9 @@ def test_tasks_connect_what_all_links_would():
     want = {i: find(label[i]) for i in range(200)}
     groups = lambda of: {frozenset(i for i in of if of[i] == x) for x in of.values()}
     assert groups(got) == groups(want)
+
+
+def test_a_task_may_have_any_number_of_batches():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(200 * k, 200 * k + 200), pa.int64())], ["x"]) for k in range(100)]
+    parts = list(cluster._growing(iter(batches)))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(20_000)) and [p.num_rows for p in parts][:3] == [64, 128, 8]
